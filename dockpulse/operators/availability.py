@@ -54,25 +54,21 @@ def _factor(seconds: str) -> Column:
     )
 
 
-def factors(integral: DataFrame) -> DataFrame:
-    """Availability factors of each integral row; bike types also relative to their sum (null if that is 0)."""
-    rows = integral.select(
-        "station_id",
-        "charging",
-        "capacity",
-        "total_seconds",
-        *[_factor(f"{name}_seconds").alias(f"{name}_factor") for name in COUNTERS],
-    )
+def with_factors(integral: DataFrame) -> DataFrame:
+    """Integral rows with their factors; bike types also relative to their sum (null if that is 0)."""
+    rows = integral.select("*", *[_factor(f"{name}_seconds").alias(f"{name}_factor") for name in COUNTERS])
     total = sum((F.col(f"{b}_factor") for b in BIKE_FACTORS[1:]), F.col(f"{BIKE_FACTORS[0]}_factor"))
     return rows.select(
         "*",
-        *[
-            F.when(total != 0, F.col(f"{b}_factor") / total).alias(f"{b}_factor_normalized")
-            for b in BIKE_FACTORS
-        ],
+        *[F.when(total != 0, F.col(f"{b}_factor") / total).alias(f"{b}_factor_normalized") for b in BIKE_FACTORS],
     )
 
 
+def factors(integral: DataFrame) -> DataFrame:
+    """Availability factors alone."""
+    return with_factors(integral).drop(*[f"{name}_seconds" for name in COUNTERS])
+
+
 def factor_sums(factor: DataFrame) -> DataFrame:
     """Checks: the four station factors and the three normalised bike factors of a station add up to 1."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockpulse import schemas
-from dockpulse.functions.neighbours import STATION, sums_over_neighbours
+from dockpulse.functions.neighbours import STATION, sums_over_neighbours, with_neighbours
 from dockpulse.operators.stations import newest_reported_information
 from dockpulse.params import StatusQuery, at, epoch, epoch_of, in_time_range
 
@@ -86,6 +86,36 @@ def occupancy(
     )
 
 
+def occupancy_rows(
+    status: DataFrame,
+    start: datetime,
+    end: datetime,
+    station_id: int | None = None,
+    empty_thresh: int = 0,
+    full_thresh: int = 0,
+) -> DataFrame:
+    """The status rows that count for occupancy, with the neighbours' values: a missing next row means the range
+    end, a missing previous row the range start without bikes and docks."""
+    rows = StatusQuery(station_id, start - LOOK_BACK, end + LOOK_AHEAD).on_status(status)
+    rows = with_neighbours(rows, ["last_reported", "num_bikes_available", "num_docks_available"])
+    rows = rows.select(
+        STATION,
+        "last_reported",
+        "num_bikes_available",
+        "num_docks_available",
+        F.coalesce("_next.last_reported", at(end)).alias("next_reported"),
+        F.coalesce("_prev.last_reported", at(start)).alias("prev_reported"),
+        F.coalesce("_prev.num_bikes_available", F.lit(0)).alias("prev_bikes"),
+        F.coalesce("_prev.num_docks_available", F.lit(0)).alias("prev_docks"),
+    )
+    time = F.col("last_reported")
+    holds = (time < at(end)) & (F.col("next_reported") >= at(start))
+    opens = (F.col("prev_reported") < at(start)) & (time >= at(start))
+    low = F.least("num_bikes_available", "prev_bikes") <= empty_thresh
+    full = F.least("num_docks_available", "prev_docks") <= full_thresh
+    return rows.where((holds | opens) & (low | full))
+
+
 def stations_reporting(
     status: DataFrame, information: DataFrame, start: datetime, end: datetime
 ) -> DataFrame:

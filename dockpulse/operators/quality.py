@@ -41,13 +41,12 @@ def counter_sum() -> Column:
 def capacity_mismatches(status: DataFrame, information: DataFrame, query: StatusQuery = StatusQuery()) -> DataFrame:
     """Status rows whose counters do not add up to the capacity, with the number of rows examined."""
     rows = one_per_time(query.on_status(status))
-    examined = rows.agg(F.count("*").alias("examined"))
     wrong = (
         status_with_version(rows, information)
         .withColumn("counter_sum", counter_sum())
-        .where("counter_sum != station_capacity")
+        .where("counter_sum != version_capacity")
     )
-    return wrong.crossJoin(examined)  # one row
+    return wrong.withColumn("examined", rows.agg(F.count("*")).scalar())
 
 
 def mismatch_summary(mismatches: DataFrame) -> DataFrame:
@@ -55,8 +54,8 @@ def mismatch_summary(mismatches: DataFrame) -> DataFrame:
     return mismatches.agg(
         F.max("examined").alias("examined"),
         F.count("*").alias("mismatched"),
-        F.min("station_capacity").alias("min_capacity"),
-        F.max("station_capacity").alias("max_capacity"),
+        F.min("version_capacity").alias("min_capacity"),
+        F.max("version_capacity").alias("max_capacity"),
         (F.max("examined") - F.count("*")).alias("okay"),
     )
 

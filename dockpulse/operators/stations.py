@@ -28,7 +28,7 @@ def prefixed(df: DataFrame, prefix: str, columns: Sequence[str] | None = None) -
 
 def _attached(information: DataFrame) -> DataFrame:
     """Station columns under names that do not clash with status columns."""
-    return prefixed(information, "station_")
+    return prefixed(information, "version_")
 
 
 # Versions of a station
@@ -126,17 +126,17 @@ def status_between(status: DataFrame, station_id: int, start: datetime, end: dat
 
 
 def status_with_version(status: DataFrame, information: DataFrame) -> DataFrame:
-    """Status rows with the information version they refer to, as station_* columns."""
+    """Status rows with the information version they refer to, as version_* columns."""
     info = _attached(information)
-    on = (F.col("info_station_id") == F.col("station_station_id")) & (
-        F.col("info_reported") == F.col("station_reported")
+    on = (F.col("info_station_id") == F.col("version_station_id")) & (
+        F.col("info_reported") == F.col("version_reported")
     )
     return status.join(info, on, "inner")
 
 
 def status_with_station(status: DataFrame, information: DataFrame) -> DataFrame:
     """Status rows with every version of their station."""
-    return status.join(_attached(information), F.col("info_station_id") == F.col("station_station_id"), "inner")
+    return status.join(_attached(information), F.col("info_station_id") == F.col("version_station_id"), "inner")
 
 
 def status_information_between(
@@ -155,7 +155,7 @@ def system_status_between(status: DataFrame, information: DataFrame, start: date
 
 def disabled_docks(status: DataFrame, information: DataFrame) -> DataFrame:
     rows = status.where("num_docks_disabled > 0")
-    return status_with_station(rows, information).select(F.col("station_name").alias("name"), "num_docks_disabled")
+    return status_with_station(rows, information).select(F.col("version_name").alias("name"), "num_docks_disabled")
 
 
 def status_sample(status: DataFrame, information: DataFrame, limit: int | None = None) -> DataFrame:
@@ -164,7 +164,7 @@ def status_sample(status: DataFrame, information: DataFrame, limit: int | None =
 
 
 def status_fields(status: DataFrame, information: DataFrame) -> DataFrame:
-    return status_with_station(status, information).select(F.col("station_name").alias("name"), *STATION_COUNTS)
+    return status_with_station(status, information).select(F.col("version_name").alias("name"), *STATION_COUNTS)
 
 
 def latest_between(status: DataFrame, start: datetime, end: datetime) -> DataFrame:

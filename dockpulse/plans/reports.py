@@ -54,9 +54,8 @@ def system_series(status: DataFrame, start: datetime, end: datetime, max_steps:
 def performance(status: DataFrame, information: DataFrame, start: datetime, end: datetime, station_id=None) -> DataFrame:
     """Integrals, factors and time empty and full of each station."""
     integral = availability.integrals(status, information, StatusQuery(station_id, start, end))
-    factor = availability.factors(integral).drop("charging", "capacity", "total_seconds")
     times = occupancy(status, information, start, end, station_id).select("station_id", "empty_sec", "full_sec")
-    return integral.join(factor, "station_id").join(times, "station_id", "left")
+    return availability.with_factors(integral).join(times, "station_id", "left")
 
 
 def station_list(status: DataFrame, information: DataFrame, end: datetime) -> DataFrame:

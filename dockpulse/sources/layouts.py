@@ -93,7 +93,7 @@ def factor_json(factors: DataFrame) -> DataFrame:
 
 def occupancy_json(rows: DataFrame, station: list[str], status: list[str]) -> DataFrame:
     value = F.struct(
-        F.struct(*[F.col(f"station_{c}").alias(c) for c in station]).alias("station_information"),
+        F.struct(*[F.col(f"version_{c}").alias(c) for c in station]).alias("station_information"),
         F.struct(*status).alias("station_status"),
         F.struct(F.col("empty_sec").alias("empty"), F.col("full_sec").alias("full")).alias("durations"),
     )
@@ -102,7 +102,7 @@ def occupancy_json(rows: DataFrame, station: list[str], status: list[str]) -> Da
 
 def station_list_json(rows: DataFrame, station: list[str], status: list[str]) -> DataFrame:
     value = F.struct(
-        F.struct(*[F.col(f"station_{c}").alias(c) for c in station]).alias("station_information"),
+        F.struct(*[F.col(f"version_{c}").alias(c) for c in station]).alias("station_information"),
         F.struct(*status).alias("station_status"),
     )
     return _json(rows, value, "info_station_id")

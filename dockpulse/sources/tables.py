@@ -87,7 +87,7 @@ def export_rows(
     rows = StatusQuery(station_id, midnight(first), noon(last)).on_status(status)
     versions = information.dropDuplicates(["station_id", "reported"])
     joined = status_with_version(rows, versions)
-    info = joined.select(*[F.col(f"station_{c}").alias(c) for c in information.columns])
+    info = joined.select(*[F.col(f"version_{c}").alias(c) for c in information.columns])
     keys = ["station_id", "reported"]
     return info.dropDuplicates(keys), joined.select(*status.columns).dropDuplicates()
 
