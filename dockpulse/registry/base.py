@@ -109,8 +109,9 @@ def with_views(sql: str) -> str:
     if not ctes:
         return sql.strip()
     body = sql.strip()
-    if body.lower().startswith("with "):
-        return "with " + ",\n".join(ctes) + ",\n" + body[5:]
+    for start in ("with recursive ", "with "):
+        if body.startswith(start):
+            return start + ",\n".join(ctes) + ",\n" + body.removeprefix(start)
     return "with " + ",\n".join(ctes) + "\n" + body
 
 

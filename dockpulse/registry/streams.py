@@ -1 +1,213 @@
+"""Streams, run to the end over files that Spark derives from the test tables.
+
+The files arrive in slices of time, one run of the stream per slice on the same checkpoint, so that every stream
+also restarts from its state three times.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+from dockpulse import schemas
+from dockpulse.adapter import SNAPSHOT, Tables, document
+from dockpulse.operators import staleness
+from dockpulse.params import at, epoch
+from dockpulse.registry.base import NOW, query
+from dockpulse.registry.ingest import _VERSION, CHANGES_SQL
+from dockpulse.registry.operators import GRID_SQL
+from dockpulse.session import shared_dir
+from dockpulse.streaming import feed, status, store
+
+SLICES = (datetime(2024, 1, 9), datetime(2024, 1, 17), datetime(2024, 1, 25), datetime(2024, 2, 2))
+
+
+def _slices(rows: DataFrame, time: str) -> list[DataFrame]:
+    """The rows split by time into parts that together are the whole."""
+    parts, lower = [], F.lit(True)
+    for end in SLICES[:-1]:
+        parts.append(rows.where(lower & (F.col(time) < at(end))))
+        lower = F.col(time) >= at(end)
+    return [*parts, rows.where(lower)]
+
+
+class Run:
+    """A fresh folder for the input, checkpoint and output of one streaming run."""
+
+    def __init__(self, t: Tables, name: str):
+        self.spark, self.name = t.spark, name
+        self.folder = f"{shared_dir(t.spark)}/streams/{name}-{uuid.uuid4().hex}"
+
+    def path(self, part: str) -> str:
+        return f"{self.folder}/{part}"
+
+    def feed_slices(self, slices: list[DataFrame], sink: Callable[[DataFrame], DataStreamWriter], text: bool) -> None:
+        """Write each slice and run the stream over what is new."""
+        for rows in slices:
+            writer = rows.write.mode("append")
+            writer.text(self.path("in")) if text else writer.parquet(self.path("in"))
+            reader = self.spark.readStream
+            stream = reader.format("text").load(self.path("in")) if text else reader.schema(rows.schema).parquet(self.path("in"))
+            job = sink(stream).option("checkpointLocation", self.path("checkpoint")).trigger(availableNow=True).start()
+            job.awaitTermination()
+
+    def to_parquet(self, stream: DataFrame) -> DataStreamWriter:
+        return stream.writeStream.format("parquet").option("path", self.path("out"))
+
+    def result(self) -> DataFrame:
+        return self.spark.read.parquet(self.path("out"))
+
+
+_FEED = ", ".join(schemas.STATUS_FEED_COLUMNS)
+
+
+def _document_slices(t: Tables) -> list[DataFrame]:
+    documents = t.status_documents()
+    seconds = F.get_json_object("value", "$.last_updated").cast("long")
+    dated = documents.withColumn("_time", F.timestamp_seconds(seconds).cast("timestamp_ntz"))
+    return [part.select("value") for part in _slices(dated, "_time")]
+
+
+@query("st1_status_rows", f"select {_FEED} from ss")
+def status_rows(t):
+    run = Run(t, "rows")
+    run.feed_slices(_document_slices(t), lambda s: run.to_parquet(status.rows(s)), text=True)
+    return run.result()
+
+
+@query("st2_without_copies", f"select {_FEED} from ss")
+def without_copies(t):
+    """Every slice is delivered with a copy of its rows."""
+    run = Run(t, "copies")
+    slices = [part.unionAll(part) for part in _slices(t.status().select(*schemas.STATUS_FEED_COLUMNS), "last_reported")]
+    run.feed_slices(slices, lambda s: run.to_parquet(status.without_copies(s)), text=False)
+    return run.result()
+
+
+@query(
+    "st2_exact_insert",
+    "select si.station_id info_station_id, si.reported info_reported, ss.last_reported from ss join si on si.station_id = ss.station_id and si.active",
+)
+def exact_insert(t):
+    """The first slice is delivered twice, in two runs."""
+    run = Run(t, "insert")
+    slices = _slices(t.status().select(*schemas.STATUS_FEED_COLUMNS), "last_reported")
+    sink = lambda s: status.insert_each(s, t.information(), run.path("out"))
+    run.feed_slices([slices[0], *slices], sink, text=False)
+    return run.result().select(*schemas.STATUS_KEY)
+
+
+@query("st3_change_stream", f"select * from {CHANGES_SQL.format(first='rn = 1 or')} c")
+def change_stream(t):
+    run = Run(t, "changes")
+    run.feed_slices(_slices(t.status(), "last_reported"), lambda s: status.changes_each(s, run.path("out")), text=False)
+    return status.captured_changes(t.spark, run.path("out"))
+
+
+_RESPONSES = """(select endpoint, epoch("time")::bigint updated, (30 * (1 + cast(id % 40 as int)))::bigint ttl, id
+  from ql qualify row_number() over (partition by endpoint, "time" order by id) = 1)"""
+FRESH_SQL = f"""
+  with recursive rs as materialized (
+    select *, row_number() over (partition by endpoint order by updated) n from {_RESPONSES} r),
+  nx as materialized (
+    select a.endpoint, a.n, min(b.n) m from rs a join rs b on a.endpoint = b.endpoint and b.updated >= a.updated + a.ttl
+    group by 1, 2),
+  chain as (select endpoint, 1::bigint n from rs where n = 1
+            union all select chain.endpoint, nx.m from chain join nx on nx.endpoint = chain.endpoint and nx.n = chain.n)
+  select {{columns}} from chain join rs on rs.endpoint = chain.endpoint and rs.n = chain.n"""
+
+
+def _responses(t: Tables) -> DataFrame:
+    ttl = (F.lit(30) * (1 + F.col("id") % 40)).cast("long")
+    return t.query_log().select("endpoint", epoch("time").alias("updated"), ttl.alias("ttl"), "id")
+
+
+@query("st4_fresh_responses", FRESH_SQL.format(columns="rs.endpoint, rs.updated, rs.ttl, rs.id"))
+def fresh_responses(t):
+    return staleness.fresh_responses(_responses(t))
+
+
+@query("st4_fresh_stream", FRESH_SQL.format(columns="'feed' feed, rs.endpoint, rs.updated, rs.ttl"))
+def fresh_stream(t):
+    run = Run(t, "fresh")
+    first = _responses(t).groupBy("endpoint", "updated").agg(F.min_by("ttl", "id").alias("ttl"))
+    rows = first.withColumn("feed", F.lit("feed")).withColumn("_time", F.timestamp_seconds("updated").cast("timestamp_ntz"))
+    run.feed_slices(_slices(rows, "_time"), lambda s: run.to_parquet(feed.fresh_envelopes(s)), text=False)
+    return run.result().select("feed", "endpoint", "updated", "ttl")
+
+
+@query("st5_latest_status", "select * from lk")
+def latest_status(t):
+    run = Run(t, "latest")
+    keys = t.status().select(*schemas.STATUS_KEY)
+    run.feed_slices(_slices(keys, "last_reported"), lambda s: status.lookup_each(s, run.path("out")), text=False)
+    return store.read_latest(t.spark, run.path("out"), status.LOOKUP)
+
+
+@query(
+    "st6_information_merge",
+    """with versions as (
+         select station_id, "name", capacity, reported, 1 k from si
+         union all select station_id, "name", capacity, reported, 2 from snap),
+       marked as (
+         select *, lag(capacity) over (partition by station_id order by reported) before from versions),
+       kept as (select * from marked where before is null or before <> capacity)
+       select cast(row_number() over (partition by station_id order by reported) as int) id, station_id, "name", capacity,
+         row_number() over (partition by station_id order by reported desc) = 1 active, reported from kept""",
+)
+def information_merge(t):
+    """Three snapshots: the first versions, the second versions, and the later state of the stations."""
+    run = Run(t, "information")
+    columns = [c for c in schemas.STATION_INFORMATION.names if c not in ("id", "active")]
+    versions = t.information().select(*columns)
+    slices = [
+        versions.where(F.col("reported") < at(datetime(2024, 1, 1))),
+        versions.where(F.col("reported") >= at(datetime(2024, 1, 1))),
+        t.information_snapshot().where(F.col("reported") == at(SNAPSHOT)).select(*columns),
+    ]
+    run.feed_slices(slices, lambda s: feed.merge_information_each(s, run.path("out")), text=False)
+    return feed.current_information(t.spark, run.path("out")).select(*_VERSION)
+
+
+@query(
+    "st7_feed_log",
+    """select case when k % 10 <> 0 then s else timestamp '2024-01-31' end "time", 'station_status' endpoint, k % 10 <> 0 success
+       from ev""",
+)
+def feed_log(t):
+    run = Run(t, "log")
+    good = document("stations", F.struct(F.col("user_id").cast("string").alias("station_id")), epoch("s"))
+    events = t.events().withColumn("value", F.when(F.col("k") % 10 == 0, F.lit("gateway timeout")).otherwise(good))
+    slices = [part.select("value") for part in _slices(events, "s")]
+
+    def sink(stream: DataFrame) -> DataStreamWriter:
+        log = feed.log_stream(stream, "station_status", "stations", schemas.FEED_STATION_STATUS, NOW)
+        return run.to_parquet(log.select("time", "endpoint", "success"))
+
+    run.feed_slices(slices, sink, text=True)
+    return run.result()
+
+
+@query("st8_grid_totals", GRID_SQL.format(start="2024-01-01", last="2024-02-01", step=360))
+def grid_totals(t):
+    """Two rows of later months close the last windows; their own windows stay open."""
+    run = Run(t, "grid")
+    rows = t.status()
+    closing = [
+        t.spark.range(1).select(
+            *[
+                (at(month) if f.name == "last_reported" else F.lit(None).cast(f.dataType)).alias(f.name)
+                for f in rows.schema
+            ]
+        )
+        for month in (datetime(2024, 4, 1), datetime(2024, 6, 1))
+    ]
+    slices = [*_slices(rows, "last_reported"), *closing]
+    run.feed_slices(slices, lambda s: run.to_parquet(status.grid_totals(s, "6 hours", "1 hour")), text=False)
+    return run.result().where(F.col("time") < at(datetime(2024, 3, 1)))
 
