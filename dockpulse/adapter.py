@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from dockpulse import schemas
 from dockpulse.params import at, epoch
 from dockpulse.session import configure
+from dockpulse.sources.tables import write_status
 
 FIRST_VERSION = datetime(2023, 12, 1)
 SECOND_VERSION = datetime(2024, 1, 15, 12)
@@ -268,6 +269,33 @@ class Tables:
         return rows.select(document(key, item, F.lit(1_704_067_200)).alias("value"))
 
 
+class StoredTables(Tables):
+    """The same tables read from a folder of model tables, as an ingest would leave them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, folder: str):
+        super().__init__(spark, sf_dir)
+        self.folder = folder
+
+    def store(self) -> StoredTables:
+        write_status(Tables.status(self), f"{self.folder}/status", "overwrite")
+        for name, rows in (("information", Tables.information(self)), ("query_log", Tables.query_log(self))):
+            rows.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        Tables.information_documents(self).write.mode("overwrite").text(f"{self.folder}/information_documents")
+        return self
+
+    def status(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/status")
+
+    def information(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/information")
+
+    def query_log(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/query_log")
+
+    def information_documents(self) -> DataFrame:
+        return self.spark.read.text(f"{self.folder}/information_documents")
+
+
 def document(key: str | None, item: Column, updated: Column) -> Column:
     data = item if key is None else F.struct(F.array(item).alias(key))
     return F.to_json(

@@ -88,6 +88,7 @@ VIEWS = {
 @dataclass(frozen=True)
 class Entry:
     run: Callable[[SparkSession, str], DataFrame]
+    on: Callable[[Tables], DataFrame]
     sql: str | None
 
 
@@ -123,7 +124,7 @@ def query(name: str, sql: str | None = None):
             return function(Tables(spark, sf_dir))
 
         run.__doc__ = function.__doc__
-        REGISTRY[name] = Entry(run, None if sql is None else with_views(sql))
+        REGISTRY[name] = Entry(run, function, None if sql is None else with_views(sql))
         return function
 
     return register

@@ -22,7 +22,9 @@ SETTINGS = {
 }
 
 
-def local_session(app: str, cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(
+    app: str, cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g", checkpoint_dir: str | None = None
+) -> SparkSession:
     """A single-machine session for tests and benchmarks; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -32,6 +34,8 @@ def local_session(app: str, cores: str = "8", shuffle_partitions: int = 8, memor
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if checkpoint_dir is not None:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -47,7 +51,7 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: `spark.checkpoint.dir`; a local folder only if unset on a local master."""
     context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
