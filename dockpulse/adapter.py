@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from dockpulse import schemas
 from dockpulse.params import at, epoch
 from dockpulse.session import configure
-from dockpulse.sources.tables import write_status
+from dockpulse.sources.tables import read_table, write_status
 
 FIRST_VERSION = datetime(2023, 12, 1)
 SECOND_VERSION = datetime(2024, 1, 15, 12)
@@ -284,13 +284,13 @@ class StoredTables(Tables):
         return self
 
     def status(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/status")
+        return read_table(self.spark, f"{self.folder}/status", schemas.STORED_STATUS)
 
     def information(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/information")
+        return read_table(self.spark, f"{self.folder}/information", schemas.STATION_INFORMATION)
 
     def query_log(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/query_log")
+        return read_table(self.spark, f"{self.folder}/query_log", schemas.QUERY_LOG)
 
     def information_documents(self) -> DataFrame:
         return self.spark.read.text(f"{self.folder}/information_documents")

@@ -9,7 +9,7 @@ alone go through a second, small window per station that looks across segments.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +21,6 @@ STATION = "info_station_id"
 # Rows of one station in time order; the information version breaks ties.
 TIME_ORDER = ("last_reported", "info_reported")
 
-Term = Callable[[Column, Column, Column], Column]
-
 
 def segment_of(column: str, seconds: int = SEGMENT_SECONDS) -> Column:
     return F.floor(epoch(column) / F.lit(seconds)).cast("long")
@@ -40,7 +38,7 @@ def _segmented(rows: DataFrame, key: str, order: Sequence[str], carried: Sequenc
 
 def sums_over_neighbours(
     rows: DataFrame,
-    terms: dict[str, Term],
+    terms: dict[str, str],
     carried: Sequence[str],
     key: str = STATION,
     order: Sequence[str] = TIME_ORDER,
@@ -48,52 +46,66 @@ def sums_over_neighbours(
 ) -> DataFrame:
     """Per key, the sum of every term over all rows.
 
-    A term is a function of the row itself and the rows before and after it (structs of the `carried` columns,
-    null where there is none). With `following=False` the terms must not use the next row.
-    One exchange of the needed columns on (key, segment); each segment is then reduced to its inner sums and its
-    edge rows in the same stage, so that the exchange on key alone carries two rows per segment at most.
+    A term is SQL over the carried columns `c` of the row, `prev_c` of the row before it and, if `following`,
+    `next_c` of the row after it; these are null where there is no such row.
+    One exchange of the needed columns on (key, segment). In the same stage each segment is reduced to its inner sums
+    and the values of its first and last row, so that the exchange on key alone carries one row per segment.
     """
     order = [c for c in order if c in rows.columns]
-    needed = list(dict.fromkeys([key, *order, *carried]))
-    cur, prev, nxt = F.struct(*carried), F.col("_prev"), F.col("_next")
-    incomplete = (prev.isNull() | nxt.isNull()) if following else prev.isNull()
-    edge = F.struct(
-        *[F.col(c).alias(c) for c in order],
-        cur.alias("cur"),
-        prev.alias("prev"),
-        nxt.alias("next"),
-    )
-    per_segment = (
-        _segmented(rows.select(*needed), key, order, carried)
-        .groupBy(key, "_segment")
-        .agg(
-            *[F.sum(F.when(~incomplete, term(cur, prev, nxt))).alias(name) for name, term in terms.items()],
-            F.max(F.when(prev.isNull(), edge)).alias("_first"),
-            F.max(F.when(prev.isNotNull() & nxt.isNull(), edge)).alias("_last"),
-        )
-    )
-    across = Window.partitionBy(key).orderBy(*[f"_edge.{c}" for c in order])
-    edges = per_segment.select(
-        key,
-        F.posexplode(F.array_compact(F.array("_first", "_last"))).alias("_position", "_edge"),
-        *terms,
+    inside = Window.partitionBy(key, "_segment").orderBy(*order)
+    local = rows.select(
+        *dict.fromkeys([key, *order, *carried]), segment_of(order[0]).alias("_segment")
     ).select(
-        key,
-        "_edge",
-        # the inner sums travel with the first edge of their segment, once
-        *[F.when(F.col("_position") == 0, F.col(name)).alias(name) for name in terms],
-        F.coalesce("_edge.prev", F.lag("_edge.cur").over(across)).alias("_prev"),
-        F.coalesce("_edge.next", F.lead("_edge.cur").over(across)).alias("_next"),
+        "*",
+        F.lag(order[0]).over(inside).alias("_before"),
+        F.lead(order[0]).over(inside).alias("_after"),
+        *[F.lag(c).over(inside).alias(f"prev_{c}") for c in carried],
+        *[F.lead(c).over(inside).alias(f"next_{c}") for c in carried if following],
     )
-    open_edge = F.col("_edge.prev").isNull() | (F.lit(following) & F.col("_edge.next").isNull())
-    return edges.groupBy(key).agg(
-        *[
-            (
-                F.coalesce(F.sum(name), F.lit(0))
-                + F.coalesce(F.sum(F.when(open_edge, term(F.col("_edge.cur"), prev, nxt))), F.lit(0))
-            ).alias(name)
-            for name, term in terms.items()
+    complete = "_before is not null and _after is not null" if following else "_before is not null"
+
+    def only(when: str, value: str, name: str) -> Column:
+        return F.expr(f"max(case when {when} then {value} end) as {name}")
+
+    edges = [only("_before is null", c, f"first_{c}") for c in carried]
+    edges += [only("_after is null", c, f"last_{c}") for c in carried]
+    if following:
+        edges += [only("_before is null", f"next_{c}", f"first_next_{c}") for c in carried]
+        edges += [only("_after is null", f"prev_{c}", f"last_prev_{c}") for c in carried]
+        edges.append(F.expr("count(*) as _rows"))
+    inner = [F.expr(f"sum(case when {complete} then {term} end) as _inner_{name}") for name, term in terms.items()]
+    per_segment = local.groupBy(key, "_segment").agg(*inner, *edges)
+
+    across = Window.partitionBy(key).orderBy("_segment")
+    before = {c: F.lag(f"last_{c}").over(across) for c in carried}
+    if not following:
+        filled = per_segment.select(
+            key,
+            *[f"_inner_{name}" for name in terms],
+            *[F.col(f"first_{c}").alias(c) for c in carried],
+            *[before[c].alias(f"prev_{c}") for c in carried],
+        )
+    else:
+        bridged = per_segment.select(
+            "*",
+            *[before[c].alias(f"before_{c}") for c in carried],
+            *[F.lead(f"first_{c}").over(across).alias(f"after_{c}") for c in carried],
+        )
+        first = [
+            f"first_{c} as {c}, before_{c} as prev_{c}, if(_rows = 1, after_{c}, first_next_{c}) as next_{c}"
+            for c in carried
         ]
+        last = [f"last_{c} as {c}, last_prev_{c} as prev_{c}, after_{c} as next_{c}" for c in carried]
+        # the inner sums travel with the first row of the segment only
+        inner_once = [f"_inner_{name}" for name in terms]
+        nothing = [f"cast(null as bigint) as {name}" for name in inner_once]
+        both = F.expr(
+            f"inline(array_compact(array(struct({', '.join([*inner_once, *first])}), "
+            f"if(_rows > 1, struct({', '.join([*nothing, *last])}), null))))"
+        )
+        filled = bridged.select(key, both)
+    return filled.groupBy(key).agg(
+        *[F.expr(f"coalesce(sum(_inner_{n}), 0) + coalesce(sum({term}), 0) as {n}") for n, term in terms.items()]
     )
 
 
@@ -121,24 +133,63 @@ def with_neighbours(
     return local.where(~at_edge).unionByName(edges)
 
 
-def with_running_sums(
-    rows: DataFrame, sums: dict[str, Column], key: str = STATION, time: str = "last_reported"
+def running_changes(
+    rows: DataFrame, columns: dict[str, str], key: str = STATION, order: Sequence[str] = TIME_ORDER
 ) -> DataFrame:
-    """Running totals per key in time order, rows of equal time counted together (default RANGE frame).
+    """Rows with, per column, `<name>_diff` to the row before and the running totals of rises and falls per key,
+    `<name>_rises` and `<name>_falls`. Before its first row a key counts as holding 0. Rows of equal time count together.
 
-    The totals run inside a segment; the sum of all earlier segments, one row per segment, is added by a join.
-    Expects the `_segment` column of `with_neighbours`.
+    Differences and totals run inside a segment. What a segment starts from, the last values and the totals of all
+    earlier ones, comes from one row per segment and is joined back on (key, segment).
     """
-    per_segment = rows.groupBy(key, "_segment").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
-    earlier = Window.partitionBy(key).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_segment.select(
-        key, "_segment", *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"_before_{k}") for k in sums]
+    order = [c for c in order if c in rows.columns]
+    inside = Window.partitionBy(key, "_segment").orderBy(*order)
+    local = rows.withColumn("_segment", segment_of(order[0])).select(
+        "*",
+        F.lag(order[0]).over(inside).alias("_before"),
+        F.lead(order[0]).over(inside).alias("_after"),
+        *[(F.col(c) - F.lag(c).over(inside)).alias(f"_{n}_inner") for n, c in columns.items()],
+    )
+
+    def both_ways(diff: str) -> dict[str, str]:
+        return {"rises": f"greatest({diff}, 0)", "falls": f"greatest(-({diff}), 0)"}
+
+    parts = [(n, way) for n in columns for way in ("rises", "falls")]
+    inner = {(n, way): f"coalesce({both_ways(f'_{n}_inner')[way]}, 0)" for n, way in parts}
+    per_segment = local.groupBy(key, "_segment").agg(
+        *[F.expr(f"sum({inner[n, way]}) as _sum_{n}_{way}") for n, way in parts],
+        *[F.expr(f"max(case when _before is null then {c} end) as _first_{n}") for n, c in columns.items()],
+        *[F.expr(f"max(case when _after is null then {c} end) as _last_{n}") for n, c in columns.items()],
     )
-    inside = Window.partitionBy(key, "_segment").orderBy(time)
-    running = rows.select("*", *[F.sum(v).over(inside).alias(k) for k, v in sums.items()])
-    joined = running.join(before, [key, "_segment"])
-    return joined.select(
-        *rows.columns, *[(F.col(k) + F.col(f"_before_{k}")).alias(k) for k in sums]
+    across = Window.partitionBy(key).orderBy("_segment")
+    opened = per_segment.select(
+        "*",
+        *[F.coalesce(F.lag(f"_last_{n}").over(across), F.lit(0)).alias(f"_from_{n}") for n in columns],
+    )
+    starts = opened.select(
+        key,
+        "_segment",
+        *[f"_from_{n}" for n in columns],
+        *[
+            # all segments up to this one, less what runs inside this one
+            (
+                F.sum(F.expr(f"_sum_{n}_{way} + {both_ways(f'_first_{n} - _from_{n}')[way]}")).over(across)
+                - F.col(f"_sum_{n}_{way}")
+            ).alias(f"_start_{n}_{way}")
+            for n, way in parts
+        ],
+    )
+    together = Window.partitionBy(key, "_segment").orderBy(order[0])
+    running = local.select(
+        *rows.columns,
+        "_segment",
+        *[f"_{n}_inner" for n in columns],
+        *[F.sum(F.expr(inner[n, way])).over(together).alias(f"_running_{n}_{way}") for n, way in parts],
+    )
+    return running.join(starts, [key, "_segment"]).select(
+        *rows.columns,
+        *[F.expr(f"coalesce(_{n}_inner, {c} - _from_{n}) as {n}_diff") for n, c in columns.items()],
+        *[F.expr(f"_start_{n}_{way} + _running_{n}_{way} as {n}_{way}") for n, way in parts],
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockpulse.functions.neighbours import STATION, Term, sums_over_neighbours
+from dockpulse.functions.neighbours import STATION, sums_over_neighbours
 from dockpulse.operators.stations import active_information
 from dockpulse.params import StatusQuery, epoch
 
@@ -22,20 +22,15 @@ BIKE_FACTORS = ("iconic_available", "efit_available", "efit_g5_available")
 STATION_FACTORS = tuple(c for c in COUNTERS if c not in BIKE_FACTORS)
 
 
-def _seconds(cur: Column, prev: Column) -> Column:
-    return cur["seconds"] - prev["seconds"]
-
-
-def _weighted(column: str) -> Term:
-    return lambda cur, prev, _: cur[column] * _seconds(cur, prev)
+_ELAPSED = "(seconds - prev_seconds)"
 
 
 def integrals(status: DataFrame, information: DataFrame, query: StatusQuery = StatusQuery()) -> DataFrame:
     """Per active station: each counter times the seconds since the row before, summed, and the seconds in all."""
     rows = query.on_status(status).withColumn("seconds", epoch("last_reported"))
-    terms: dict[str, Term] = {"total_seconds": lambda cur, prev, _: _seconds(cur, prev)}
+    terms = {"total_seconds": _ELAPSED}
     for name, column in COUNTERS.items():
-        terms[f"{name}_seconds"] = _weighted(column)
+        terms[f"{name}_seconds"] = f"{column} * {_ELAPSED}"
     sums = sums_over_neighbours(rows, terms, ["seconds", *COUNTERS.values()])
     stations = active_information(query.on_information_station(information)).select(
         F.col("station_id").alias(STATION), F.col("is_charging_station").alias("charging"), "capacity"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockpulse.functions.neighbours import STATION, Term, sums_over_neighbours, with_neighbours, with_running_sums
+from dockpulse.functions.neighbours import STATION, running_changes, sums_over_neighbours, with_neighbours
 from dockpulse.operators.stations import active_information, latest_information
 from dockpulse.params import StatusQuery
 
@@ -16,18 +16,20 @@ BIKES = {
 }
 
 
-def _change(column: str):
-    return lambda cur, prev: cur[column] - prev[column]
+def _change(column: str) -> str:
+    return f"({column} - prev_{column})"
 
 
-def _falls(column: str) -> Term:
-    change = _change(column)
-    return lambda cur, prev, _: F.when(change(cur, prev) < 0, change(cur, prev))
+def _sum_where(column: str, condition: str) -> str:
+    return f"case when {condition} then {_change(column)} end"
 
 
-def _rises(column: str) -> Term:
-    change = _change(column)
-    return lambda cur, prev, _: F.when(change(cur, prev) > 0, change(cur, prev))
+def _docking_terms() -> dict[str, str]:
+    terms = {}
+    for bike, column in BIKES.items():
+        terms[f"{bike}_undockings"] = _sum_where(column, f"{_change(column)} < 0")
+        terms[f"{bike}_dockings"] = _sum_where(column, f"{_change(column)} > 0")
+    return terms
 
 
 def docking_events(status: DataFrame, information: DataFrame, query: StatusQuery = StatusQuery()) -> DataFrame:
@@ -35,10 +37,7 @@ def docking_events(status: DataFrame, information: DataFrame, query: StatusQuery
 
     The first row of a station counts as no change. Stations appear with their newest version within the bounds.
     """
-    terms = {}
-    for bike, column in BIKES.items():
-        terms[f"{bike}_undockings"] = _falls(column)
-        terms[f"{bike}_dockings"] = _rises(column)
+    terms = _docking_terms()
     sums = sums_over_neighbours(query.on_status(status), terms, list(BIKES.values()))
     stations = latest_information(query.on_information_until(information)).select(
         F.col("station_id").alias(STATION), "name", "capacity", "is_charging_station"
@@ -58,23 +57,12 @@ def docking_events(status: DataFrame, information: DataFrame, query: StatusQuery
 def charging_events(status: DataFrame, information: DataFrame, query: StatusQuery = StatusQuery()) -> DataFrame:
     """Bikes charged at active charging stations: a disabled bike becomes an available e-bike."""
 
-    def charged(amount: str, when) -> Term:
-        change = _change(amount)
-        return lambda cur, prev, _: F.when(enabled(cur, prev) & when(cur, prev), change(cur, prev))
-
-    def enabled(cur: Column, prev: Column) -> Column:
-        return _change("num_bikes_disabled")(cur, prev) < 0
-
-    def efit(cur: Column, prev: Column) -> Column:
-        return _change(BIKES["efit"])(cur, prev) > 0
-
-    def g5(cur: Column, prev: Column) -> Column:
-        return _change(BIKES["efit_g5"])(cur, prev) > 0
-
+    enabled = f"{_change('num_bikes_disabled')} < 0"
+    efit, g5 = (f"{_change(BIKES[bike])} > 0" for bike in ("efit", "efit_g5"))
     terms = {
-        "bikes_disabled": charged("num_bikes_disabled", lambda c, p: efit(c, p) | g5(c, p)),
-        "efit_charged": charged(BIKES["efit"], efit),
-        "efit_g5_charged": charged(BIKES["efit_g5"], g5),
+        "bikes_disabled": _sum_where("num_bikes_disabled", f"{enabled} and ({efit} or {g5})"),
+        "efit_charged": _sum_where(BIKES["efit"], f"{enabled} and {efit}"),
+        "efit_g5_charged": _sum_where(BIKES["efit_g5"], f"{enabled} and {g5}"),
     }
     carried = ["num_bikes_disabled", BIKES["efit"], BIKES["efit_g5"]]
     stations = (
@@ -133,31 +121,20 @@ def running_totals(status: DataFrame) -> DataFrame:
 
     Here the first row of a station counts its whole stock as docked.
     """
-    rows = with_neighbours(status, list(BIKES.values()))
-    differences = {
-        f"{bike}_diff": F.coalesce(F.col(column) - F.col("_prev")[column], F.col(column))
-        for bike, column in BIKES.items()
-    }
-    rows = rows.select(
-        STATION,
-        "_segment",
-        "station_id",
-        "last_reported",
-        "is_charging_station",
-        *BIKES.values(),
-        *[value.alias(name) for name, value in differences.items()],
+    columns = [STATION, "info_reported", "station_id", "last_reported", "is_charging_station", *BIKES.values()]
+    rows = running_changes(status.select(*columns), BIKES)
+    ways = {"dockings": "rises", "undockings": "falls"}
+    return rows.select(
+        *columns[2:],
+        *[f"{bike}_diff" for bike in BIKES],
+        *[F.col(f"{b}_{way}").alias(f"total_{b}_{name}") for b in BIKES for name, way in ways.items()],
     )
-    sums = {}
-    for bike in BIKES:
-        diff = F.col(f"{bike}_diff")
-        sums[f"total_{bike}_dockings"] = F.when(diff > 0, diff).otherwise(0)
-        sums[f"total_{bike}_undockings"] = F.when(diff < 0, -diff).otherwise(0)
-    return with_running_sums(rows, sums).drop("_segment", STATION)
 
 
 def changes_with_totals(status: DataFrame, query: StatusQuery = StatusQuery()) -> DataFrame:
     """Rows where a bike count changed, with the station's total dockings and undockings (null if none)."""
-    rows = with_neighbours(query.on_status(status), list(BIKES.values()))
+    wanted = query.on_status(status)
+    rows = with_neighbours(wanted.select(STATION, "info_reported", "last_reported", *BIKES.values()), list(BIKES.values()))
     columns = []
     for bike, column in BIKES.items():
         before = F.col("_prev")[column]
@@ -168,12 +145,12 @@ def changes_with_totals(status: DataFrame, query: StatusQuery = StatusQuery()) -
         ]
     deltas = rows.select(F.col(STATION).alias("station_id"), "last_reported", *columns)
     changed = deltas.where(" or ".join(f"delta_{b} != 0" for b in BIKES))
-    sums = []
-    for bike in BIKES:
-        delta = F.col(f"delta_{bike}")
-        sums.append(F.sum(F.when(delta > 0, delta)).alias(f"dockings_{bike}"))
-        sums.append(F.sum(F.when(delta < 0, delta)).alias(f"undockings_{bike}"))
-    return changed.join(changed.groupBy("station_id").agg(*sums), "station_id")
+    sums = sums_over_neighbours(wanted, _docking_terms(), list(BIKES.values()))
+    totals = sums.select(
+        F.col(STATION).alias("station_id"),
+        *[F.nullif(f"{b}_{kind}", F.lit(0)).alias(f"{kind}_{b}") for b in BIKES for kind in ("dockings", "undockings")],
+    )
+    return changed.join(totals, "station_id")
 
 
 DELTA_FIELDS = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockpulse import schemas
@@ -28,7 +28,7 @@ def occupancy(
 
     Null seconds: the station was never empty or full, nor just after either, in the range.
     """
-    first, last = F.lit(epoch_of(start)), F.lit(epoch_of(end))
+    first, last = epoch_of(start), epoch_of(end)
     seen = StatusQuery(station_id, start - LOOK_BACK, end + LOOK_AHEAD).on_status(status)
     rows = seen.select(
         STATION,
@@ -38,37 +38,20 @@ def occupancy(
         F.col("num_bikes_available").alias("bikes"),
         F.col("num_docks_available").alias("docks"),
     )
-
-    def overlap(cur: Column, nxt: Column) -> Column:
-        """Seconds for which the row holds inside the range."""
-        begin, finish = F.greatest(cur["ts"], first), F.least(F.coalesce(nxt["ts"], last), last)
-        return F.when(begin < finish, finish - begin)
-
-    def held(column: str, threshold: int):
-        return lambda cur, prev, nxt: F.when(cur[column] == threshold, overlap(cur, nxt)).otherwise(0)
-
-    def relevant(cur: Column, prev: Column, nxt: Column) -> Column:
-        """1 for rows that decide between null and a number of seconds."""
-        before, after = F.coalesce(prev["ts"], first), F.coalesce(nxt["ts"], last)
-        in_range = ((cur["ts"] < last) & (after >= first)) | ((before < first) & (cur["ts"] >= first))
-        low = (
-            (cur["bikes"] <= empty_thresh)
-            | (F.coalesce(prev["bikes"], F.lit(0)) <= empty_thresh)
-            | (cur["docks"] <= full_thresh)
-            | (F.coalesce(prev["docks"], F.lit(0)) <= full_thresh)
-        )
-        return F.when(in_range & low, 1).otherwise(0)
-
-    def reported(cur: Column, prev: Column, nxt: Column) -> Column:
-        return F.when((cur["ts"] >= first) & (cur["ts"] <= last), 1).otherwise(0)
-
+    # seconds for which a row holds inside the range
+    held = f"greatest(0, least(coalesce(next_ts, {last}), {last}) - greatest(ts, {first}))"
+    # rows that decide between null and a number of seconds
+    before, after = f"coalesce(prev_ts, {first})", f"coalesce(next_ts, {last})"
+    in_range = f"(ts < {last} and {after} >= {first} or {before} < {first} and ts >= {first})"
+    low = f"least(bikes, coalesce(prev_bikes, 0)) <= {empty_thresh}"
+    full = f"least(docks, coalesce(prev_docks, 0)) <= {full_thresh}"
     sums = sums_over_neighbours(
         rows,
         {
-            "empty": held("bikes", empty_thresh),
-            "full": held("docks", full_thresh),
-            "relevant": relevant,
-            "reported": reported,
+            "empty": f"if(bikes = {empty_thresh}, {held}, 0)",
+            "full": f"if(docks = {full_thresh}, {held}, 0)",
+            "relevant": f"if({in_range} and ({low} or {full}), 1, 0)",
+            "reported": f"if(ts between {first} and {last}, 1, 0)",
         },
         ["ts", "bikes", "docks"],
         following=True,

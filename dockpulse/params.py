@@ -10,8 +10,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Partition column of stored status tables.
-DATE_COLUMN = "reported_date"
+from dockpulse.schemas import DATE_COLUMN
 
 
 def at(moment: datetime) -> Column:

@@ -84,6 +84,9 @@ STATION_STATUS = _struct(
     ("vehicle_types_available_efit", INT),
     ("vehicle_types_available_efit_g5", INT),
 )
+# Status as stored: partitioned by the day of last_reported.
+DATE_COLUMN = "reported_date"
+STORED_STATUS = T.StructType([*STATION_STATUS.fields, T.StructField(DATE_COLUMN, T.DateType(), True)])
 STATUS_KEY = ("info_station_id", "info_reported", "last_reported")
 # Status columns that come from the feed; the two info columns are attached when rows are stored.
 STATUS_FEED_COLUMNS = tuple(f.name for f in STATION_STATUS if f.name not in ("info_station_id", "info_reported"))

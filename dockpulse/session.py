@@ -22,6 +22,10 @@ SETTINGS = {
 }
 
 
+# Only for sessions made here: plans are built by many small calls, each of which would record its call site.
+BUILD_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def local_session(
     app: str, cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g", checkpoint_dir: str | None = None
 ) -> SparkSession:
@@ -36,7 +40,7 @@ def local_session(
     )
     if checkpoint_dir is not None:
         builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | BUILD_SETTINGS).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from dockpulse import schemas
 from dockpulse.operators.stations import status_with_version
-from dockpulse.params import DATE_COLUMN, StatusQuery, midnight, noon
+from dockpulse.params import StatusQuery, midnight, noon
+from dockpulse.schemas import DATE_COLUMN
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

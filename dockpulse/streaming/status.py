@@ -16,7 +16,7 @@ from dockpulse.functions.neighbours import STATION
 from dockpulse.ingest import status as batch
 from dockpulse.operators.stations import latest_key
 from dockpulse.operators.system import GRID_COUNTERS
-from dockpulse.params import DATE_COLUMN
+from dockpulse.schemas import DATE_COLUMN
 from dockpulse.sources import gbfs
 from dockpulse.sources.tables import write_status
 from dockpulse.streaming import store

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from dockpulse.functions.neighbours import STATION, as_of, sums_over_neighbours, with_neighbours, with_running_sums
+from dockpulse.functions.neighbours import STATION, as_of, running_changes, sums_over_neighbours, with_neighbours
 from dockpulse.operators import staleness
 from dockpulse.params import epoch
 
@@ -60,9 +61,9 @@ def test_rows(skewed):
 def test_sums(skewed, following):
     rows = skewed.withColumn("ts", epoch("last_reported"))
     terms = {
-        "rises": lambda cur, prev, _: F.when(cur[VALUE] > prev[VALUE], cur[VALUE] - prev[VALUE]),
-        "first": lambda cur, prev, _: F.when(prev.isNull(), 1).otherwise(0),
-        "rows": lambda cur, prev, _: F.lit(1),
+        "rises": f"if({VALUE} > prev_{VALUE}, {VALUE} - prev_{VALUE}, null)",
+        "first": "if(prev_ts is null, 1, 0)",
+        "rows": "1",
     }
     before = F.lag(VALUE).over(plain())
     expected = {
@@ -71,7 +72,7 @@ def test_sums(skewed, following):
         "rows": F.lit(1),
     }
     if following:
-        terms["wait"] = lambda cur, prev, nxt: F.coalesce(nxt["ts"], F.lit(0)) - cur["ts"]
+        terms["wait"] = "coalesce(next_ts, 0) - ts"
         expected["wait"] = F.coalesce(F.lead("ts").over(plain()), F.lit(0)) - F.col("ts")
     ours = sums_over_neighbours(rows, terms, [VALUE, "ts"], following=following)
     per_row = rows.select(STATION, *[v.alias(k) for k, v in expected.items()])
@@ -79,10 +80,16 @@ def test_sums(skewed, following):
     same(ours, theirs)
 
 
-def test_running_sums(skewed):
-    rows = with_neighbours(skewed, [VALUE])
-    ours = with_running_sums(rows, {"total": F.col(VALUE)}).select(STATION, "last_reported", "total")
-    same(ours, skewed.select(STATION, "last_reported", F.sum(VALUE).over(plain()).alias("total")))
+def test_running_changes(skewed):
+    ours = running_changes(skewed, {"v": VALUE}).select(STATION, "last_reported", "v_diff", "v_rises", "v_falls")
+    diff = F.coalesce(F.col(VALUE) - F.lag(VALUE).over(plain()), F.col(VALUE))
+    diffs = skewed.select(STATION, "last_reported", diff.alias("v_diff"))
+    theirs = diffs.select(
+        "*",
+        F.sum(F.expr("if(v_diff > 0, v_diff, 0)")).over(plain()).alias("v_rises"),
+        F.sum(F.expr("if(v_diff < 0, -v_diff, 0)")).over(plain()).alias("v_falls"),
+    )
+    same(ours, theirs)
 
 
 def test_as_of(skewed):
@@ -95,11 +102,10 @@ def test_as_of(skewed):
 
 def test_no_window_over_whole_stations(skewed):
     """The rows are exchanged by (station, segment); the exchange by station alone carries edges of segments."""
-    frame = sums_over_neighbours(skewed, {"n": lambda cur, prev, _: prev[VALUE]}, [VALUE])
+    frame = sums_over_neighbours(skewed, {"n": f"prev_{VALUE}"}, [VALUE])
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
-    windows = [line for line in plan.splitlines() if "Window [" in line]
-    assert len(windows) == 2
-    assert "_segment" in windows[1] and "_segment" not in windows[0]
+    keys = re.findall(r"Window \[.*\], \[([^\]]*)\], \[[^\]]*\]$", plan, re.MULTILINE)
+    assert ["_segment" in k for k in keys] == [False, True]
     between = plan.split("Window [")[1]
     assert "Aggregate [" in between  # reduced to one row per segment before the window by station
 
