@@ -14,26 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockpulse.params import epoch
-
-SEGMENT_SECONDS = 86_400
 STATION = "info_station_id"
 # Rows of one station in time order; the information version breaks ties.
 TIME_ORDER = ("last_reported", "info_reported")
 
 
-def segment_of(column: str, seconds: int = SEGMENT_SECONDS) -> Column:
-    return F.floor(epoch(column) / F.lit(seconds)).cast("long")
-
-
-def _segmented(rows: DataFrame, key: str, order: Sequence[str], carried: Sequence[str]) -> DataFrame:
-    """Rows as (key, _segment, order.., _cur, _prev, _next); the neighbours are null at segment edges."""
-    inside = Window.partitionBy(key, "_segment").orderBy(*order)
-    return rows.withColumn("_segment", segment_of(order[0])).select(
-        "*",
-        F.lag(F.struct(*carried)).over(inside).alias("_prev"),
-        F.lead(F.struct(*carried)).over(inside).alias("_next"),
-    )
+def segment_of(column: str) -> Column:
+    """Number of the UTC day."""
+    return F.unix_date(F.to_date(column))
 
 
 def sums_over_neighbours(
@@ -114,23 +102,30 @@ def with_neighbours(
     carried: Sequence[str],
     key: str = STATION,
     order: Sequence[str] = TIME_ORDER,
+    following: bool = False,
 ) -> DataFrame:
-    """Every row with `_prev` and `_next`: structs of the carried columns of its neighbours in time, or null.
+    """Every row with `_prev` and, if `following`, `_next`: structs of the carried columns of its neighbours in time.
 
-    Inner rows are finished inside their segment; edge rows take a second window per key. Both branches read the
-    same exchange on (key, segment), which Spark writes once.
+    Inner rows are finished inside their segment; the first and last row of each take a second window per key. Both
+    branches read the same exchange on (key, segment), which Spark writes once.
     """
     order = [c for c in order if c in rows.columns]
-    local = _segmented(rows, key, order, carried)
-    at_edge = F.col("_prev").isNull() | F.col("_next").isNull()
+    inside = Window.partitionBy(key, "_segment").orderBy(*order)
     across = Window.partitionBy(key).orderBy(*order)
-    edges = local.where(at_edge).select(
+    near = {"_prev": F.lag(F.struct(*carried))} | ({"_next": F.lead(F.struct(*carried))} if following else {})
+    local = rows.withColumn("_segment", segment_of(order[0])).select(
         *rows.columns,
-        "_segment",
-        F.coalesce("_prev", F.lag(F.struct(*carried)).over(across)).alias("_prev"),
-        F.coalesce("_next", F.lead(F.struct(*carried)).over(across)).alias("_next"),
+        F.lag(order[0]).over(inside).alias("_before"),
+        F.lead(order[0]).over(inside).alias("_after"),
+        *[value.over(inside).alias(name) for name, value in near.items()],
+    )
+    is_inner = F.col("_before").isNotNull() & F.col("_after").isNotNull()
+    inner = local.where(is_inner).select(*rows.columns, *near)
+    edges = local.where(~is_inner).select(
+        *rows.columns,
+        *[F.coalesce(name, value.over(across)).alias(name) for name, value in near.items()],
     )
-    return local.where(~at_edge).unionByName(edges)
+    return inner.unionByName(edges)
 
 
 def running_changes(

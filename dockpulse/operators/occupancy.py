@@ -80,7 +80,7 @@ def occupancy_rows(
     """The status rows that count for occupancy, with the neighbours' values: a missing next row means the range
     end, a missing previous row the range start without bikes and docks."""
     rows = StatusQuery(station_id, start - LOOK_BACK, end + LOOK_AHEAD).on_status(status)
-    rows = with_neighbours(rows, ["last_reported", "num_bikes_available", "num_docks_available"])
+    rows = with_neighbours(rows, ["last_reported", "num_bikes_available", "num_docks_available"], following=True)
     rows = rows.select(
         STATION,
         "last_reported",

@@ -45,7 +45,7 @@ def same(a, b):
 
 
 def test_rows(skewed):
-    ours = with_neighbours(skewed, [VALUE, "last_reported"])
+    ours = with_neighbours(skewed, [VALUE, "last_reported"], following=True)
     same(
         ours.select(STATION, "last_reported", f"_prev.{VALUE}", F.col("_next.last_reported").alias("after")),
         skewed.select(
