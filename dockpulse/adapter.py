@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dockpulse import schemas
 from dockpulse.params import at, epoch
-from dockpulse.session import configure
+from dockpulse.session import configure, size_shuffles
 from dockpulse.sources.tables import read_table, write_status
 
 FIRST_VERSION = datetime(2023, 12, 1)
@@ -32,6 +32,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = configure(spark)
         self.sf_dir = sf_dir
+        size_shuffles(spark, self.raw("events"))
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -3,8 +3,8 @@
 Nearly every operator compares a status row with the row before or after it. A window over
 `partitionBy(station)` would send a station that holds a third of all rows to a single task. Here the rows are
 split by station *and* time segment (a UTC day), which bounds a group: a station has at most one row per second
-and information version, 86 400 seconds a day. Only the rows at the edges of a segment (two per segment at most) lack a neighbour; they
-alone go through a second, small window per station that looks across segments.
+and information version, and a day has 86 400 seconds. Only the first and last row of a segment lack a neighbour;
+they alone go through a second, small window per station that looks across segments.
 """
 
 from __future__ import annotations

@@ -69,8 +69,13 @@ def deduplicated(information: DataFrame) -> DataFrame:
 
 
 def repointed(status_ids: DataFrame, information: DataFrame) -> DataFrame:
-    """Rows whose info_id is replaced by the kept id of the same station version."""
-    same = Window.partitionBy("station_id", "reported")
-    kept = information.select(F.col("id").alias("info_id"), F.min("id").over(same).alias("_kept"))
+    """Rows whose info_id is replaced by the kept id of the same station version.
+
+    The kept ids come from an aggregate that is reduced before the exchange, so that a version with very many copies
+    is never gathered in one task.
+    """
+    version = ["station_id", "reported"]
+    first = information.groupBy(*version).agg(F.min("id").alias("_kept"))
+    kept = information.join(first, version).select(F.col("id").alias("info_id"), "_kept")
     rows = status_ids.join(kept, "info_id", "left")
     return rows.withColumn("info_id", F.coalesce("_kept", "info_id")).select(*status_ids.columns)

@@ -68,9 +68,8 @@ def fresh_responses(responses: DataFrame) -> DataFrame:
         .agg(F.min_by("ttl", "id").cast("long").alias("ttl"), F.min("id").alias("id"))
         .withColumn("segment", F.floor(F.col("updated") / SEGMENT_SECONDS))
     )
-    longest = rows.groupBy("endpoint").agg(F.max("ttl").alias("longest"))
-    reach = F.col("segment") * SEGMENT_SECONDS + F.col("longest")
-    bounded = rows.join(longest, "endpoint").withColumn("reach", reach).drop("longest")
+    longest = rows.agg(F.max("ttl")).scalar()
+    bounded = rows.withColumn("reach", F.col("segment") * SEGMENT_SECONDS + longest)
     exits = bounded.groupBy(*KEYS).applyInPandas(_exits, "endpoint string, segment long, enter long, due long")
     starts = exits.groupBy("endpoint").applyInPandas(_starts, "endpoint string, segment long, start long")
     return rows.join(starts, KEYS).groupBy(*KEYS).applyInPandas(

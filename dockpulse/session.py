@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of this library needs: times are UTC without a zone, and AQE splits skewed joins,
 # coalesces small shuffle partitions and turns joins into broadcasts only after it has seen the real size.
@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot station in a join even if the next step then needs one more exchange
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # streaming state on local disk with changes uploaded to the checkpoint, not in executor memory
     "spark.sql.streaming.stateStore.providerClass": (
@@ -52,6 +54,25 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Bytes of scanned files per shuffle partition to start with; AQE merges those that turn out small.
+SHUFFLE_BYTES = 128 * 1024 * 1024
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+MOST_PARTITIONS = 200_000
+
+
+def size_shuffles(spark: SparkSession, largest: DataFrame) -> None:
+    """Let exchanges start with enough partitions for the largest input, known from its files without a job.
+
+    A fixed `spark.sql.shuffle.partitions` that fits a test would give partitions of many gigabytes on a large table.
+    """
+    size = int(str(largest._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = min(size // SHUFFLE_BYTES + 1, MOST_PARTITIONS)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(INITIAL_PARTITIONS, str(wanted))
+    else:
+        spark.conf.unset(INITIAL_PARTITIONS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: `spark.checkpoint.dir`; a local folder only if unset on a local master."""
     context = spark.sparkContext
