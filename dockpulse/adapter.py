@@ -221,7 +221,9 @@ class Tables:
             F.struct(
                 F.col("mechanical_count").alias("_mechanical_count"), F.col("ebike_count").alias("_ebike_count")
             ).alias("_vehicle_count"),
-            F.lit("1.0").alias("build_version"),
+            *[F.lit("1.0").alias(f"build_{part}") for part in ("hash", "label", "number", "version")],
+            F.lit("en").alias("language"),
+            F.lit("bikes").alias("system_id"),
             F.lit("12").alias("mobile_head_version"),
             F.lit("8").alias("mobile_minimum_supported_version"),
             F.lit("bike_share").alias("name"),
@@ -229,6 +231,13 @@ class Tables:
         )
         return self.system_counts().select(document(None, data, epoch("reported")).alias("value"))
 
+    def log_documents(self) -> DataFrame:
+        """One region document per event: good ones, JSON of another shape, and text that is not JSON."""
+        region = F.struct(F.col("user_id").cast("string").alias("region_id"), F.col("event_type").alias("region_name"))
+        good = document("regions", region, epoch("s"))
+        value = F.when(F.col("k") % 20 == 0, F.lit("gateway timeout")).when(F.col("k") % 10 == 0, F.col("props"))
+        return self.events().select("s", value.otherwise(good).alias("value"))
+
     def dimension_documents(self, kind: str) -> DataFrame:
         text = lambda name: F.col(name).cast("string")
         rows, key, item = {

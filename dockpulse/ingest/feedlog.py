@@ -6,25 +6,22 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dockpulse.params import at, from_epoch
 from dockpulse.sources import gbfs
 
 
-def log_rows(
-    documents: DataFrame, endpoint: str, key: str | None, item: T.StructType, now: datetime | None = None
-) -> DataFrame:
+def log_rows(documents: DataFrame, feed: gbfs.Feed, now: datetime | None = None) -> DataFrame:
     """One log row per document: its update time if it decodes, else the time of reading, a message, and the body if
     it is JSON at all (`null` otherwise)."""
     read_at = F.current_timestamp().cast("timestamp_ntz") if now is None else at(now)
-    rows = gbfs.parse(documents, key, item).withColumn("success", gbfs.decoded(key))
+    rows = gbfs.parse(documents, feed).withColumn("success", gbfs.decoded(feed))
     body = F.when(F.try_parse_json("value").isNull(), F.lit("null")).otherwise(F.col("value"))
     return rows.select(
         F.when(F.col("success"), from_epoch(F.col("doc.last_updated"))).otherwise(read_at).alias("time"),
-        F.lit(endpoint).alias("endpoint"),
+        F.lit(feed.endpoint).alias("endpoint"),
         "success",
-        F.when(~F.col("success"), F.concat(F.lit("Decode failure: "), F.lit(endpoint))).alias("error_msg"),
+        F.when(~F.col("success"), F.concat(F.lit("Decode failure: "), F.lit(feed.endpoint))).alias("error_msg"),
         F.when(~F.col("success"), body).alias("error_json"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from dockpulse.functions.neighbours import STATION
 from dockpulse.ingest import feedlog, information, status
 from dockpulse.operators import occupancy, stations
 from dockpulse.params import StatusQuery
-from dockpulse.registry.base import END, START, query
+from dockpulse.registry.base import END, NOW, START, query
 from dockpulse.registry.operators import FROM, INFO, TO, info, occupancy_sql
 from dockpulse.session import shared_dir
 from dockpulse.sources import gbfs, tables
@@ -84,7 +85,8 @@ def vehicle_types(t):
 
 
 def _folder(t: Tables, name: str) -> str:
-    return f"{shared_dir(t.spark)}/{name}"
+    """A new folder for every run, so that no run replaces the files another one still reads."""
+    return f"{shared_dir(t.spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
 FIRST_DAY, LAST_DAY = date(2024, 1, 1), date(2024, 1, 20)
@@ -237,23 +239,14 @@ def system_information_insert(t):
     return feedlog.system_rows(t.system_documents())[1]
 
 
-@query(
-    "i7_feed_log",
-    """select case when k % 10 <> 0 then s else timestamp '2024-01-31' end "time", 'station_status' endpoint, k % 10 <> 0 success,
-         case when k % 10 = 0 then 'Decode failure: station_status' end error_msg,
-         case when k % 20 = 0 then 'null' when k % 10 = 0 then props end error_json from ev""",
-)
+LOG_SQL = """select case when k % 10 <> 0 then s else timestamp '2024-01-31' end "time", 'system_regions' endpoint,
+  k % 10 <> 0 success, case when k % 10 = 0 then 'Decode failure: system_regions' end error_msg,
+  case when k % 20 = 0 then 'null' when k % 10 = 0 then props end error_json from ev"""
+
+
+@query("i7_feed_log", LOG_SQL)
 def feed_log(t):
-    """One document per event: good ones, JSON of another shape, and text that is not JSON."""
-    from dockpulse.adapter import document
-    from dockpulse.params import epoch
-    from dockpulse.registry.base import NOW
-
-    item = F.struct(F.col("user_id").cast("string").alias("station_id"))
-    good = document("stations", item, epoch("s"))
-    value = F.when(F.col("k") % 20 == 0, F.lit("gateway timeout")).when(F.col("k") % 10 == 0, F.col("props"))
-    documents = t.events().select(value.otherwise(good).alias("value"))
-    return feedlog.log_rows(documents, "station_status", "stations", schemas.FEED_STATION_STATUS, NOW)
+    return feedlog.log_rows(t.log_documents(), gbfs.REGIONS, NOW)
 
 
 CALCULATED = datetime(2024, 2, 2)

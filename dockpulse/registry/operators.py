@@ -754,6 +754,11 @@ def station_list_order(t):
     return ordered.select("id", "station_id", "capacity")
 
 
+@query("t6_newest_errors", """select id, "time", endpoint, error_msg from ql where not success order by "time" desc, id desc limit 50""")
+def newest_errors(t):
+    return feed.query_errors(t.query_log(), 50).select("id", "time", "endpoint", "error_msg")
+
+
 @query("u1_union_all", "select station_id, reported t from si union all select info_station_id, last_reported from ss")
 def union_all(t):
     return t.information().select("station_id", F.col("reported").alias("t")).unionAll(t.status().select(STATION, "last_reported"))

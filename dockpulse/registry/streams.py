@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from dockpulse import schemas
-from dockpulse.adapter import SNAPSHOT, Tables, document
+from dockpulse.adapter import SNAPSHOT, Tables
 from dockpulse.operators import staleness
 from dockpulse.params import at, epoch
 from dockpulse.registry.base import NOW, query
-from dockpulse.registry.ingest import _VERSION, CHANGES_SQL
+from dockpulse.registry.ingest import _VERSION, CHANGES_SQL, LOG_SQL
 from dockpulse.registry.operators import GRID_SQL
 from dockpulse.session import shared_dir
+from dockpulse.sources import gbfs
 from dockpulse.streaming import feed, status, store
 
 SLICES = (datetime(2024, 1, 9), datetime(2024, 1, 17), datetime(2024, 1, 25), datetime(2024, 2, 2))
@@ -174,22 +175,11 @@ def information_merge(t):
     return feed.current_information(t.spark, run.path("out")).select(*_VERSION)
 
 
-@query(
-    "st7_feed_log",
-    """select case when k % 10 <> 0 then s else timestamp '2024-01-31' end "time", 'station_status' endpoint, k % 10 <> 0 success
-       from ev""",
-)
+@query("st7_feed_log", LOG_SQL)
 def feed_log(t):
     run = Run(t, "log")
-    good = document("stations", F.struct(F.col("user_id").cast("string").alias("station_id")), epoch("s"))
-    events = t.events().withColumn("value", F.when(F.col("k") % 10 == 0, F.lit("gateway timeout")).otherwise(good))
-    slices = [part.select("value") for part in _slices(events, "s")]
-
-    def sink(stream: DataFrame) -> DataStreamWriter:
-        log = feed.log_stream(stream, "station_status", "stations", schemas.FEED_STATION_STATUS, NOW)
-        return run.to_parquet(log.select("time", "endpoint", "success"))
-
-    run.feed_slices(slices, sink, text=True)
+    slices = [part.select("value") for part in _slices(t.log_documents(), "s")]
+    run.feed_slices(slices, lambda s: run.to_parquet(feed.log_stream(s, gbfs.REGIONS, NOW)), text=True)
     return run.result()
 
 

@@ -6,6 +6,9 @@ station, and is exploded at once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,55 +33,112 @@ def stream_documents(spark: SparkSession, path: str, files_per_trigger: int = 10
     )
 
 
-def parse(documents: DataFrame, key: str | None, item: T.StructType) -> DataFrame:
-    """Documents with a `doc` struct; `doc._corrupt` holds the text if it could not be decoded."""
-    schema = schemas.envelope(key, item)
+@dataclass(frozen=True)
+class Feed:
+    """A kind of feed document: the endpoint it comes from, where its items are, and what makes an item valid."""
+
+    endpoint: str
+    key: str | None
+    item: T.StructType
+    optional: tuple[str, ...] = ()
+    check: Callable[[Column], Column] | None = None
+
+    def valid(self, item: Column) -> Column:
+        result = F.lit(True)
+        for name in self.item.names:
+            if name not in self.optional:
+                result = result & item[name].isNotNull()
+        return result if self.check is None else result & F.coalesce(self.check(item), F.lit(False))
+
+
+def _known(value: Column, allowed: tuple[str, ...]) -> Column:
+    return value.isNull() | value.isin(*allowed)
+
+
+def _check_status(item: Column) -> Column:
+    known = F.forall(
+        item["vehicle_types_available"],
+        lambda v: v["vehicle_type_id"].isin(*schemas.VEHICLE_TYPES) & v["count"].isNotNull(),
+    )
+    numbered = item["station_id"].try_cast("int").isNotNull()
+    return numbered & item["status"].isin(*schemas.STATION_STATES) & known
+
+
+def _check_information(item: Column) -> Column:
+    methods = F.coalesce(item["rental_methods"], F.array().cast("array<string>"))
+    return (
+        item["station_id"].try_cast("int").isNotNull()
+        & _known(item["physical_configuration"], schemas.PHYSICAL_CONFIGURATIONS)
+        & F.forall(methods, lambda m: F.upper(m).isin(*schemas.RENTAL_METHODS))
+    )
+
+
+STATION_INFORMATION = Feed(
+    "station_information",
+    "stations",
+    schemas.FEED_STATION_INFORMATION,
+    ("physical_configuration", "altitude", "address", "rental_methods", "is_valet_station"),
+    _check_information,
+)
+STATION_STATUS = Feed(
+    "station_status", "stations", schemas.FEED_STATION_STATUS, ("last_reported", "traffic"), _check_status
+)
+SYSTEM_INFORMATION = Feed("system_information", None, schemas.FEED_SYSTEM_INFORMATION)
+VEHICLE_TYPES = Feed("vehicle_types", "vehicle_types", schemas.FEED_VEHICLE_TYPE)
+REGIONS = Feed("system_regions", "regions", schemas.FEED_REGION)
+PRICING_PLANS = Feed("system_pricing_plans", "plans", schemas.FEED_PRICING_PLAN)
+VERSIONS = Feed("versions", "versions", schemas.FEED_VERSION)
+
+
+def parse(documents: DataFrame, feed: Feed) -> DataFrame:
+    """Documents with a `doc` struct; `doc._corrupt` holds the text if it is not JSON of the right shape."""
+    schema = schemas.envelope(feed.key, feed.item)
     schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     return documents.withColumn("doc", F.from_json("value", schema, options))
 
 
-def decoded(key: str | None) -> Column:
-    """Whether a parsed document has its header and data."""
-    data = F.col("doc.data") if key is None else F.col("doc.data")[key]
-    return F.col(f"doc.{CORRUPT}").isNull() & F.col("doc.last_updated").isNotNull() & data.isNotNull()
+def decoded(feed: Feed) -> Column:
+    """Whether a parsed document has its header and nothing but valid items: one bad item spoils the document."""
+    data = F.col("doc.data") if feed.key is None else F.col("doc.data")[feed.key]
+    header = F.col(f"doc.{CORRUPT}").isNull() & F.col("doc.last_updated").isNotNull() & F.col("doc.ttl").isNotNull()
+    content = feed.valid(data) if feed.key is None else F.forall(data, feed.valid)
+    return header & data.isNotNull() & F.coalesce(content, F.lit(False))
 
 
-def items(documents: DataFrame, key: str, item: T.StructType) -> DataFrame:
-    """One row per element of `data.<key>`: the header columns and an `item` struct."""
+def items(documents: DataFrame, feed: Feed) -> DataFrame:
+    """One row per element of the data list of documents that decode: the header columns and an `item` struct."""
     return (
-        parse(documents, key, item)
-        .where(decoded(key))
-        .select(
-            "doc.last_updated", "doc.ttl", "doc.version", F.explode(F.col("doc.data")[key]).alias("item")
-        )
+        parse(documents, feed)
+        .where(decoded(feed))
+        .select("doc.last_updated", "doc.ttl", "doc.version", F.explode(F.col("doc.data")[feed.key]).alias("item"))
     )
 
 
-def dimension(documents: DataFrame, key: str, item: T.StructType) -> DataFrame:
+def dimension(documents: DataFrame, feed: Feed) -> DataFrame:
     """Small feed dimensions as they come: vehicle types, regions, pricing plans, versions."""
-    return items(documents, key, item).select(from_epoch(F.col("last_updated")).alias("reported"), "item.*")
+    return items(documents, feed).select(from_epoch(F.col("last_updated")).alias("reported"), "item.*")
 
 
 def vehicle_types(documents: DataFrame) -> DataFrame:
-    return dimension(documents, "vehicle_types", schemas.FEED_VEHICLE_TYPE)
+    return dimension(documents, VEHICLE_TYPES)
 
 
 def regions(documents: DataFrame) -> DataFrame:
-    return dimension(documents, "regions", schemas.FEED_REGION)
+    return dimension(documents, REGIONS)
 
 
 def pricing_plans(documents: DataFrame) -> DataFrame:
-    return dimension(documents, "plans", schemas.FEED_PRICING_PLAN)
+    return dimension(documents, PRICING_PLANS)
 
 
 def versions(documents: DataFrame) -> DataFrame:
-    return dimension(documents, "versions", schemas.FEED_VERSION)
+    return dimension(documents, VERSIONS)
 
 
 def station_information(documents: DataFrame) -> DataFrame:
     """Station rows of information documents, reported at the time of their document."""
-    rows = items(documents, "stations", schemas.FEED_STATION_INFORMATION).select("last_updated", "item.*")
+    rows = items(documents, STATION_INFORMATION).select("last_updated", "item.*")
     text = F.lit("")
     uris = [F.coalesce(F.col(f"rental_uris.{n}"), text) for n in ("android", "ios", "web")]
     methods = F.coalesce("rental_methods", F.array().cast("array<string>"))
@@ -97,7 +157,7 @@ def station_information(documents: DataFrame) -> DataFrame:
 
 def station_status(documents: DataFrame) -> DataFrame:
     """Status rows of status documents; stations that never reported are left out."""
-    rows = items(documents, "stations", schemas.FEED_STATION_STATUS).select("item.*")
+    rows = items(documents, STATION_STATUS).select("item.*")
     counts = F.map_from_entries(
         F.transform("vehicle_types_available", lambda v: F.struct(v["vehicle_type_id"], v["count"]))
     )
@@ -113,7 +173,7 @@ def station_status(documents: DataFrame) -> DataFrame:
 
 
 def _system(documents: DataFrame) -> DataFrame:
-    rows = parse(documents, None, schemas.FEED_SYSTEM_INFORMATION).where(decoded(None))
+    rows = parse(documents, SYSTEM_INFORMATION).where(decoded(SYSTEM_INFORMATION))
     return rows.select(from_epoch(F.col("doc.last_updated")).alias("reported"), "doc.data.*")
 
 

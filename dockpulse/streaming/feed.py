@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,15 +37,21 @@ def current_information(spark: SparkSession, path: str) -> DataFrame:
     return store.read_latest(spark, path, schemas.STATION_INFORMATION)
 
 
-def log_stream(documents: DataFrame, endpoint: str, key: str | None, item: T.StructType, now=None) -> DataFrame:
+def log_stream(documents: DataFrame, kind: gbfs.Feed, now: datetime | None = None) -> DataFrame:
     """Log rows of a document stream; failed documents are the error stream."""
-    return feedlog.log_rows(documents, endpoint, key, item, now)
-
-
-def envelopes(documents: DataFrame, key: str | None, item: T.StructType) -> DataFrame:
-    """Header of every document that decodes, with its text."""
-    parsed = gbfs.parse(documents, key, item).where(gbfs.decoded(key))
-    return parsed.select(F.col("doc.last_updated").alias("updated"), F.col("doc.ttl").alias("ttl"), "value")
+    return feedlog.log_rows(documents, kind, now)
+
+
+def envelopes(documents: DataFrame, kind: gbfs.Feed, feed: str) -> DataFrame:
+    """(feed, endpoint, updated, ttl, value) of every document that decodes."""
+    parsed = gbfs.parse(documents, kind).where(gbfs.decoded(kind))
+    return parsed.select(
+        F.lit(feed).alias("feed"),
+        F.lit(kind.endpoint).alias("endpoint"),
+        F.col("doc.last_updated").alias("updated"),
+        F.col("doc.ttl").cast("long").alias("ttl"),
+        "value",
+    )
 
 
 def fresh_envelopes(stream: DataFrame) -> DataFrame:

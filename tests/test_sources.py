@@ -87,7 +87,13 @@ def test_system_information_file(spark, tmp_path):
     data = {
         "_station_count": 756,
         "_vehicle_count": {"_ebike_count": 825, "_mechanical_count": 8126},
+        "build_hash": "2a5",
+        "build_label": "2023",
+        "build_number": "267",
         "build_version": "2023.1",
+        "language": "en",
+        "name": "bikes",
+        "system_id": "bikes",
         "mobile_head_version": "2",
         "mobile_minimum_supported_version": "1",
         "timezone": "America/Toronto",
@@ -98,6 +104,26 @@ def test_system_information_file(spark, tmp_path):
     assert information.first().mobile_head_version == 2
 
 
+def test_one_bad_item_spoils_a_document(spark):
+    good = envelope("stations", [STATUS])
+    bad = [
+        {**STATUS, "status": "CLOSED"},
+        {**STATUS, "vehicle_types_available": [{"vehicle_type_id": "TRICYCLE", "count": 1}]},
+        {**STATUS, "num_bikes_available": None},
+        {**STATUS, "num_docks_available": "many"},
+        {**STATUS, "station_id": "x"},
+    ]
+    documents = spark.createDataFrame([(good,), *[(envelope("stations", [STATUS, b]),) for b in bad]], "value string")
+    assert gbfs.station_status(documents).count() == 1
+    stations = [
+        {**INFORMATION, "physical_configuration": None},
+        {**INFORMATION, "physical_configuration": "TENT"},
+        {**INFORMATION, "rental_methods": ["COINS"]},
+    ]
+    documents = spark.createDataFrame([(envelope("stations", [s]),) for s in stations], "value string")
+    assert gbfs.station_information(documents).count() == 1
+
+
 def test_empty_dimension(spark, tmp_path):
     (tmp_path / "a.json").write_text(envelope("regions", []))
     assert gbfs.regions(gbfs.read_documents(spark, str(tmp_path))).count() == 0
@@ -109,7 +135,7 @@ def test_log_of_good_and_bad_files(spark, tmp_path):
     (tmp_path / "c.json").write_text("<html>")
     now = datetime(2024, 1, 1)
     documents = gbfs.read_documents(spark, str(tmp_path)).orderBy("file")
-    rows = feedlog.log_rows(documents, "station_status", "stations", schemas.FEED_STATION_STATUS, now).collect()
+    rows = feedlog.log_rows(documents, gbfs.STATION_STATUS, now).collect()
     assert [r.success for r in rows] == [True, False, False]
     assert [r.time for r in rows] == [datetime(2023, 9, 8, 22, 16, 35), now, now]
     assert [r.error_json for r in rows] == [None, '{"message": "limit"}', "null"]
