@@ -15,8 +15,8 @@ import time
 
 from dockpulse.adapter import StoredTables, Tables
 from dockpulse.operators.occupancy import occupancy
-from dockpulse.registry.base import END, REGISTRY, START
-from dockpulse import registry  # noqa: F401  fills REGISTRY
+from dockpulse.registry import REGISTRY
+from dockpulse.registry.base import END, START
 from dockpulse.session import local_session
 
 HEADLINES = {

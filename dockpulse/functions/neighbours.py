@@ -30,12 +30,12 @@ def sums_over_neighbours(
     carried: Sequence[str],
     key: str = STATION,
     order: Sequence[str] = TIME_ORDER,
-    following: bool = False,
+    following: Sequence[str] = (),
 ) -> DataFrame:
     """Per key, the sum of every term over all rows.
 
-    A term is SQL over the carried columns `c` of the row, `prev_c` of the row before it and, if `following`,
-    `next_c` of the row after it; these are null where there is no such row.
+    A term is SQL over the carried columns `c` of the row, `prev_c` of the row before it and, for those named in
+    `following`, `next_c` of the row after it; these are null where there is no such row.
     One exchange of the needed columns on (key, segment). In the same stage each segment is reduced to its inner sums
     and the values of its first and last row, so that the exchange on key alone carries one row per segment.
     """
@@ -48,7 +48,7 @@ def sums_over_neighbours(
         F.lag(order[0]).over(inside).alias("_before"),
         F.lead(order[0]).over(inside).alias("_after"),
         *[F.lag(c).over(inside).alias(f"prev_{c}") for c in carried],
-        *[F.lead(c).over(inside).alias(f"next_{c}") for c in carried if following],
+        *[F.lead(c).over(inside).alias(f"next_{c}") for c in following],
     )
     complete = "_before is not null and _after is not null" if following else "_before is not null"
 
@@ -58,7 +58,7 @@ def sums_over_neighbours(
     edges = [only("_before is null", c, f"first_{c}") for c in carried]
     edges += [only("_after is null", c, f"last_{c}") for c in carried]
     if following:
-        edges += [only("_before is null", f"next_{c}", f"first_next_{c}") for c in carried]
+        edges += [only("_before is null", f"next_{c}", f"first_next_{c}") for c in following]
         edges += [only("_after is null", f"prev_{c}", f"last_prev_{c}") for c in carried]
         edges.append(F.expr("count(*) as _rows"))
     inner = [F.expr(f"sum(case when {complete} then {term} end) as _inner_{name}") for name, term in terms.items()]
@@ -77,13 +77,12 @@ def sums_over_neighbours(
         bridged = per_segment.select(
             "*",
             *[before[c].alias(f"before_{c}") for c in carried],
-            *[F.lead(f"first_{c}").over(across).alias(f"after_{c}") for c in carried],
+            *[F.lead(f"first_{c}").over(across).alias(f"after_{c}") for c in following],
         )
-        first = [
-            f"first_{c} as {c}, before_{c} as prev_{c}, if(_rows = 1, after_{c}, first_next_{c}) as next_{c}"
-            for c in carried
-        ]
-        last = [f"last_{c} as {c}, last_prev_{c} as prev_{c}, after_{c} as next_{c}" for c in carried]
+        first = [f"first_{c} as {c}, before_{c} as prev_{c}" for c in carried]
+        first += [f"if(_rows = 1, after_{c}, first_next_{c}) as next_{c}" for c in following]
+        last = [f"last_{c} as {c}, last_prev_{c} as prev_{c}" for c in carried]
+        last += [f"after_{c} as next_{c}" for c in following]
         # the inner sums travel with the first row of the segment only
         inner_once = [f"_inner_{name}" for name in terms]
         nothing = [f"cast(null as bigint) as {name}" for name in inner_once]

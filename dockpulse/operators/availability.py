@@ -22,22 +22,28 @@ BIKE_FACTORS = ("iconic_available", "efit_available", "efit_g5_available")
 STATION_FACTORS = tuple(c for c in COUNTERS if c not in BIKE_FACTORS)
 
 
-_ELAPSED = "(seconds - prev_seconds)"
+def integral_terms(within: tuple[int, int] | None = None) -> dict[str, str]:
+    """Terms of the integrals over rows with a `ts` column; only between rows inside the range if one is given."""
+    elapsed = "ts - prev_ts"
+    if within is not None:
+        elapsed = f"if(prev_ts >= {within[0]} and ts <= {within[1]}, {elapsed}, 0)"
+    terms = {"total_seconds": elapsed}
+    return terms | {f"{name}_seconds": f"{column} * ({elapsed})" for name, column in COUNTERS.items()}
 
 
-def integrals(status: DataFrame, information: DataFrame, query: StatusQuery = StatusQuery()) -> DataFrame:
-    """Per active station: each counter times the seconds since the row before, summed, and the seconds in all."""
-    rows = query.on_status(status).withColumn("seconds", epoch("last_reported"))
-    terms = {"total_seconds": _ELAPSED}
-    for name, column in COUNTERS.items():
-        terms[f"{name}_seconds"] = f"{column} * {_ELAPSED}"
-    sums = sums_over_neighbours(rows, terms, ["seconds", *COUNTERS.values()])
+def with_active_station(sums: DataFrame, information: DataFrame, query: StatusQuery) -> DataFrame:
     stations = active_information(query.on_information_station(information)).select(
         F.col("station_id").alias(STATION), F.col("is_charging_station").alias("charging"), "capacity"
     )
-    return sums.join(stations, STATION, "inner").select(
-        F.col(STATION).alias("station_id"), "charging", "capacity", *terms
-    )
+    return sums.join(stations, STATION, "inner").withColumnRenamed(STATION, "station_id")
+
+
+def integrals(status: DataFrame, information: DataFrame, query: StatusQuery = StatusQuery()) -> DataFrame:
+    """Per active station: each counter times the seconds since the row before, summed, and the seconds in all."""
+    rows = query.on_status(status).withColumn("ts", epoch("last_reported"))
+    terms = integral_terms()
+    sums = sums_over_neighbours(rows, terms, ["ts", *COUNTERS.values()])
+    return with_active_station(sums, information, query).select("station_id", "charging", "capacity", *terms)
 
 
 def _factor(seconds: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockpulse import schemas
@@ -15,6 +15,37 @@ from dockpulse.params import StatusQuery, at, epoch, epoch_of, in_time_range
 LOOK_BACK, LOOK_AHEAD = timedelta(hours=12), timedelta(hours=1)
 
 
+def occupancy_terms(start: datetime, end: datetime, empty_thresh: int = 0, full_thresh: int = 0) -> dict[str, str]:
+    """Terms of the occupancy sums over rows with a `ts` column; `next_ts` is needed."""
+    first, last = epoch_of(start), epoch_of(end)
+    bikes, docks = "num_bikes_available", "num_docks_available"
+    # seconds for which a row holds inside the range
+    held = f"greatest(0, least(coalesce(next_ts, {last}), {last}) - greatest(ts, {first}))"
+    # rows that decide between null and a number of seconds
+    before, after = f"coalesce(prev_ts, {first})", f"coalesce(next_ts, {last})"
+    in_range = f"(ts < {last} and {after} >= {first} or {before} < {first} and ts >= {first})"
+    low = f"least({bikes}, coalesce(prev_{bikes}, 0)) <= {empty_thresh}"
+    full = f"least({docks}, coalesce(prev_{docks}, 0)) <= {full_thresh}"
+    return {
+        "empty": f"if({bikes} = {empty_thresh}, {held}, 0)",
+        "full": f"if({docks} = {full_thresh}, {held}, 0)",
+        "relevant": f"if({in_range} and ({low} or {full}), 1, 0)",
+        "reported": f"if(ts between {first} and {last}, 1, 0)",
+    }
+
+
+def rows_around(status: DataFrame, start: datetime, end: datetime, station_id: int | None = None) -> DataFrame:
+    """The status rows that can matter for a range, with `ts`."""
+    rows = StatusQuery(station_id, start - LOOK_BACK, end + LOOK_AHEAD).on_status(status)
+    return rows.withColumn("ts", epoch("last_reported"))
+
+
+def occupancy_seconds() -> list[Column]:
+    """empty_sec and full_sec from the occupancy sums."""
+    decided = F.col("relevant") > 0
+    return [F.when(decided, F.col(kind)).alias(f"{kind}_sec") for kind in ("empty", "full")]
+
+
 def occupancy(
     status: DataFrame,
     information: DataFrame,
@@ -28,33 +59,11 @@ def occupancy(
 
     Null seconds: the station was never empty or full, nor just after either, in the range.
     """
-    first, last = epoch_of(start), epoch_of(end)
-    seen = StatusQuery(station_id, start - LOOK_BACK, end + LOOK_AHEAD).on_status(status)
-    rows = seen.select(
-        STATION,
-        "last_reported",
-        "info_reported",
-        epoch("last_reported").alias("ts"),
-        F.col("num_bikes_available").alias("bikes"),
-        F.col("num_docks_available").alias("docks"),
-    )
-    # seconds for which a row holds inside the range
-    held = f"greatest(0, least(coalesce(next_ts, {last}), {last}) - greatest(ts, {first}))"
-    # rows that decide between null and a number of seconds
-    before, after = f"coalesce(prev_ts, {first})", f"coalesce(next_ts, {last})"
-    in_range = f"(ts < {last} and {after} >= {first} or {before} < {first} and ts >= {first})"
-    low = f"least(bikes, coalesce(prev_bikes, 0)) <= {empty_thresh}"
-    full = f"least(docks, coalesce(prev_docks, 0)) <= {full_thresh}"
     sums = sums_over_neighbours(
-        rows,
-        {
-            "empty": f"if(bikes = {empty_thresh}, {held}, 0)",
-            "full": f"if(docks = {full_thresh}, {held}, 0)",
-            "relevant": f"if({in_range} and ({low} or {full}), 1, 0)",
-            "reported": f"if(ts between {first} and {last}, 1, 0)",
-        },
-        ["ts", "bikes", "docks"],
-        following=True,
+        rows_around(status, start, end, station_id),
+        occupancy_terms(start, end, empty_thresh, full_thresh),
+        ["ts", "num_bikes_available", "num_docks_available"],
+        following=["ts"],
     ).where("reported > 0")
     stations = newest_reported_information(
         StatusQuery(station_id).on_information_station(information), end
@@ -64,8 +73,7 @@ def occupancy(
         "name",
         "capacity",
         F.col("version").alias("reported"),
-        F.when(F.col("relevant") > 0, F.col("empty")).alias("empty_sec"),
-        F.when(F.col("relevant") > 0, F.col("full")).alias("full_sec"),
+        *occupancy_seconds(),
     )
 
 

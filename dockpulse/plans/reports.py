@@ -7,10 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockpulse.functions.neighbours import STATION
+from dockpulse.functions.neighbours import STATION, sums_over_neighbours
 from dockpulse.operators import availability, events, feed, quality, stations, system
-from dockpulse.operators.occupancy import occupancy
-from dockpulse.params import StatusQuery, seconds_per_step
+from dockpulse.operators.occupancy import occupancy, occupancy_seconds, occupancy_terms, rows_around
+from dockpulse.params import StatusQuery, epoch_of, seconds_per_step
 
 MAX_STEPS = 20
 
@@ -51,11 +51,32 @@ def system_series(status: DataFrame, start: datetime, end: datetime, max_steps:
     )
 
 
-def performance(status: DataFrame, information: DataFrame, start: datetime, end: datetime, station_id=None) -> DataFrame:
-    """Integrals, factors and time empty and full of each station."""
-    integral = availability.integrals(status, information, StatusQuery(station_id, start, end))
-    times = occupancy(status, information, start, end, station_id).select("station_id", "empty_sec", "full_sec")
-    return availability.with_factors(integral).join(times, "station_id", "left")
+def performance(
+    status: DataFrame, information: DataFrame, start: datetime, end: datetime, station_id: int | None = None
+) -> DataFrame:
+    """Integrals, factors and time empty and full of each active station, from one pass over the status rows.
+
+    The integrals count only pairs of rows inside the range, as if the rows around it were not there.
+    """
+    terms = availability.integral_terms((epoch_of(start), epoch_of(end)))
+    sums = sums_over_neighbours(
+        rows_around(status, start, end, station_id),
+        terms | occupancy_terms(start, end),
+        ["ts", *availability.COUNTERS.values()],
+        following=["ts"],
+    ).where("reported > 0")
+    rows = availability.with_active_station(sums, information, StatusQuery(station_id))
+    # times are known for stations that had a version by the end of the range
+    versions = StatusQuery(station_id, None, end).on_information_until(information).select("station_id").distinct()
+    rows = rows.join(versions.withColumn("_known", F.lit(True)), "station_id", "left")
+    integral = rows.select(
+        "station_id",
+        "charging",
+        "capacity",
+        *terms,
+        *[F.when(F.col("_known"), seconds).alias(n) for n, seconds in zip(("empty_sec", "full_sec"), occupancy_seconds(), strict=True)],
+    )
+    return availability.with_factors(integral)
 
 
 def station_list(status: DataFrame, information: DataFrame, end: datetime) -> DataFrame:

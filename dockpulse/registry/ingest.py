@@ -15,7 +15,7 @@ from dockpulse.ingest import feedlog, information, status
 from dockpulse.operators import occupancy, stations
 from dockpulse.params import StatusQuery
 from dockpulse.registry.base import END, NOW, START, query
-from dockpulse.registry.operators import FROM, INFO, TO, info, occupancy_sql
+from dockpulse.registry.operators import FROM, INFO, TO, occupancy_sql
 from dockpulse.session import shared_dir
 from dockpulse.sources import gbfs, tables
 
@@ -234,6 +234,13 @@ def change_capture(t):
     return status.status_changes(t.status())
 
 
+@query("snk5_append_changes", f"select * from {CHANGES_SQL.format(first='rn = 1 or')} c")
+def append_changes(t):
+    """All changes appended to a table that holds the earlier ones already."""
+    changes = status.status_changes(t.status())
+    return status.append_changes(StatusQuery(None, None, FROM).on_status(changes), changes)
+
+
 @query("i6_system_information_insert", "select * from sc")
 def system_information_insert(t):
     return feedlog.system_rows(t.system_documents())[1]

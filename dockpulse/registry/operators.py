@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockpulse.adapter import Tables
+from dockpulse.functions import labels
 from dockpulse.functions.neighbours import STATION, with_neighbours
 from dockpulse.ingest import status as status_ingest
 from dockpulse.operators import availability, events, feed, occupancy, quality, stations, system
@@ -778,3 +779,17 @@ def distinct_rows(t):
 def long_form(t):
     names = {"mechanical_count": "Mechanical Count", "ebike_count": "E-Bike Count"}
     return system.long_form(t.system_counts(), ["reported"], names)
+
+
+@query(
+    "x_value_labels",
+    """select case endpoint when 'station_status' then 'Station status' when 'station_information' then 'Station information'
+         when 'system_information' then 'System information' when 'versions' then 'Versions'
+         when 'vehicle_types' then 'Vehicle types' end label, count(*) n from ql group by 1
+       union all select case physical_configuration when 'REGULAR' then 'Regular' else 'Vault' end, count(*) from si group by 1""",
+)
+def value_labels(t):
+    log = t.query_log().select(labels.label("endpoint", labels.ENDPOINTS).alias("label"))
+    kinds = t.information().select(labels.label("physical_configuration", labels.PHYSICAL_CONFIGURATIONS).alias("label"))
+    counted = [rows.groupBy("label").agg(F.count("*").alias("n")) for rows in (log, kinds)]
+    return counted[0].unionAll(counted[1])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dockpulse.adapter import Tables
 from dockpulse.functions.neighbours import STATION
-from dockpulse.operators import events, occupancy, stations
+from dockpulse.operators import events, occupancy, stations, system
 from dockpulse.plans import reports
 from dockpulse.registry.base import END, START, ZONE, query
 from dockpulse.registry.operators import (
@@ -22,7 +22,6 @@ from dockpulse.registry.operators import (
     MISMATCH_SQL,
     TOTALS_SQL,
     WHOLE,
-    charging,
     docking,
     factors,
     integrals,
@@ -160,9 +159,7 @@ def query_history(t):
          ebike_count "E-Bike Count" from sc group by 2, 3, 4""",
 )
 def system_information_history(t):
-    from dockpulse.operators.system import system_count_history
-
-    return system_count_history(t.system_counts()).select(
+    return system.system_count_history(t.system_counts()).select(
         F.col("reported").alias("Reported"),
         F.col("station_count").alias("Station Count"),
         F.col("mechanical_count").alias("Mechanical Count"),

@@ -24,8 +24,14 @@ SETTINGS = {
 }
 
 
-# Only for sessions made here: plans are built by many small calls, each of which would record its call site.
-BUILD_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+# Only for the small local sessions made here.
+LOCAL_SETTINGS = {
+    # plans are built by many small calls, each of which would record its call site
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # merge shuffle partitions by size, even below the number of cores
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
+}
 
 
 def local_session(
@@ -42,7 +48,7 @@ def local_session(
     )
     if checkpoint_dir is not None:
         builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
-    for key, value in (SETTINGS | BUILD_SETTINGS).items():
+    for key, value in (SETTINGS | LOCAL_SETTINGS).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
