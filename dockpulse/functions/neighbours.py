@@ -40,60 +40,53 @@ def sums_over_neighbours(
     and the values of its first and last row, so that the exchange on key alone carries one row per segment.
     """
     order = [c for c in order if c in rows.columns]
-    inside = Window.partitionBy(key, "_segment").orderBy(*order)
-    local = rows.select(
-        *dict.fromkeys([key, *order, *carried]), segment_of(order[0]).alias("_segment")
-    ).select(
+    time, inside = order[0], f"over (partition by {key}, _segment order by {', '.join(order)})"
+    local = rows.select(*dict.fromkeys([key, *order, *carried]), segment_of(time).alias("_segment")).selectExpr(
         "*",
-        F.lag(order[0]).over(inside).alias("_before"),
-        F.lead(order[0]).over(inside).alias("_after"),
-        *[F.lag(c).over(inside).alias(f"prev_{c}") for c in carried],
-        *[F.lead(c).over(inside).alias(f"next_{c}") for c in following],
+        f"lag({time}) {inside} as _before",
+        f"lead({time}) {inside} as _after",
+        *[f"lag({c}) {inside} as prev_{c}" for c in carried],
+        *[f"lead({c}) {inside} as next_{c}" for c in following],
     )
     complete = "_before is not null and _after is not null" if following else "_before is not null"
-
-    def only(when: str, value: str, name: str) -> Column:
-        return F.expr(f"max(case when {when} then {value} end) as {name}")
-
-    edges = [only("_before is null", c, f"first_{c}") for c in carried]
-    edges += [only("_after is null", c, f"last_{c}") for c in carried]
+    first, last = "_before is null", "_after is null"
+    edges = [f"max(case when {first} then {c} end) as first_{c}" for c in carried]
+    edges += [f"max(case when {last} then {c} end) as last_{c}" for c in carried]
     if following:
-        edges += [only("_before is null", f"next_{c}", f"first_next_{c}") for c in following]
-        edges += [only("_after is null", f"prev_{c}", f"last_prev_{c}") for c in carried]
-        edges.append(F.expr("count(*) as _rows"))
-    inner = [F.expr(f"sum(case when {complete} then {term} end) as _inner_{name}") for name, term in terms.items()]
-    per_segment = local.groupBy(key, "_segment").agg(*inner, *edges)
-
-    across = Window.partitionBy(key).orderBy("_segment")
-    before = {c: F.lag(f"last_{c}").over(across) for c in carried}
+        edges += [f"max(case when {first} then next_{c} end) as first_next_{c}" for c in following]
+        edges += [f"max(case when {last} then prev_{c} end) as last_prev_{c}" for c in carried]
+        edges.append("count(*) as _rows")
+    inner = [f"sum(case when {complete} then {term} end) as _inner_{name}" for name, term in terms.items()]
+    per_segment = local.groupBy(key, "_segment").agg(*map(F.expr, [*inner, *edges]))
+
+    across = f"over (partition by {key} order by _segment)"
+    inner_once = [f"_inner_{name}" for name in terms]
     if not following:
-        filled = per_segment.select(
+        filled = per_segment.selectExpr(
             key,
-            *[f"_inner_{name}" for name in terms],
-            *[F.col(f"first_{c}").alias(c) for c in carried],
-            *[before[c].alias(f"prev_{c}") for c in carried],
+            *inner_once,
+            *[f"first_{c} as {c}" for c in carried],
+            *[f"lag(last_{c}) {across} as prev_{c}" for c in carried],
         )
     else:
-        bridged = per_segment.select(
+        bridged = per_segment.selectExpr(
             "*",
-            *[before[c].alias(f"before_{c}") for c in carried],
-            *[F.lead(f"first_{c}").over(across).alias(f"after_{c}") for c in following],
+            *[f"lag(last_{c}) {across} as before_{c}" for c in carried],
+            *[f"lead(first_{c}) {across} as after_{c}" for c in following],
         )
-        first = [f"first_{c} as {c}, before_{c} as prev_{c}" for c in carried]
-        first += [f"if(_rows = 1, after_{c}, first_next_{c}) as next_{c}" for c in following]
-        last = [f"last_{c} as {c}, last_prev_{c} as prev_{c}" for c in carried]
-        last += [f"after_{c} as next_{c}" for c in following]
+        opening = [f"first_{c} as {c}, before_{c} as prev_{c}" for c in carried]
+        opening += [f"if(_rows = 1, after_{c}, first_next_{c}) as next_{c}" for c in following]
+        closing = [f"last_{c} as {c}, last_prev_{c} as prev_{c}" for c in carried]
+        closing += [f"after_{c} as next_{c}" for c in following]
         # the inner sums travel with the first row of the segment only
-        inner_once = [f"_inner_{name}" for name in terms]
         nothing = [f"cast(null as bigint) as {name}" for name in inner_once]
-        both = F.expr(
-            f"inline(array_compact(array(struct({', '.join([*inner_once, *first])}), "
-            f"if(_rows > 1, struct({', '.join([*nothing, *last])}), null))))"
+        filled = bridged.selectExpr(
+            key,
+            f"inline(array_compact(array(struct({', '.join([*inner_once, *opening])}), "
+            f"if(_rows > 1, struct({', '.join([*nothing, *closing])}), null))))",
         )
-        filled = bridged.select(key, both)
-    return filled.groupBy(key).agg(
-        *[F.expr(f"coalesce(sum(_inner_{n}), 0) + coalesce(sum({term}), 0) as {n}") for n, term in terms.items()]
-    )
+    total = "coalesce(sum(_inner_{0}), 0) + coalesce(sum({1}), 0) as {0}"
+    return filled.groupBy(key).agg(*[F.expr(total.format(name, term)) for name, term in terms.items()])
 
 
 def with_neighbours(
