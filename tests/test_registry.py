@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import differences
+from dockpulse import registry
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
