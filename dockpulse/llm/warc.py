@@ -113,7 +113,7 @@ def archived(records: Iterator[bytes], into: str) -> Iterator[tuple[str, int, in
         dictionary.precompute_compress(level=LEVEL)
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
         name, count = f"{uuid.uuid4().hex}.warc.zst", len(waiting)
-        with filesystem.open_output_stream(f"{place}/{name}") as out:
+        with filesystem.open_output_stream(f"{place}/{name}", compression=None) as out:
             out.write(DICTIONARY_MAGIC.to_bytes(4, "little") + len(content).to_bytes(4, "little") + content)
             info = b"software: zstd dictionary archive writer\r\nformat: WARC File Format 1.1\r\n"
             about = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("Content-Type", "application/warc-fields")]
@@ -168,7 +168,7 @@ def records_of(path: str) -> Iterator[tuple]:
     The digest of a response is computed again and has to agree with its header.
     """
     filesystem, place = _target(path)
-    with filesystem.open_input_stream(place) as file:
+    with filesystem.open_input_stream(place, compression=None) as file:
         head = file.read(8)
         if int.from_bytes(head[:4], "little") != DICTIONARY_MAGIC:
             raise ValueError(f"{path} does not start with a dictionary frame")

@@ -52,9 +52,7 @@ def test_groups(spark):
 def test_documents_that_stay(spark):
     kept = digest_index.drop_exact_duplicates(docs(spark))
     assert kept.columns == ["doc_id", "text", "digest"]
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 6, 7, 8, 10, 11] or sorted(
-        r.doc_id for r in kept.collect()
-    ) == sorted({k for _, k, _, _ in plain(ROWS)})
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({k for _, k, _, _ in plain(ROWS)})
 
 
 def test_empty(spark):
