@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockpulse.llm import digest_index, simhash, warc
+from dockpulse.llm import digest_index, mixing, packing, quality, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,24 @@ OP3_SQL = r"""
   select doc_id, keep_id, group_size, doc_id = keep_id kept, text_sha256 from g"""
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its counts and the verdict of the weighed rules."""
+    found = quality.judge(_table(spark, sf_dir, "documents"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *counts, "base_failed", "kept", "quality")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents")).drop("uid")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes from it."""
+    found = mixing.mix(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and its group."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -59,6 +77,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_packing": op6_packing,
+    "op7_mixing": op7_mixing,
     "op9_simhash": op9_simhash,
 }
 SQL: dict[str, str] = {

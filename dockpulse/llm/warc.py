@@ -162,11 +162,13 @@ def _headers(stream) -> dict[str, str]:
     return found
 
 
-def records_of(path: str) -> Iterator[tuple]:
+def records_of(path: str, count: int | None = None) -> Iterator[tuple]:
     """(record id, type, uri, digest, payload bytes, id referred to, payload or None) of an archive, one record in memory at a time.
 
-    The digest of a response is computed again and has to agree with its header.
+    The digest of a response is computed again and has to agree with its header, as has the number of records with `count`: an
+    archive that was cut off between two blocks of a frame would otherwise just seem shorter.
     """
+    found = 0
     filesystem, place = _target(path)
     with filesystem.open_input_stream(place, compression=None) as file:
         head = file.read(8)
@@ -190,6 +192,7 @@ def records_of(path: str) -> Iterator[tuple]:
                 digest = headers["warc-payload-digest"].removeprefix("sha256:")
                 if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
                     raise ValueError(f"{path}: a payload does not have its digest")
+                found += 1
                 yield (
                     headers["warc-record-id"][1:-1] or None,
                     kind,
@@ -199,6 +202,8 @@ def records_of(path: str) -> Iterator[tuple]:
                     headers["warc-refers-to"][1:-1] if "warc-refers-to" in headers else None,
                     payload,
                 )
+    if count is not None and found != count:
+        raise ValueError(f"{path} has {found} records of {count}")
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
@@ -211,9 +216,9 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, count in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
                 rows, size = [], 0
-                for row in records_of(path):
+                for row in records_of(path, count):
                     rows.append(row if payloads else (*row[:-1], None))
                     size += len(rows[-1][-1] or b"") + 500
                     if size > 1 << 23:
@@ -222,7 +227,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema)
 
-    return archives.select("path").repartition("path").mapInArrow(run, RECORDS)
+    return archives.select("path", "records").repartition("path").mapInArrow(run, RECORDS)
 
 
 PAGE = "urn:page:"

@@ -91,5 +91,5 @@ def test_damage_is_found(tmp_path):
     data = open(made[0], "rb").read()
     open(made[0], "wb").write(data[:-20])
     with pytest.raises((ValueError, zstandard.ZstdError)):
-        list(warc.records_of(made[0]))
+        list(warc.records_of(made[0], made[1]))
     assert io.BytesIO(data).read(4) == warc.DICTIONARY_MAGIC.to_bytes(4, "little")
