@@ -65,7 +65,9 @@ class DigestIndex:
         """
         sizes = batch.groupBy("digest").agg(F.count("*").alias("group_size"))
         index = self.rows().select("digest", "keep_id", F.col("uid").alias("keep_uid")).hint("merge")
-        found = batch.join(sizes.join(index, "digest"), "digest")
+        # written, so that the join with the batch has an exchange on both sides and Spark can split a hot digest
+        groups = stored(sizes.join(index, "digest"), "digest-groups")
+        found = batch.join(groups, "digest")
         return found.withColumn("kept", F.col("uid") == F.col("keep_uid")).drop("keep_uid")
 
 

@@ -71,13 +71,17 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """A ratio of two counts that speaks against a text from `bad` on, for it up to `good`, and abstains between or without a divisor."""
+    """A ratio of two counts that speaks against a text from `bad` on, for it up to `good`, and abstains between or without a divisor.
+
+    `slack` is the share of good texts to which the rule may be believed to object: its threshold is set so that there are not more.
+    """
 
     name: str
     over: str
     under: str
     good: float
     bad: float
+    slack: float
 
     def vote(self) -> Column:
         over, under = F.col(f"signals.{self.over}"), F.col(f"signals.{self.under}")
@@ -88,16 +92,17 @@ class Rule:
 
 
 RULES = (
-    Rule("symbols", "n_symbols", "n_words", good=0.02, bad=0.1),
-    Rule("repeats", "n_repeat_words", "n_words", good=0.1, bad=0.3),
-    Rule("lines", "n_dup_lines", "n_lines", good=0.05, bad=0.3),
-    Rule("capitals", "n_upper", "n_letters", good=0.15, bad=0.4),
-    Rule("shouts", "n_shouts", "n_words", good=0.01, bad=0.1),
-    Rule("stops", "n_stops", "n_words", good=0.02, bad=0.005),
-    Rule("short_words", "word_chars", "n_words", good=3.0, bad=2.0),
-    Rule("long_words", "word_chars", "n_words", good=10.0, bad=14.0),
+    Rule("symbols", "n_symbols", "n_words", good=0.02, bad=0.1, slack=0.001),
+    Rule("repeats", "n_repeat_words", "n_words", good=0.1, bad=0.3, slack=0.001),
+    Rule("lines", "n_dup_lines", "n_lines", good=0.05, bad=0.6, slack=0.01),
+    Rule("capitals", "n_upper", "n_letters", good=0.15, bad=0.4, slack=0.001),
+    Rule("shouts", "n_shouts", "n_words", good=0.01, bad=0.1, slack=0.001),
+    Rule("stops", "n_stops", "n_words", good=0.02, bad=0.005, slack=0.02),
+    Rule("short_words", "word_chars", "n_words", good=3.0, bad=2.0, slack=0.01),
+    Rule("long_words", "word_chars", "n_words", good=10.0, bad=14.0, slack=0.01),
 )
-VOTES = (-1, 0, 1)
+# A rule is believed to find at least this share of the bad texts it votes on.
+LEAST_FOUND = 0.05
 
 
 @dataclass(frozen=True)
@@ -118,33 +123,35 @@ class Model:
         return 1 / (1 + F.exp(-total))
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 100) -> Model:
-    """Expectation-maximisation over vote patterns and how many texts have each; no labels.
+def fit(patterns: list[tuple[tuple[int, ...], int]], rules: dict[str, float], rounds: int = 100) -> Model:
+    """Expectation-maximisation over vote patterns and how many texts have each; no labels. `rules` has each rule's slack.
 
     Every rule has its own accuracy on good and on bad texts: a rule that finds one kind of junk is nearly always right when it objects, and
-    says little when it approves. Abstaining says nothing. The start takes any objection as bad; pseudo-counts, in which approval is likelier for good
-    texts, keep the classes from swapping and the chances off 0 and 1. Without texts the pseudo-counts alone answer.
+    says little when it approves. Abstaining says nothing. The start takes any objection as bad. Left alone, the bad class would
+    shrink to the kind of junk that several rules find together, and single objections to other kinds would pass as errors; so the estimated
+    share of objections to good texts stays within the rule's slack, and that to bad texts above `LEAST_FOUND`. Without texts,
+    pseudo-counts alone answer.
     """
-    prior = ({-1: 1.5, 1: 1.5}, {-1: 0.5, 1: 4.5})
     belief = [0.05 if -1 in pattern else 0.95 for pattern, _ in patterns]
+    total = sum(n for _, n in patterns)
     good, chances = 0.9, {}
     for _ in range(rounds):
-        total = sum(n for _, n in patterns)
         good = (9 + sum(b * n for b, (_, n) in zip(belief, patterns))) / (10 + total)
-        chances = {}
-        for k, name in enumerate(names):
-            both = tuple(dict(p) for p in prior)
+        for k, (name, slack) in enumerate(rules.items()):
+            objections, votes_ = [1.5, 0.5 * slack], [3.0, 1.0]
             for b, (pattern, n) in zip(belief, patterns):
-                if pattern[k]:
-                    both[0][pattern[k]] += (1 - b) * n
-                    both[1][pattern[k]] += b * n
-            chances[name] = tuple({v: c / sum(p.values()) for v, c in p.items()} for p in both)
+                for y, share in enumerate((1 - b, b)):
+                    objections[y] += share * n * (pattern[k] == -1)
+                    votes_[y] += share * n * (pattern[k] != 0)
+            found = min(max(objections[0] / votes_[0], LEAST_FOUND), 0.999)
+            wrong = min(objections[1] / votes_[1], slack)
+            chances[name] = ({-1: found, 1: 1 - found}, {-1: wrong, 1: 1 - wrong})
         last, belief = belief, []
         for pattern, _ in patterns:
             odds = math.log(good / (1 - good))
-            for k, name in enumerate(names):
-                if pattern[k]:
-                    odds += math.log(chances[name][1][pattern[k]] / chances[name][0][pattern[k]])
+            for vote, (on_bad, on_good) in zip(pattern, chances.values()):
+                if vote:
+                    odds += math.log(on_good[vote] / on_bad[vote])
             belief.append(1 / (1 + math.exp(-max(-500.0, min(500.0, odds)))))
         if max((abs(a - b) for a, b in zip(last, belief)), default=0) < 1e-9:
             break
@@ -155,7 +162,7 @@ def learned(voted: DataFrame, rules: tuple[Rule, ...] = RULES) -> Model:
     """The model of all rows. At most 3 to the number of rules patterns reach the driver, however many texts there are."""
     names = [rule.name for rule in rules]
     counts = voted.groupBy(*[F.col(f"votes.{n}").alias(n) for n in names]).count().collect()
-    return fit(sorted((tuple(r[n] for n in names), r["count"]) for r in counts), names)
+    return fit(sorted((tuple(r[n] for n in names), r["count"]) for r in counts), {rule.name: rule.slack for rule in rules})
 
 
 def votes(rules: tuple[Rule, ...] = RULES) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockpulse.llm import digest_index, mixing, packing, quality, simhash, warc
+from dockpulse.llm import digest_index, mixing, packing, quality, simhash, suffix_tree, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,11 @@ OP1_SQL = """
   from p left join f on p.payload_digest = f.payload_digest and payload_bytes >= 100"""
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the suffix tree of the learned ones."""
+    return suffix_tree.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that stays, by way of a new digest index."""
     found = digest_index.exact_duplicates(_table(spark, sf_dir, "documents"))
@@ -76,6 +81,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
+    "op2_suffix_tree": op2_suffix_tree,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,

@@ -227,7 +227,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema)
 
-    return archives.select("path", "records").repartition("path").mapInArrow(run, RECORDS)
+    return archives.select("path", "records").repartition(max(1, archives.count()), "path").mapInArrow(run, RECORDS)
 
 
 PAGE = "urn:page:"
