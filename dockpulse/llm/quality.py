@@ -57,7 +57,6 @@ def signals(docs: DataFrame) -> DataFrame:
             F.coalesce(covered, F.lit(0)).alias("n_repeat_words"),
             F.size("lines").cast("bigint").alias("n_lines"),
             count(r"\p{Lu}").alias("n_upper"),
-            count(r"\p{L}").alias("n_letters"),
             count("!!").alias("n_shouts"),
             count(rf"[.?!:;][\"')\]]*(?:[{SPACE}]|$)").alias("n_stops"),
         ).alias("signals"),
@@ -95,7 +94,7 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", good=0.02, bad=0.1, slack=0.001),
     Rule("repeats", "n_repeat_words", "n_words", good=0.1, bad=0.3, slack=0.001),
     Rule("lines", "n_dup_lines", "n_lines", good=0.05, bad=0.6, slack=0.01),
-    Rule("capitals", "n_upper", "n_letters", good=0.15, bad=0.4, slack=0.001),
+    Rule("capitals", "n_upper", "word_chars", good=0.15, bad=0.4, slack=0.001),
     Rule("shouts", "n_shouts", "n_words", good=0.01, bad=0.1, slack=0.001),
     Rule("stops", "n_stops", "n_words", good=0.02, bad=0.005, slack=0.02),
     Rule("short_words", "word_chars", "n_words", good=3.0, bad=2.0, slack=0.01),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockpulse.llm import digest_index, mixing, packing, quality, simhash, suffix_tree, warc
+from dockpulse.llm import digest_index, licenses, mixing, packing, quality, simhash, suffix_tree, toxicity, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,11 @@ OP3_SQL = r"""
   select doc_id, keep_id, group_size, doc_id = keep_id kept, text_sha256 from g"""
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected severity, learned from the labels."""
+    return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its counts and the verdict of the weighed rules."""
     found = quality.judge(_table(spark, sf_dir, "documents"))
@@ -74,21 +79,35 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path and verdict."""
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and its group."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence notice, if it has one."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_suffix_tree": op2_suffix_tree,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
+    "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
+    "op10_license_scan": op10_license_scan,
 }
 SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op10_license_scan": licenses.oracle(),
 }
