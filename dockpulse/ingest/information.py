@@ -36,26 +36,63 @@ def compare(information: DataFrame, snapshot: DataFrame, ignore: Sequence[str] =
     return new.join(old, "station_id", "left").withColumn("state", state)
 
 
+def versions(information: DataFrame, snapshots: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
+    """The versions that snapshots add: for each station, in the order of their report times, those that differ from the one before,
+    the first of them from the active version. A batch of many snapshots adds what they would add one by one.
+
+    Rows `_station`, `new` (a struct of the snapshot) and `_last` (whether it is the station's newest). A station has as many rows here as snapshots
+    arrived together: one per poll.
+    """
+    columns = [c for c in schemas.INFORMATION_COMPARED if c not in ignore and c in information.columns]
+    described = F.struct(*columns)
+    stored = information.where("active").select(
+        F.col("station_id").alias("_station"),
+        F.lit(0).alias("_new"),
+        F.col("reported").alias("_time"),
+        described.alias("_described"),
+        F.lit(None).cast(snapshots.select(F.struct(*snapshots.columns).alias("s")).schema["s"].dataType).alias("new"),
+    )
+    added = snapshots.select(
+        F.col("station_id").alias("_station"),
+        F.lit(1).alias("_new"),
+        F.col("reported").alias("_time"),
+        described.alias("_described"),
+        F.struct(*snapshots.columns).alias("new"),
+    )
+    order = Window.partitionBy("_station").orderBy("_new", "_time", "_described")
+    before = F.lag("_described").over(order)
+    rows = stored.unionByName(added).withColumn("_changed", ~before.eqNullSafe(F.col("_described")))
+    rows = rows.where("_new = 1 and _changed")
+    newest = F.lead("_station").over(Window.partitionBy("_station").orderBy("_time", "_described"))
+    return rows.select("_station", "new", newest.isNull().alias("_last"))
+
+
 def inserted(information: DataFrame, snapshot: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
-    """Versions to add. A version's id is one more than the id of the one it replaces: ids order the versions of a
-    station, which is all they are used for, and need no counter over the whole table."""
-    rows = compare(information, snapshot, ignore).where("state != 'same'")
-    values = {"id": F.coalesce(F.col("old.id"), F.lit(0)) + 1, "active": F.lit(True)}
+    """Versions to add, of each station the last one active. Ids go on from the greatest of the table, by report time and station: unique
+    over all stations, because status rows and lookups name a version by its id. Only the added rows are numbered in one task."""
+    top = F.coalesce(information.agg(F.max("id")).scalar(), F.lit(0))
+    number = F.row_number().over(Window.orderBy("new.reported", "_station"))
+    rows = versions(information, snapshot, ignore).withColumn("_id", (top + number).cast("int"))
+    values = {"id": F.col("_id"), "active": F.col("_last")}
     return rows.select(
-        *[values.get(c, F.col(f"new.{c}") if c in snapshot.columns else F.lit(None)).alias(c) for c in information.columns]
+        *[
+            values.get(f.name, F.col(f"new.{f.name}") if f.name in snapshot.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in information.schema
+        ]
     )
 
 
 def updated(information: DataFrame, snapshot: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
     """Active versions that the snapshot replaces, as inactive rows."""
-    rows = compare(information, snapshot, ignore).where("state = 'changed'")
-    return rows.select("old.*").withColumn("active", F.lit(False))
+    replaced = versions(information, snapshot, ignore).select(F.col("_station").alias("station_id")).distinct()
+    rows = information.where("active").join(replaced, "station_id", "left_semi")
+    return rows.select(*information.columns).withColumn("active", F.lit(False))
 
 
 def merge(information: DataFrame, snapshot: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
-    """The whole dimension after the snapshot; stations missing from it stay active."""
+    """The whole dimension after the snapshots; stations missing from them stay active."""
     fresh = inserted(information, snapshot, ignore)
-    replaced = fresh.select("station_id").withColumn("_replaced", F.lit(True))
+    replaced = fresh.select("station_id").distinct().withColumn("_replaced", F.lit(True))
     kept = information.join(replaced, "station_id", "left").withColumn(
         "active", F.col("active") & F.col("_replaced").isNull()
     )

@@ -12,6 +12,7 @@ from dockpulse import schemas
 from dockpulse.functions.neighbours import STATION, TIME_ORDER, as_of, with_neighbours
 from dockpulse.operators.stations import attach_active_version, station_lookup
 from dockpulse.params import StatusQuery, at
+from dockpulse.sources.tables import merge_by_key, one_per_key
 
 KEY = list(schemas.STATUS_KEY)
 
@@ -22,7 +23,7 @@ def new_rows(feed_status: DataFrame, information: DataFrame, existing: DataFrame
     Only the time range of the feed rows needs to be passed as `existing`.
     """
     rows = attach_active_version(feed_status.where("last_reported is not null"), information)
-    return rows.dropDuplicates(KEY).join(existing.select(*KEY), KEY, "left_anti").select(*rows.columns)
+    return one_per_key(rows, KEY).join(existing.select(*KEY), KEY, "left_anti").select(*rows.columns)
 
 
 def insert(feed_status: DataFrame, information: DataFrame, existing: DataFrame) -> DataFrame:
@@ -94,9 +95,21 @@ def changes_of_newest(status: DataFrame) -> DataFrame:
 
 
 def append_changes(existing: DataFrame, changes: DataFrame) -> DataFrame:
-    return existing.unionByName(
-        changes.dropDuplicates(KEY).join(existing.select(*KEY), KEY, "left_anti").select(*existing.columns)
-    )
+    return merge_by_key(existing, changes, KEY)
+
+
+def corrected_changes(late: DataFrame, status: DataFrame, columns: Sequence[str] = TRIGGER_COLUMNS) -> DataFrame:
+    """What rows that came late alter: they and the rows after them, each with `_changed`, whether it differs from the row before it now.
+
+    `status` holds all rows, the late ones included; only those of the stations of late rows are read further.
+    """
+    stations = late.select(STATION).distinct()
+    marks = late.select(*KEY, F.lit(True).alias("_late"))
+    rows = status.join(stations, STATION, "left_semi").join(marks, KEY, "left")
+    rows = rows.withColumn("_late", F.coalesce("_late", F.lit(False)))
+    rows = with_neighbours(rows.select(*status.columns, "_late"), [*columns, "_late"])
+    touched = rows.where(F.col("_late") | F.coalesce(F.col("_prev")["_late"], F.lit(False)))
+    return touched.select(*status.columns, (_changed(columns) | F.col("_prev").isNull()).alias("_changed"))
 
 
 # Repair of broken version references
@@ -142,7 +155,7 @@ def repair_references(
         raise ValueError(f"unknown mode {mode}")
     fixed = fixed.withColumn("info_reported", F.coalesce("_v", "info_reported")).select(*status.columns)
     # a repaired row never replaces a row that was right; copies among repaired rows have one winner
-    fresh = fixed.dropDuplicates(KEY).join(sound.select(*KEY), KEY, "left_anti").select(*status.columns)
+    fresh = one_per_key(fixed, KEY).join(sound.select(*KEY), KEY, "left_anti").select(*status.columns)
     return sound.unionByName(fresh)
 
 
@@ -155,5 +168,3 @@ def _within(query: StatusQuery) -> Column:
     if query.station_id is not None:
         result = result & (F.col(STATION) == query.station_id)
     return result
-
-

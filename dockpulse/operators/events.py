@@ -145,7 +145,9 @@ def changes_with_totals(status: DataFrame, query: StatusQuery = StatusQuery()) -
         ]
     deltas = rows.select(F.col(STATION).alias("station_id"), "last_reported", *columns)
     changed = deltas.where(" or ".join(f"delta_{b} != 0" for b in BIKES))
-    sums = sums_over_neighbours(wanted, _docking_terms(), list(BIKES.values()))
+    # the sums come from the same finished rows: status is read, exchanged and compared once
+    pairs = rows.select(STATION, *BIKES.values(), *[F.col("_prev")[c].alias(f"prev_{c}") for c in BIKES.values()])
+    sums = pairs.groupBy(STATION).agg(*[F.expr(f"sum({term}) as {name}") for name, term in _docking_terms().items()])
     totals = sums.select(
         F.col(STATION).alias("station_id"),
         *[F.nullif(f"{b}_{kind}", F.lit(0)).alias(f"{kind}_{b}") for b in BIKES for kind in ("dockings", "undockings")],

@@ -8,13 +8,17 @@ day marks its rows, knowing its start. A day holds one row per second at most, s
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["endpoint", "segment"]
 SEGMENT_SECONDS = 86_400
+EXITS = "endpoint string, segment long, enter long, due long"
 
 
 def _next_rows(updated: np.ndarray, ttl: np.ndarray) -> np.ndarray:
@@ -26,7 +30,8 @@ def _next_rows(updated: np.ndarray, ttl: np.ndarray) -> np.ndarray:
 def _exits(day: pd.DataFrame) -> pd.DataFrame:
     """(endpoint, segment, enter, due): the due time after this day if the chain enters it at a row.
 
-    Only rows up to the longest ttl after the start of the day can be the first accepted one, besides the first.
+    Only rows up to the latest due time of earlier days can be the first accepted one, besides the first. Chains soon meet, so neighbouring entries
+    mostly leave with the same due time: of such a run only the last entry is kept.
     """
     day = day.sort_values("updated")
     updated, ttl = day["updated"].to_numpy(), day["ttl"].to_numpy()
@@ -34,15 +39,18 @@ def _exits(day: pd.DataFrame) -> pd.DataFrame:
     for i in range(len(due) - 1, -1, -1):
         if following[i] < len(due):
             due[i] = due[following[i]]
-    reach = np.searchsorted(updated, day["reach"].iloc[0], side="left") + 1
-    first = day[KEYS].iloc[: min(reach, len(due))]
-    return first.assign(enter=updated[: len(first)], due=due[: len(first)])
+    reach = day["reach"].iloc[0]
+    count = 1 if pd.isna(reach) else min(int(np.searchsorted(updated, int(reach), side="left")) + 1, len(due))
+    last = np.append(due[1:count] != due[: count - 1], True)
+    first = day[KEYS].iloc[:count][last]
+    return first.assign(enter=updated[:count][last], due=due[:count][last])
 
 
 def _starts(exits: pd.DataFrame) -> pd.DataFrame:
-    """(endpoint, segment, start): the due time with which each day of an endpoint begins."""
-    rows, due = [], -1
-    for segment, day in exits.sort_values(["segment", "enter"]).groupby("segment", sort=True):
+    """(endpoint, segment, start): the due time with which each day of an endpoint begins. A row without `enter` is the due time before all days."""
+    before = exits[exits["enter"].isna()]
+    rows, due = [], -1 if before.empty else int(before["due"].iloc[0])
+    for segment, day in exits[exits["enter"].notna()].sort_values(["segment", "enter"]).groupby("segment", sort=True):
         rows.append((exits["endpoint"].iloc[0], segment, due))
         at = int(np.searchsorted(day["enter"].to_numpy(), due, side="left"))
         if at < len(day):
@@ -61,16 +69,30 @@ def _accepted(day: pd.DataFrame) -> pd.DataFrame:
     return day.iloc[chosen][["endpoint", "updated", "ttl", "id"]]
 
 
-def fresh_responses(responses: DataFrame) -> DataFrame:
-    """Accepted rows of (endpoint, updated, ttl, id), in update order; of equal times the smallest id, ttl positive."""
+def fresh_responses(responses: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Accepted rows of (endpoint, updated, ttl, id), in update order; of equal times the smallest id, ttl positive.
+
+    `before` has the due time (endpoint, due) that earlier responses left, for a batch that goes on from them.
+    """
+    # the functions travel as code: executors need not have this package
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     rows = (
         responses.groupBy("endpoint", "updated")
         .agg(F.min_by("ttl", "id").cast("long").alias("ttl"), F.min("id").alias("id"))
         .withColumn("segment", F.floor(F.col("updated") / SEGMENT_SECONDS))
     )
-    longest = rows.agg(F.max("ttl")).scalar()
-    bounded = rows.withColumn("reach", F.col("segment") * SEGMENT_SECONDS + longest)
-    exits = bounded.groupBy(*KEYS).applyInPandas(_exits, "endpoint string, segment long, enter long, due long")
+    # how far the ttls of earlier days reach: one row per (endpoint, day)
+    earlier = Window.partitionBy("endpoint").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(*KEYS).agg(F.max(F.col("updated") + F.col("ttl")).alias("_due"))
+    days = days.select(*KEYS, F.max("_due").over(earlier).alias("reach"))
+    if before is not None:
+        known = before.select("endpoint", F.col("due").cast("long").alias("_left"))
+        days = days.join(known, "endpoint", "left").select(*KEYS, F.greatest("reach", "_left").alias("reach"))
+    exits = rows.join(days, KEYS).groupBy(*KEYS).applyInPandas(_exits, EXITS)
+    if before is not None:
+        exits = exits.unionByName(
+            before.select("endpoint", F.lit(-1).cast("long").alias("segment"), F.lit(None).cast("long").alias("enter"), F.col("due").cast("long"))
+        )
     starts = exits.groupBy("endpoint").applyInPandas(_starts, "endpoint string, segment long, start long")
     return rows.join(starts, KEYS).groupBy(*KEYS).applyInPandas(
         _accepted, "endpoint string, updated long, ttl long, id long"

@@ -125,13 +125,13 @@ def status_between(status: DataFrame, station_id: int, start: datetime, end: dat
     return one_per_time(StatusQuery(station_id, start, end).on_status(status))
 
 
-def status_with_version(status: DataFrame, information: DataFrame) -> DataFrame:
+def status_with_version(status: DataFrame, information: DataFrame, how: str = "inner") -> DataFrame:
     """Status rows with the information version they refer to, as version_* columns."""
     info = _attached(information)
     on = (F.col("info_station_id") == F.col("version_station_id")) & (
         F.col("info_reported") == F.col("version_reported")
     )
-    return status.join(info, on, "inner")
+    return status.join(info, on, how)
 
 
 def status_with_station(status: DataFrame, information: DataFrame) -> DataFrame:
@@ -197,14 +197,19 @@ def station_lookup(status: DataFrame) -> DataFrame:
 
 
 def latest_key() -> Column:
-    """Order of a station's rows as one long, so that max_by stays a hash aggregate: seconds, then version.
+    """Order of a station's rows as one long, so that max_by stays a hash aggregate: seconds, then version (null first).
 
-    Both parts are seconds since 2000 and fit 31 bits until 2068.
+    Both parts are whole seconds since 2000 and fit 31 bits until 2068. A time that is not, and would be out of order or tie, fails the job.
     """
-    base = F.lit(946_684_800)
-    time = F.unix_seconds(F.col("last_reported").cast("timestamp")) - base
-    version = F.unix_seconds(F.col("info_reported").cast("timestamp")) - base
-    return F.shiftleft(time, 31) + F.greatest(version, F.lit(0))
+
+    def part(name: str) -> Column:
+        micros = F.unix_micros(F.col(name).cast("timestamp")) - F.lit(946_684_800_000_000)
+        whole = micros.between(0, 2**31 * 1_000_000 - 1) & (micros % 1_000_000 == 0)
+        wrong = F.concat(F.lit(f"{name} is no whole second from 2000 to 2068: "), F.col(name).cast("string"))
+        seconds = F.when(whole, F.floor(micros / 1_000_000)).when(micros.isNotNull(), F.raise_error(wrong).cast("long"))
+        return seconds.cast("long")
+
+    return F.shiftleft(part("last_reported"), 31) + F.coalesce(part("info_reported"), F.lit(0))
 
 
 def latest_status_by_lookup(

@@ -155,10 +155,8 @@ def station_name(status: DataFrame, information: DataFrame, lookup: DataFrame, s
 
 def quality_report(status: DataFrame, information: DataFrame) -> DataFrame:
     """Counts of orphaned rows, capacity mismatches and duplicate versions."""
-    wrong = quality.capacity_mismatches(status, information)
-    checks = {
-        "orphaned status": quality.orphaned_status(status, information),
-        "capacity mismatch": wrong,
-        "duplicate version": quality.duplicate_versions(information),
-    }
-    return quality.row_counts(checks).withColumnRenamed("table", "check").withColumnRenamed("rows", "found")
+    status_checks = quality.status_counts(status, information).selectExpr(
+        "inline(array(struct('orphaned status' as check, orphaned as found), struct('capacity mismatch' as check, mismatched as found)))"
+    )
+    copies = quality.duplicate_versions(information).agg(F.count("*").alias("found"))
+    return status_checks.unionByName(copies.select(F.lit("duplicate version").alias("check"), "found"))

@@ -12,7 +12,7 @@ from dockpulse import schemas
 from dockpulse.adapter import SENTINEL, Tables
 from dockpulse.functions.neighbours import STATION
 from dockpulse.ingest import feedlog, information, status
-from dockpulse.operators import occupancy, stations
+from dockpulse.operators import feed, occupancy, stations
 from dockpulse.params import StatusQuery
 from dockpulse.registry.base import END, NOW, START, query
 from dockpulse.registry.operators import FROM, INFO, TO, occupancy_sql
@@ -97,34 +97,71 @@ def _export(t: Tables, folder: str) -> tuple[str, str]:
     return tables.export_dump(t.status(), t.information(), _folder(t, folder), FIRST_DAY, LAST_DAY)
 
 
-@query("snk1_export_status", f"select * from ss where {_EXPORTED}")
+@query("snk1_export_status", f"select {_FEED} from ss where {_EXPORTED}")
 def export_status(t):
-    """Export of a range, read back from the written files."""
-    return tables.read_dump(t.spark, _export(t, "export")[1], schemas.STATION_STATUS)
+    """Export of a range in feed records, read back from the written files."""
+    return tables.read_status_dump(t.spark, _export(t, "export")[1])
 
 
 @query("snk1_export_information", f"select * from si where (station_id, reported) in (select (info_station_id, info_reported) from ss where {_EXPORTED})")
 def export_information(t):
-    return tables.read_dump(t.spark, _export(t, "export")[0], schemas.STATION_INFORMATION).select(*INFO)
+    return tables.read_information_dump(t.spark, _export(t, "export")[0]).select(*INFO)
 
 
-@query("src5_import_dump", f"select si.station_id info_station_id, si.reported info_reported, last_reported, num_bikes_available from ss join si on si.station_id = ss.station_id and si.active where {_EXPORTED}")
+_IMPORTED = f"""select si.station_id info_station_id, si.reported info_reported, {", ".join(f"ss.{c}" for c in schemas.STATUS_FEED_COLUMNS)}
+  from ss join si on si.station_id = ss.station_id and si.active"""
+EVER = date(2023, 1, 1), date(2025, 1, 1)
+
+
+@query("src5_import_dump", _IMPORTED)
 def import_dump(t):
-    """An exported dump, inserted into empty tables with the active versions."""
-    path = _export(t, "import")[1]
-    rows = tables.read_dump(t.spark, path, schemas.STATION_STATUS).select(*schemas.STATUS_FEED_COLUMNS)
+    """The whole history exported, both files; the status file inserted into an empty table with the active versions of the other."""
+    info, status_ = tables.export_dump(t.status(), t.information(), _folder(t, "import"), *EVER)
+    versions = tables.read_information_dump(t.spark, info)
+    active = t.information().where("active").select("id")
+    # a version that no status refers to is not exported, so the active one of such a station comes from the table
+    known = versions.unionByName(t.information().join(versions.select("id"), "id", "left_anti").join(active, "id", "left_semi"))
     empty = t.spark.createDataFrame([], schemas.STATION_STATUS)
-    return status.new_rows(rows, t.information(), empty).select(
-        STATION, "info_reported", "last_reported", "num_bikes_available"
-    )
+    return status.new_rows(tables.read_status_dump(t.spark, status_), known, empty).select(*schemas.STATION_STATUS.names)
+
+
+@query("src5_round_trip_status", f"select {_FEED} from ss")
+def round_trip_status(t):
+    """Documents to rows to feed records to rows, every column of the whole table."""
+    path = _folder(t, "round_trip")
+    rows = gbfs.station_status(t.status_documents())
+    gbfs.status_items(rows).write.option("ignoreNullFields", "false").json(path)
+    return tables.read_status_dump(t.spark, path)
+
 
+_LISTS = ("rental_methods", "groups", "rental_uris")
+_ALL_INFO = [f"array_join({c}, ',') {c}" if c in _LISTS else c for c in schemas.STATION_INFORMATION.names]
+_ALL_INFO_SQL = f"""select {", ".join(INFO)}, 0.0::double altitude, 'KEY,PHONE' rental_methods, false is_valet_station,
+  false is_virtual_station, 'zone' "groups", '416' obcn, 500.0::double nearby_distance, cast(null as varchar) bluetooth_id,
+  true ride_code_support, ',,' rental_uris from si"""
 
-@query("src6_delimited_tables", "select *, 'KEY,PHONE' methods from si")
+
+@query("src5_round_trip_information", _ALL_INFO_SQL)
+def round_trip_information(t):
+    path = _folder(t, "round_trip")
+    records = tables.information_records(t.information())
+    records.write.option("ignoreNullFields", "false").json(path)
+    return tables.read_information_dump(t.spark, path).selectExpr(*_ALL_INFO)
+
+
+@query("src6_delimited_tables", _ALL_INFO_SQL)
 def delimited_tables(t):
+    """All versions written as psql writes them and read back, every column."""
     path = _folder(t, "delimited")
     tables.write_delimited(t.information(), path)
-    rows = tables.read_delimited(t.spark, path, schemas.STATION_INFORMATION)
-    return rows.select(*INFO, F.array_join("rental_methods", ",").alias("methods"))
+    return tables.read_delimited(t.spark, path, schemas.STATION_INFORMATION).selectExpr(*_ALL_INFO)
+
+
+@query("src6_delimited_status", "select * from ss")
+def delimited_status(t):
+    path = _folder(t, "delimited")
+    tables.write_delimited(t.status(), path)
+    return tables.read_delimited(t.spark, path, schemas.STATION_STATUS)
 
 
 @query("i11_status_by_day", "select * from ss where last_reported between timestamp '2024-01-10' and timestamp '2024-01-20 12:00:00'")
@@ -150,16 +187,16 @@ def snapshot_comparison(t):
     return information.compare(t.information(), t.information_snapshot()).select("station_id", "state")
 
 
-_FRESH = f"""select coalesce(o.id, 0) + 1 id, n.station_id, n."name", n.capacity, true active, n.reported
-  {_SNAPSHOT_JOIN} where not coalesce({_SAME}, false)"""
-_VERSION = ("id", "station_id", "name", "capacity", "active", "reported")
+_DESCRIPTION = ", ".join(f'n."{c}"' for c in INFO if c not in ("id", "active", "reported"))
+_FRESH = f"""select cast((select max(id) from si) + row_number() over (order by n.reported, n.station_id) as int) id,
+  {_DESCRIPTION}, true active, n.reported {_SNAPSHOT_JOIN} where not coalesce({_SAME}, false)"""
+_VERSION = INFO
 
 
 @query(
     "i1_information_merge",
-    f"""select si.id, si.station_id, si."name", si.capacity,
-          si.active and si.station_id not in (select station_id from ({_FRESH}) f) active, si.reported from si
-        union all {_FRESH}""",
+    f"""select si.* replace (si.active and si.station_id not in (select station_id from ({_FRESH}) f) as active) from si
+        union all by name {_FRESH}""",
 )
 def information_merge(t):
     return information.merge(t.information(), t.information_snapshot()).select(*_VERSION)
@@ -172,7 +209,7 @@ def information_inserted(t):
 
 @query(
     "i1_information_updated",
-    f"""select id, station_id, "name", capacity, false active, reported from si
+    f"""select * replace (false as active) from si
         where active and station_id in (select station_id from ({_FRESH}) f)""",
 )
 def information_updated(t):
@@ -185,8 +222,7 @@ def _stored(t: Tables) -> DataFrame:
 
 
 _STORED = "(select * from ss where last_reported <= timestamp '2024-01-10')"
-_OFFERED = """(select si.station_id info_station_id, si.reported info_reported, ss.last_reported from ss
-  join si on si.station_id = ss.station_id and si.active)"""
+_OFFERED = f"({_IMPORTED})"
 _NEW = f"""(select * from {_OFFERED} o where not exists (select 1 from {_STORED} e
   where e.info_station_id = o.info_station_id and e.info_reported = o.info_reported and e.last_reported = o.last_reported))"""
 
@@ -195,16 +231,16 @@ def _offered(t: Tables) -> DataFrame:
     return t.status().select(*schemas.STATUS_FEED_COLUMNS)
 
 
-@query("i2_status_insert", f"select info_station_id, info_reported, last_reported from {_STORED} s union all select * from {_NEW} n")
+@query("i2_status_insert", f"select * from {_STORED} s union all by name select * from {_NEW} n")
 def status_insert(t):
-    return status.insert(_offered(t), t.information(), _stored(t)).select(*schemas.STATUS_KEY)
+    return status.insert(_offered(t), t.information(), _stored(t))
 
 
 @query(
     "i3_lookup_update",
     f"""select info_station_id, arg_max(info_reported, (last_reported, info_reported)) info_reported,
           max(last_reported) status_last_reported
-        from (select info_station_id, info_reported, last_reported from {_STORED} s union all select * from {_NEW} n) x group by 1""",
+        from (select * from {_STORED} s union all by name select * from {_NEW} n) x group by 1""",
 )
 def lookup_update(t):
     stored = _stored(t)
@@ -212,9 +248,11 @@ def lookup_update(t):
     return status.updated_lookup(stations.station_lookup(stored), inserted)
 
 
-@query("snk5_merge_by_key", f"select info_station_id, last_reported from {_STORED} s union all select info_station_id, last_reported from ss where last_reported > timestamp '2024-01-10'")
+@query("snk5_merge_by_key", f"select * from {_STORED} s union all select * replace (least(num_bikes_available, 3) as num_bikes_available) from ss where last_reported > timestamp '2024-01-10'")
 def merge_by_key(t):
-    return tables.merge_by_key(_stored(t), t.status(), schemas.STATUS_KEY).select(STATION, "last_reported")
+    """Every row is offered twice with different values: stored rows stay, and of new ones the least wins."""
+    other = t.status().withColumn("num_bikes_available", F.least("num_bikes_available", F.lit(3)))
+    return tables.merge_by_key(_stored(t), t.status().unionByName(other), schemas.STATUS_KEY)
 
 
 _BEFORE = ", ".join(f"lag({c}) over w p_{c}" for c in status.BATCH_COLUMNS)
@@ -241,9 +279,22 @@ def append_changes(t):
     return status.append_changes(StatusQuery(None, None, FROM).on_status(changes), changes)
 
 
-@query("i6_system_information_insert", "select * from sc")
+@query("i6_system_information_insert", "select * replace (case when reported < timestamp '2024-01-10' then 0 else station_count end as station_count) from sc")
 def system_information_insert(t):
-    return feedlog.system_rows(t.system_documents())[1]
+    """Earlier days are stored, with another count; all days come as documents; the table is written and read again."""
+    path = _folder(t, "system_counts")
+    earlier = t.system_counts().where(F.col("reported") < F.lit(FROM)).withColumn("station_count", F.lit(0))
+    known = gbfs.system_information(t.system_documents()).limit(0)
+    feedlog.append_system(known, earlier, t.system_documents())[1].write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
+@query("i6_system_description_insert", "select reported, 'bikes' system_id, 12 mobile_head_version from sc")
+def system_description_insert(t):
+    known = gbfs.system_information(t.system_documents()).where(F.col("reported") < F.lit(FROM))
+    empty = t.system_counts().limit(0)
+    rows = feedlog.append_system(known, empty, t.system_documents())[0]
+    return rows.select("reported", "system_id", "mobile_head_version")
 
 
 LOG_SQL = """select case when k % 10 <> 0 then s else timestamp '2024-01-31' end "time", 'system_regions' endpoint,
@@ -253,7 +304,31 @@ LOG_SQL = """select case when k % 10 <> 0 then s else timestamp '2024-01-31' end
 
 @query("i7_feed_log", LOG_SQL)
 def feed_log(t):
-    return feedlog.log_rows(t.log_documents(), gbfs.REGIONS, NOW)
+    return feedlog.log_rows(t.log_documents(), gbfs.REGIONS, NOW).drop("id")
+
+
+def _appended_log(t: Tables) -> DataFrame:
+    """The log after two appends, the second of documents that the first had in part."""
+    path = _folder(t, "log")
+    rows = feedlog.log_rows(t.log_documents(), gbfs.REGIONS, NOW)
+    feedlog.append_log(rows.limit(0), rows.where("success")).write.parquet(path)
+    return feedlog.append_log(t.spark.read.parquet(path), rows)
+
+
+# a document that comes twice is logged once: good ones differ by user, kind and time, bad ones by their text
+_LOGGED = f"""(select distinct on (success, v) * from (select d.*, case when success then concat_ws('|', user_id, event_type, s)
+  when k % 20 = 0 then 'gateway timeout' else props end v from (select ev.*, {LOG_SQL.removeprefix("select ")}) d) x)"""
+
+
+@query("i7_log_insert", f"""select "time", endpoint, success, error_msg, error_json from {_LOGGED} l""")
+def log_insert(t):
+    return _appended_log(t).drop("id")
+
+
+@query("i7_latest_of_log", f"""select endpoint, max("time") "time" from {_LOGGED} l group by 1""")
+def latest_of_log(t):
+    """T1 on the log as it was appended."""
+    return feed.latest_queries(_appended_log(t)).select("endpoint", "time")
 
 
 CALCULATED = datetime(2024, 2, 2)
@@ -278,14 +353,13 @@ def occupancy_cache(t):
 
 def _repair_sql(version: str) -> str:
     return f"""
-      select distinct info_station_id, coalesce(case when info_reported = timestamp '2023-12-20 05:20:38' then {version} end,
-             info_reported) info_reported, last_reported from orphaned o"""
+      select * replace (coalesce(case when info_reported = timestamp '2023-12-20 05:20:38' then {version} end,
+             info_reported) as info_reported) from orphaned o"""
 
 
 @query("i9_reference_repair", _repair_sql("(select max(reported) from si where si.station_id = o.info_station_id and si.reported <= o.last_reported)"))
 def reference_repair(t):
-    rows = status.repair_references(t.orphaned_status(), t.information(), SENTINEL, StatusQuery(None, START, END))
-    return rows.select(*schemas.STATUS_KEY)
+    return status.repair_references(t.orphaned_status(), t.information(), SENTINEL, StatusQuery(None, START, END))
 
 
 @query(
@@ -296,10 +370,9 @@ def reference_repair(t):
     ),
 )
 def reference_repair_batch_max(t):
-    rows = status.repair_references(
+    return status.repair_references(
         t.orphaned_status(), t.information(), SENTINEL, StatusQuery(None, START, END), mode="batch_max"
     )
-    return rows.select(*schemas.STATUS_KEY)
 
 
 _TWICE = "(select * from si union all select * replace (id + 1000000 as id) from si where is_charging_station)"

@@ -7,6 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dockpulse import schemas
 from dockpulse.adapter import Tables
 from dockpulse.functions import labels
 from dockpulse.functions.neighbours import STATION, with_neighbours
@@ -282,9 +283,7 @@ def as_of_version(t):
 
 @query("j10_rows_with_total", "select info_station_id, count(*) n, (select count(*) from ss) examined from ss group by 1")
 def rows_with_total(t):
-    status = t.status()
-    per_station = status.groupBy(STATION).agg(F.count("*").alias("n"))
-    return per_station.withColumn("examined", status.agg(F.count("*")).scalar())
+    return quality.rows_with_total(t.status())
 
 
 @query(
@@ -557,11 +556,11 @@ def capacity_mismatches(t):
 
 @query(
     "a15_mismatch_summary",
-    f"""select max(examined) examined, count(*) mismatched, min(capacity) min_capacity, max(capacity) max_capacity,
-          max(examined) - count(*) okay from ({MISMATCH_SQL}) m""",
+    f"""select (select count(*) from ss) examined, count(*) mismatched, min(capacity) min_capacity, max(capacity) max_capacity,
+          (select count(*) from ss) - count(*) okay from ({MISMATCH_SQL}) m""",
 )
 def mismatch_summary(t):
-    return quality.mismatch_summary(mismatches(t))
+    return quality.mismatch_summary(quality.checked_capacity(t.status(), t.information()))
 
 
 @query("a15_mismatch_frequencies", f"select counter_sum, count(*) times from ({MISMATCH_SQL}) m group by 1")
@@ -626,13 +625,13 @@ _BEFORE = ", ".join(f"lag({c}) over w p_{c}" for c in status_ingest.BATCH_COLUMN
 
 @query(
     "w3_newest_row_changed",
-    f"""select info_station_id, last_reported from
+    f"""select {", ".join(schemas.STATION_STATUS.names)} from
         (select *, {_BEFORE}, row_number() over (partition by info_station_id order by last_reported desc) rn from ss
          window w as (partition by info_station_id order by last_reported)) x
         where rn = 1 and ({_COMPARED})""",
 )
 def newest_row_changed(t):
-    return status_ingest.changes_of_newest(t.status()).select(STATION, "last_reported")
+    return status_ingest.changes_of_newest(t.status())
 
 
 @query("w4_latest_information", "select * from si qualify rank() over (partition by station_id order by id desc) = 1")
@@ -749,10 +748,40 @@ def top_counts(t):
     return events.by_iconic_count(docking(t), "undockings", 20)
 
 
-@query("t5_station_list_order", "select id, station_id, capacity from si where active")
+# Each ordering of the station list both ways, with the place of every station: the order itself is compared.
+_PLACES = " union all ".join(
+    f"""select '{option}' "option", {way == "desc"} descending, station_id,
+        cast(row_number() over (order by {column} {way} nulls {"first" if way == "asc" else "last"}, station_id) as int) place from listed"""
+    for option, column in stations.LIST_ORDERINGS.items()
+    for way in ("asc", "desc")
+)
+
+
+@query(
+    "t5_station_list_order",
+    f"""with listed as (
+          select si.*, l.* exclude (station_id, is_charging_station), o.empty_sec, o.full_sec from si
+          join (select * from ss qualify row_number() over (partition by info_station_id order by last_reported desc) = 1) l
+            on l.info_station_id = si.station_id
+          join ({occupancy_sql("2024-01-10", "2024-01-20 12:00:00")}) o on o.station_id = si.station_id where si.active)
+        {_PLACES}""",
+)
 def station_list_order(t):
-    ordered = stations.order_stations(stations.active_information(t.information()), "station-capacity", True)
-    return ordered.select("id", "station_id", "capacity")
+    status, active = t.status(), stations.active_information(t.information())
+    latest = stations.latest_status_by_lookup(status, stations.station_lookup(status))
+    times = occupancy.occupancy(status, t.information(), FROM, TO).select("station_id", "empty_sec", "full_sec")
+    listed = active.join(latest.drop("station_id", "is_charging_station"), F.col("station_id") == F.col(STATION))
+    listed = listed.join(times, "station_id")
+    parts = []
+    for option in stations.LIST_ORDERINGS:
+        for descending in (False, True):
+            ordered = stations.order_stations(listed, option, descending).select("station_id").collect()
+            rows = [(option, descending, r[0], i + 1) for i, r in enumerate(ordered)]
+            parts.append(t.spark.createDataFrame(rows, "option string, descending boolean, station_id int, place int"))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
 
 
 @query("t6_newest_errors", """select id, "time", endpoint, error_msg from ql where not success order by "time" desc, id desc limit 50""")

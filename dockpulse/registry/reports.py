@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockpulse.adapter import Tables
@@ -11,6 +12,7 @@ from dockpulse.functions.neighbours import STATION
 from dockpulse.operators import events, occupancy, stations, system
 from dockpulse.plans import reports
 from dockpulse.registry.base import END, START, ZONE, query
+from dockpulse.registry.ingest import _folder
 from dockpulse.registry.operators import (
     CHARGING_SQL,
     DOCKING_SQL,
@@ -204,7 +206,24 @@ def quality_report(t):
     return reports.quality_report(t.orphaned_status(), t.information())
 
 
-# Export layouts
+# Export layouts. Each is written to files and read back.
+
+
+def _csv_file(t: Tables, rows: DataFrame, header: dict[str, str]) -> DataFrame:
+    path = _folder(t, "csv")
+    layouts.write_csv(rows, header, path)
+    return layouts.read_csv(t.spark, path, layouts.as_csv(rows, header).schema)
+
+
+def _json_file(t: Tables, payload: DataFrame, **keys: tuple[str, str]) -> DataFrame:
+    """The written payloads, with key columns taken from the JSON itself: name -> type and path."""
+    path = _folder(t, "json")
+    layouts.write_json(payload, path)
+    lines = t.spark.read.text(path)
+    columns = [
+        F.get_json_object("value", where).cast(kind).alias(name) for name, (kind, where) in keys.items()
+    ]
+    return lines.select(*columns, F.col("value").alias("json"))
 
 
 @query(
@@ -214,7 +233,7 @@ def quality_report(t):
 )
 def performance_csv(t):
     rows = reports.performance(t.status(), t.information(), START, END)
-    return layouts.as_csv(rows, layouts.PERFORMANCE_CSV)
+    return _csv_file(t, rows, layouts.PERFORMANCE_CSV)
 
 
 @query(
@@ -223,7 +242,7 @@ def performance_csv(t):
           case when charging then 'TRUE' else 'FALSE' end "Charging" from ({INTEGRAL_SQL}) f""",
 )
 def integral_csv(t):
-    return layouts.as_csv(integrals(t), layouts.INTEGRAL_CSV)
+    return _csv_file(t, integrals(t), layouts.INTEGRAL_CSV)
 
 
 @query(
@@ -232,7 +251,7 @@ def integral_csv(t):
           case when charging then 'TRUE' else 'FALSE' end "Charging" from ({FACTOR_SQL}) f""",
 )
 def factor_csv(t):
-    return layouts.as_csv(factors(t), layouts.FACTOR_CSV)
+    return _csv_file(t, factors(t), layouts.FACTOR_CSV)
 
 
 def _counts_sql(kind: str) -> str:
@@ -245,7 +264,7 @@ def _counts_sql(kind: str) -> str:
           'undockings', {_counts_sql("undockings")})::varchar "json" from ({DOCKING_SQL}) d""",
 )
 def docking_json(t):
-    return layouts.docking_json(docking(t))
+    return _json_file(t, layouts.docking_json(docking(t)), station_id=("int", "$.station-id"))
 
 
 @query(
@@ -264,7 +283,7 @@ def charging_json(t):
         from ({INTEGRAL_SQL}) i""",
 )
 def integral_json(t):
-    return layouts.integral_json(integrals(t))
+    return _json_file(t, layouts.integral_json(integrals(t)), station_id=("int", "$.station_id"))
 
 
 @query("snk4_factor_json", f"select * exclude ({', '.join(k for k in layouts.INTEGRAL_CSV if k.endswith('_seconds') and k != 'total_seconds')}) from ({FACTOR_SQL}) f")
@@ -289,13 +308,15 @@ _STATION_JSON = """'station_information', json_object('station_id', si.station_i
 )
 def occupancy_json(t):
     rows = reports.occupancy_list(t.status(), t.information(), START, LIST_END)
-    return layouts.occupancy_json(rows, _PAYLOAD_STATION, _PAYLOAD_STATUS)
+    payload = layouts.occupancy_json(rows, _PAYLOAD_STATION, _PAYLOAD_STATUS)
+    return _json_file(t, payload, info_station_id=("int", "$.station_information.station_id"))
 
 
 @query("snk4_station_list_json", f"""select l.info_station_id, json_object({_STATION_JSON})::varchar "json" from {_WITH_VERSION}""")
 def station_list_json(t):
     rows = reports.station_list(t.status(), t.information(), LIST_END)
-    return layouts.station_list_json(rows, _PAYLOAD_STATION, _PAYLOAD_STATUS)
+    payload = layouts.station_list_json(rows, _PAYLOAD_STATION, _PAYLOAD_STATUS)
+    return _json_file(t, payload, info_station_id=("int", "$.station_information.station_id"))
 
 
 @query(
@@ -304,7 +325,8 @@ def station_list_json(t):
          'Mechanical Count', mechanical_count, 'E-Bike Count', ebike_count)::varchar "json" from sc""",
 )
 def system_information_json(t):
-    return layouts.system_information_json(t.system_counts())
+    payload = layouts.system_information_json(t.system_counts())
+    return _json_file(t, payload, reported=("timestamp_ntz", "$.Reported"))
 
 
 def _leg_json(name: str) -> str:
@@ -317,6 +339,7 @@ def _leg_json(name: str) -> str:
     f"""select endpoint, json_object('endpoint', endpoint, {", ".join(_leg_json(n) for n in _LEGS)})::varchar "json" from ({HISTORY_SQL}) h""",
 )
 def query_history_json(t: Tables):
-    return layouts.query_history_json(reports.query_history_report(t.query_log(), ZONE))
+    payload = layouts.query_history_json(reports.query_history_report(t.query_log(), ZONE))
+    return _json_file(t, payload, endpoint=("string", "$.endpoint"))
 
 

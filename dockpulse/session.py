@@ -63,20 +63,20 @@ def configure(spark: SparkSession) -> SparkSession:
 # Bytes of scanned files per shuffle partition to start with; AQE merges those that turn out small.
 SHUFFLE_BYTES = 128 * 1024 * 1024
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-MOST_PARTITIONS = 200_000
 
 
-def size_shuffles(spark: SparkSession, largest: DataFrame) -> None:
-    """Let exchanges start with enough partitions for the largest input, known from its files without a job.
+def size_shuffles(spark: SparkSession, *inputs: DataFrame, bytes_per_partition: int = SHUFFLE_BYTES) -> int:
+    """Let exchanges start with enough partitions for the largest of the inputs, known from their files without a job; returns the number.
 
-    A fixed `spark.sql.shuffle.partitions` that fits a test would give partitions of many gigabytes on a large table.
+    A call of whoever owns the session: a fixed `spark.sql.shuffle.partitions` that fits a test would give partitions of many gigabytes on a large table.
+    A number that the user has set is left alone.
     """
-    size = int(str(largest._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = min(size // SHUFFLE_BYTES + 1, MOST_PARTITIONS)
-    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+    sizes = [int(str(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for f in inputs]
+    wanted = max([-(-size // bytes_per_partition) for size in sizes], default=0)
+    wanted = max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if spark.conf.get(INITIAL_PARTITIONS, None) is None:
         spark.conf.set(INITIAL_PARTITIONS, str(wanted))
-    else:
-        spark.conf.unset(INITIAL_PARTITIONS)
+    return int(spark.conf.get(INITIAL_PARTITIONS))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dockpulse import schemas
-from dockpulse.params import from_epoch
+from dockpulse.params import epoch, from_epoch
 
 CORRUPT = "_corrupt"
 
@@ -91,11 +91,15 @@ VERSIONS = Feed("versions", "versions", schemas.FEED_VERSION)
 
 
 def parse(documents: DataFrame, feed: Feed) -> DataFrame:
-    """Documents with a `doc` struct; `doc._corrupt` holds the text if it is not JSON of the right shape."""
+    """Documents with a `doc` struct; `doc._corrupt` holds the text if it is not JSON of the right shape.
+
+    The struct comes out of a generator: filters and projections on its fields are not pushed below one, so a document is parsed
+    once and not once for each field that somebody looks at.
+    """
     schema = schemas.envelope(feed.key, feed.item)
     schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return documents.withColumn("doc", F.from_json("value", schema, options))
+    return documents.select("*", F.explode(F.array(F.from_json("value", schema, options))).alias("doc"))
 
 
 def decoded(feed: Feed) -> Column:
@@ -138,7 +142,12 @@ def versions(documents: DataFrame) -> DataFrame:
 
 def station_information(documents: DataFrame) -> DataFrame:
     """Station rows of information documents, reported at the time of their document."""
-    rows = items(documents, STATION_INFORMATION).select("last_updated", "item.*")
+    rows = items(documents, STATION_INFORMATION).select(from_epoch(F.col("last_updated")).alias("reported"), "item.*")
+    return information_rows(rows)
+
+
+def information_rows(rows: DataFrame) -> DataFrame:
+    """Feed items with a `reported` time as station rows."""
     text = F.lit("")
     uris = [F.coalesce(F.col(f"rental_uris.{n}"), text) for n in ("android", "ios", "web")]
     methods = F.coalesce("rental_methods", F.array().cast("array<string>"))
@@ -149,7 +158,6 @@ def station_information(documents: DataFrame) -> DataFrame:
         "bluetooth_id": F.nullif("_bluetooth_id", text),
         "ride_code_support": F.col("_ride_code_support"),
         "rental_uris": F.array(*uris),
-        "reported": from_epoch(F.col("last_updated")),
     }
     names = [n for n in schemas.STATION_INFORMATION.names if n not in ("id", "active")]
     return rows.select(*[values.get(n, F.col(n)).alias(n) for n in names])
@@ -157,7 +165,11 @@ def station_information(documents: DataFrame) -> DataFrame:
 
 def station_status(documents: DataFrame) -> DataFrame:
     """Status rows of status documents; stations that never reported are left out."""
-    rows = items(documents, STATION_STATUS).select("item.*")
+    return status_rows(items(documents, STATION_STATUS).select("item.*"))
+
+
+def status_rows(rows: DataFrame) -> DataFrame:
+    """Feed items as status rows."""
     counts = F.map_from_entries(
         F.transform("vehicle_types_available", lambda v: F.struct(v["vehicle_type_id"], v["count"]))
     )
@@ -172,6 +184,26 @@ def station_status(documents: DataFrame) -> DataFrame:
     return rows.select(*[values.get(n, F.col(n)).alias(n) for n in schemas.STATUS_FEED_COLUMNS])
 
 
+def status_items(status: DataFrame) -> DataFrame:
+    """Status rows as feed items: the inverse of `status_rows`."""
+    kinds = (("BOOST", "boost"), ("ICONIC", "iconic"), ("EFIT", "efit"), ("EFIT G5", "efit_g5"))
+    counted = [
+        F.struct(F.lit(kind).alias("vehicle_type_id"), F.col(f"vehicle_types_available_{name}").alias("count"))
+        for kind, name in kinds
+    ]
+    docks = F.struct(
+        F.array(*[F.lit(kind) for kind, _ in kinds]).alias("vehicle_type_ids"),
+        F.col("vehicle_docks_available").alias("count"),
+    )
+    values = {
+        "station_id": F.col("station_id").cast("string"),
+        "last_reported": epoch("last_reported"),
+        "vehicle_docks_available": F.array(docks),
+        "vehicle_types_available": F.array(*counted),
+    }
+    return status.select(*[values.get(n, F.col(n)).alias(n) for n in schemas.FEED_STATION_STATUS.names])
+
+
 def _system(documents: DataFrame) -> DataFrame:
     rows = parse(documents, SYSTEM_INFORMATION).where(decoded(SYSTEM_INFORMATION))
     return rows.select(from_epoch(F.col("doc.last_updated")).alias("reported"), "doc.data.*")

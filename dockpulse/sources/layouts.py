@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -57,8 +58,14 @@ def write_csv(rows: DataFrame, header: dict[str, str], path: str) -> None:
     as_csv(rows, header).write.mode("overwrite").csv(path, header=True)
 
 
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A written export; a value of another type fails the job."""
+    return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST")
+
+
 def write_json(payload: DataFrame, path: str) -> None:
-    payload.write.mode("overwrite").text(path)
+    """The payloads, one in a line, without the key columns beside them."""
+    payload.select("json").write.mode("overwrite").text(path)
 
 
 def _json(rows: DataFrame, value: Column, *keys: str) -> DataFrame:

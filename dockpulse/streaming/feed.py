@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dockpulse import schemas
 from dockpulse.ingest import feedlog, information
+from dockpulse.operators import staleness
 from dockpulse.sources import gbfs
 from dockpulse.streaming import store
 
 
 def merge_information_each(stream: DataFrame, path: str, ignore: Sequence[str] = ()) -> DataStreamWriter:
-    """Merge every batch of station rows into the versioned dimension.
-
-    A batch may hold several snapshots of a station; the last one counts.
-    """
+    """Merge every batch of station rows into the versioned dimension. However snapshots are dealt into batches in the order of
+    their times, the versions are the same."""
 
     def merge(frame: DataFrame, batch_id: int) -> None:
         spark = frame.sparkSession
@@ -54,28 +51,44 @@ def envelopes(documents: DataFrame, kind: gbfs.Feed, feed: str) -> DataFrame:
     )
 
 
-def fresh_envelopes(stream: DataFrame) -> DataFrame:
-    """Envelopes (feed, endpoint, updated, ttl) that are not stale, in the order of their update times.
+_DUE = T.StructType([T.StructField("endpoint", T.StringType()), T.StructField("due", T.LongType())])
+
+
+def fresh_each(stream: DataFrame, path: str) -> DataStreamWriter:
+    """Envelopes (feed, endpoint, updated, ttl) that are not stale, a part per batch under `path/accepted`.
 
-    One is accepted if its update time is at least that of the last accepted one plus its ttl. The state per
-    (feed, endpoint) is that sum. Expects one envelope per update time, so that a batch holds at most one per second
-    it spans, however many files it reads.
+    One is accepted if its update time is at least that of the last accepted one plus its ttl. That sum is all the state, one number
+    per feed and endpoint. Inside a batch the batch operator runs, split by day, so a backlog is not one task. Of envelopes with equal times one counts.
     """
-    output = T.StructType([T.StructField(n, stream.schema[n].dataType) for n in ("feed", "endpoint", "updated", "ttl")])
-    state_type = T.StructType([T.StructField("due", T.LongType())])
-
-    def accept(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames))[list(output.names)].sort_values(["updated", "ttl"])
-        due = state.get[0] if state.exists else None
-        keep = []
-        for updated, ttl in zip(rows["updated"], rows["ttl"], strict=True):
-            fresh = due is None or updated >= due
-            keep.append(fresh)
-            if fresh:
-                due = int(updated + ttl)
-        state.update((due,))
-        yield rows[keep]
-
-    return stream.groupBy("feed", "endpoint").applyInPandasWithState(
-        accept, output, state_type, "append", GroupStateTimeout.NoTimeout
-    )
+    names = ("feed", "endpoint", "updated", "ttl")
+
+    def accept(frame: DataFrame, batch_id: int) -> None:
+        spark = frame.sparkSession
+        due = store.read_before(spark, f"{path}/due", batch_id, _DUE)
+        both = F.concat_ws("\n", "feed", "endpoint").alias("endpoint")
+        ttl = F.col("ttl").cast("long")
+        fresh = staleness.fresh_responses(frame.select(both, "updated", ttl.alias("ttl"), ttl.alias("id")), due)
+        parts = F.split("endpoint", "\n")
+        rows = fresh.select(parts[0].alias("feed"), parts[1].alias("endpoint"), "updated", "ttl")
+        store.write_version(rows, f"{path}/accepted", batch_id)
+        written = spark.read.schema(rows.schema).parquet(f"{path}/accepted/version={batch_id}")
+        left = written.groupBy(both).agg(F.max(F.col("updated") + F.col("ttl")).alias("due"))
+        left = left.unionByName(due).groupBy("endpoint").agg(F.max("due").alias("due"))
+        store.write_version(left, f"{path}/due", batch_id)
+        store.drop_old_versions(spark, f"{path}/due", batch_id)
+
+    return stream.select(*names).writeStream.foreachBatch(accept)
+
+
+def accepted(spark: SparkSession, path: str) -> DataFrame:
+    return store.read_all(spark, f"{path}/accepted", ACCEPTED)
+
+
+ACCEPTED = T.StructType(
+    [
+        T.StructField("feed", T.StringType()),
+        T.StructField("endpoint", T.StringType()),
+        T.StructField("updated", T.LongType()),
+        T.StructField("ttl", T.LongType()),
+    ]
+)

@@ -7,6 +7,7 @@ writes version n; a replay after a lost driver overwrites its own version only.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -15,24 +16,34 @@ def _folder(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, folder = _folder(spark, path)
+    return files.exists(folder)
+
+
 def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of all versions, also of one that is not complete, by one listing."""
     files, folder = _folder(spark, path)
     if not files.exists(folder):
         return []
-    found = []
-    for entry in files.listStatus(folder):
-        name = entry.getPath().getName()
-        if name.startswith("version=") and files.exists(_folder(spark, f"{path}/{name}/_SUCCESS")[1]):
-            found.append(int(name.split("=", 1)[1]))
-    return sorted(found)
+    names = [entry.getPath().getName() for entry in files.listStatus(folder)]
+    return sorted(int(name.split("=", 1)[1]) for name in names if name.startswith("version="))
+
+
+def _newest(spark: SparkSession, path: str, batch_id: int) -> int | None:
+    """The newest complete version older than a batch."""
+    for version in reversed(_versions(spark, path)):
+        if version < batch_id and exists(spark, f"{path}/version={version}/_SUCCESS"):
+            return version
+    return None
 
 
 def read_before(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
     """The newest complete version older than a batch, or no rows."""
-    older = [v for v in _versions(spark, path) if v < batch_id]
-    if not older:
+    version = _newest(spark, path, batch_id)
+    if version is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/version={older[-1]}")
+    return spark.read.schema(schema).parquet(f"{path}/version={version}")
 
 
 def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -40,9 +51,13 @@ def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 
 def read_all(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All versions together: for outputs of which every batch wrote its own part."""
-    parts = [f"{path}/version={v}" for v in _versions(spark, path)]
-    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+    """All versions together: for outputs of which every batch wrote its own part. One folder is read, whatever the number of batches; only
+    the newest version can be incomplete."""
+    version = _newest(spark, path, 2**62)
+    if version is None:
+        return spark.createDataFrame([], schema)
+    parts = T.StructType([*schema.fields, T.StructField("version", T.LongType())])
+    return spark.read.schema(parts).parquet(path).where(F.col("version") <= version).select(*schema.names)
 
 
 def write_version(rows: DataFrame, path: str, batch_id: int) -> None:

@@ -6,6 +6,7 @@ import gzip
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from dockpulse import schemas
@@ -15,13 +16,14 @@ from dockpulse.params import StatusQuery
 from dockpulse.sources import gbfs, tables
 from fixtures import event_status, information_table
 
+# Field names and value sets are those of the feed (fixed); the values are invented.
 STATUS = {
-    "station_id": "7502",
-    "num_bikes_available": 9,
+    "station_id": "9101",
+    "num_bikes_available": 6,
     "num_bikes_disabled": 0,
     "num_docks_available": 5,
     "num_docks_disabled": 0,
-    "last_reported": 1694211245,
+    "last_reported": 1700000405,
     "is_charging_station": False,
     "status": "IN_SERVICE",
     "is_installed": True,
@@ -30,7 +32,7 @@ STATUS = {
     "traffic": None,
     "vehicle_docks_available": [{"vehicle_type_ids": ["ICONIC", "EFIT"], "count": 5}, {"vehicle_type_ids": [], "count": 7}],
     "vehicle_types_available": [
-        {"vehicle_type_id": "ICONIC", "count": 8},
+        {"vehicle_type_id": "ICONIC", "count": 4},
         {"vehicle_type_id": "EFIT G5", "count": 1},
     ],
 }
@@ -55,7 +57,7 @@ INFORMATION = {
 }
 
 
-def envelope(key, items, updated=1694211395):
+def envelope(key, items, updated=1700000595):
     data = items if key is None else {key: items}
     return json.dumps({"last_updated": updated, "ttl": 36, "data": data, "version": "2.3"}, indent=1)
 
@@ -67,10 +69,10 @@ def test_status_files(spark, tmp_path):
     with gzip.open(tmp_path / "b.json.gz", "wt") as file:
         file.write(envelope("stations", [no_docks]))
     rows = gbfs.station_status(gbfs.read_documents(spark, str(tmp_path))).orderBy("station_id").collect()
-    assert [r.station_id for r in rows] == [2, 7502]
-    assert rows[1].last_reported == datetime(2023, 9, 8, 22, 14, 5)
+    assert [r.station_id for r in rows] == [2, 9101]
+    assert rows[1].last_reported == datetime(2023, 11, 14, 22, 20, 5)
     assert rows[1].vehicle_docks_available == 5
-    assert (rows[1].vehicle_types_available_iconic, rows[1].vehicle_types_available_efit_g5) == (8, 1)
+    assert (rows[1].vehicle_types_available_iconic, rows[1].vehicle_types_available_efit_g5) == (4, 1)
     assert (rows[1].vehicle_types_available_boost, rows[1].vehicle_types_available_efit) == (0, 0)
     assert (rows[0].vehicle_docks_available, rows[0].vehicle_types_available_iconic) == (0, 0)
 
@@ -78,7 +80,7 @@ def test_status_files(spark, tmp_path):
 def test_information_file(spark, tmp_path):
     (tmp_path / "a.json").write_text(envelope("stations", [INFORMATION]))
     row = gbfs.station_information(gbfs.read_documents(spark, str(tmp_path))).first()
-    assert row.station_id == 7000 and row.reported == datetime(2023, 9, 8, 22, 16, 35)
+    assert row.station_id == 7000 and row.reported == datetime(2023, 11, 14, 22, 23, 15)
     assert row.rental_methods == ["KEY", "PHONE"] and row.rental_uris == ["", "app", ""]
     assert row.bluetooth_id is None and row.address is None and row.is_valet_station is False
 
@@ -137,14 +139,77 @@ def test_log_of_good_and_bad_files(spark, tmp_path):
     documents = gbfs.read_documents(spark, str(tmp_path)).orderBy("file")
     rows = feedlog.log_rows(documents, gbfs.STATION_STATUS, now).collect()
     assert [r.success for r in rows] == [True, False, False]
-    assert [r.time for r in rows] == [datetime(2023, 9, 8, 22, 16, 35), now, now]
+    assert [r.time for r in rows] == [datetime(2023, 11, 14, 22, 23, 15), now, now]
     assert [r.error_json for r in rows] == [None, '{"message": "limit"}', "null"]
 
 
-def test_dump_as_one_array(spark, tmp_path):
-    (tmp_path / "dump.json").write_text(json.dumps([{"station_id": 3, "num_bikes_available": 1}, {"station_id": 4}]))
-    rows = tables.read_dump(spark, str(tmp_path / "dump.json"), schemas.STATION_STATUS, array=True)
-    assert sorted(r.station_id for r in rows.collect()) == [3, 4]
+def test_status_dump_as_one_array(spark, tmp_path):
+    records = [STATUS, STATUS | {"station_id": "8", "traffic": "busy"}]
+    (tmp_path / "dump.json").write_text(json.dumps(records))
+    rows = tables.read_status_dump(spark, str(tmp_path / "dump.json"), array=True).orderBy("station_id").collect()
+    assert [(r.station_id, r.vehicle_types_available_iconic, r.traffic) for r in rows] == [(8, 4, "busy"), (9101, 4, None)]
+    assert rows[0].last_reported == datetime(2023, 11, 14, 22, 20, 5)
+
+
+RECORD = {
+    "info_id": 12, "station_id": 7000, "name": "Fort", "physical_configuration": "REGULAR", "lat": 1.5, "lon": 2.5,
+    "altitude": 3.0, "address": None, "capacity": 35, "is_charging_station": False, "rental_methods": ["KEY"],
+    "is_valet_station": False, "is_virtual_station": False, "groups": ["a"], "obcn": "647", "nearby_distance": 500.0,
+    "_bluetooth_id": "b1", "_ride_code_support": True, "rental_uris": ["", "", "x"], "active": True,
+    "reported": "2023-10-30T04:00:05Z",
+}
+
+
+def test_information_dump(spark, tmp_path):
+    (tmp_path / "dump.json").write_text(json.dumps([RECORD]))
+    row = tables.read_information_dump(spark, str(tmp_path / "dump.json"), array=True).first()
+    assert (row.id, row.bluetooth_id, row.ride_code_support) == (12, "b1", True)
+    assert row.reported == datetime(2023, 10, 30, 4, 0, 5) and row.rental_uris == ["", "", "x"]
+
+
+@pytest.mark.parametrize("bad", ["{}", "not json", json.dumps(RECORD | {"info_id": "twelve"})])
+def test_bad_information_records_raise(spark, tmp_path, bad):
+    (tmp_path / "dump.json").write_text(json.dumps(RECORD) + "\n" + bad + "\n")
+    with pytest.raises(Exception):
+        tables.read_information_dump(spark, str(tmp_path / "dump.json")).collect()
+
+
+@pytest.mark.parametrize("bad", ["{}", "[1", json.dumps(STATUS | {"num_docks_available": "two"}), json.dumps(RECORD)])
+def test_bad_status_records_raise(spark, tmp_path, bad):
+    (tmp_path / "dump.json").write_text(json.dumps(STATUS) + "\n" + bad + "\n")
+    with pytest.raises(Exception):
+        tables.read_status_dump(spark, str(tmp_path / "dump.json")).collect()
+
+
+PSQL = r'''id^station_id^name^capacity^is_charging_station^rental_methods^groups^bluetooth_id^active^reported
+1^7000^"Fort ^ ""York"""^35^t^"{KEY,""TRANSIT, CARD"",NULL,""say \""hi\""""}"^{}^""^f^2023-12-19 05:20:38+00
+2^7001^^40^f^{}^{a}^^t^2023-12-19 05:20:38.5-05
+'''
+
+
+def test_psql_file(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(PSQL)
+    one, two = tables.read_delimited(spark, str(tmp_path / "t.csv"), schemas.STATION_INFORMATION).orderBy("id").collect()
+    assert (one.name, one.is_charging_station, one.active) == ('Fort ^ "York"', True, False)
+    assert one.rental_methods == ["KEY", "TRANSIT, CARD", None, 'say "hi"'] and one.groups == []
+    assert one.reported == datetime(2023, 12, 19, 5, 20, 38) and one.bluetooth_id == ""
+    assert (two.name, two.bluetooth_id, two.lat, two.groups) == (None, None, None, ["a"])
+    assert two.reported == datetime(2023, 12, 19, 10, 20, 38, 500000)
+
+
+@pytest.mark.parametrize("old, new", [("^t^", "^yes^"), ("35^", "many^"), ("2023-12-19 05:20:38+00", "noon"), ("{a}", "a")])
+def test_values_of_psql_files_that_do_not_parse(spark, tmp_path, old, new):
+    (tmp_path / "t.csv").write_text(PSQL.replace(old, new, 1))
+    with pytest.raises(Exception, match="not a value of"):
+        tables.read_delimited(spark, str(tmp_path / "t.csv"), schemas.STATION_INFORMATION).collect()
+
+
+def test_delimited_text_round_trip(spark, tmp_path):
+    odd = {"station_id": 7, "name": 'a^"b"', "rental_methods": ["KEY", 'x"y', "back\\slash", "a,b", "{c}", "", "null", None], "bluetooth_id": "", "address": None}
+    stations = information_table(spark, [odd])
+    tables.write_delimited(stations, str(tmp_path / "t"))
+    again = tables.read_delimited(spark, str(tmp_path / "t"), schemas.STATION_INFORMATION)
+    assert again.collect() == stations.collect()
 
 
 def test_delimited_lists(spark, tmp_path):
