@@ -70,9 +70,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     known = _known(templates)
     if not known:
         raise ValueError("no template has two words")
-    low, high = least / (2 - least), (2 - least) / least
-    shortest = min(n for _, n, _ in known) * low
-    longest = max(n for _, n, _ in known) * high
+    shortest = int(min(n for _, n, _ in known) * least / (2 - least) - 1e-6)
+    longest = int(max(n for _, n, _ in known) * (2 - least) / least + 1)
     literal = F.array(
         *[
             F.struct(
@@ -107,7 +106,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
 
     def compared(u: Column) -> Column:
         n = F.size(u["grams"])
-        fit = F.filter(literal, lambda t: (t["n"] >= n * low) & (t["n"] <= n * high))
+        # the highest dice that the sizes allow, by the division that the dice itself takes
+        fit = F.filter(literal, lambda t: 2 * F.least(t["n"], n) / (n + t["n"]) >= least)
         return F.transform(
             fit, lambda t: F.struct((-dice(u, t)).alias("away"), t["name"].alias("name"), u["line"].alias("line"))
         )

@@ -14,47 +14,67 @@ from dockpulse.llm.workspace import ship, stored
 
 # Labelled rows that the model is fitted on: those with the smallest hash of doc_id.
 SAMPLE_ROWS = 20_000
-# A feature is a word or the first letters of one; it needs this many texts of the sample and this chi-square between its texts and the toxic ones.
+# A key is a word or the first letters of one; a feature is a key that a text has, or has often: for this share of its words or more. It needs this many
+# texts of the sample and this chi-square between its texts and the toxic ones.
+OFTEN = 0.01
 PREFIXES = (4, 5, 6)
 LEAST_TEXTS = 5
-LEAST_CHI = 10.83
+LEAST_CHI = 40.0
 MOST_FEATURES = 16_384
 # A feature of which this share of texts is toxic marks toxicity, for the grading of toxic texts.
 MARKER = 0.8
 GRADES = 3
 STEPS, RATE, RIDGE = 400, 0.1, 2e-4
+# A text is called toxic from this chance on: to miss one counts four times as much as to accuse a clean one.
+CALLED = 0.2
 EDGES = ".,;:!?\"'`()[]{}<>*#$%&|~^=+-_/\\…«»“”„’‘"
 
 
 def keys(word: str) -> list[str]:
-    """The features of a lower-cased word: itself, and `stem*` for each length that it exceeds."""
+    """The keys of a lower-cased word: itself, and `stem*` for each length that it exceeds."""
     word = word.strip(EDGES)
     return [word, *[f"{word[:n]}*" for n in PREFIXES if len(word) > n]] if word else []
 
 
-def _coded(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct lower-cased words, the place in them of every word of all texts, and where each text's words start."""
+def _pairs(texts: list[str | None], known: dict[str, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[str, int]]:
+    """Text, key and count of every pair of them, the number of words of each text, and the numbers of the keys: the known ones, else all."""
     lists = pc.ascii_split_whitespace(pc.utf8_lower(pa.array([t or "" for t in texts], pa.large_string())))
-    offsets, words = lists.offsets.to_numpy(), lists.values
-    coded = words.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets
-
-
-def counted(texts: list[str | None], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of known features: text, feature and count of each pair, and the number of words of each text."""
-    words, place, offsets = _coded(texts)
-    hits = [[number[k] for k in keys(w) if k in number] for w in words]
-    size = np.array([len(h) for h in hits], np.int64)
-    lengths = np.diff(offsets)
-    flat = np.array([f for h in hits for f in h], np.int64)
+    coded = lists.values.dictionary_encode()
+    words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    # white space at the ends of a text leaves empty pieces
+    full = np.array([w != "" for w in words], bool)[place] if len(words) else np.zeros(0, bool)
+    text, place = text[full], place[full]
+    lengths = np.bincount(text, minlength=len(texts))
+    if known is None:
+        known = {}
+        of = [[known.setdefault(k, len(known)) for k in keys(w)] for w in words]
+    else:
+        of = [[known[k] for k in keys(w) if k in known] for w in words]
+    size = np.array([len(h) for h in of], np.int64)
+    flat = np.array([k for h in of for k in h], np.int64)
     start = np.cumsum(size) - size
-    text = np.repeat(np.arange(len(texts)), lengths)
     hit = np.flatnonzero(size[place] > 0) if len(place) else np.zeros(0, np.int64)
     word = place[hit]
-    n = size[word]
-    feature = flat[np.repeat(start[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    pair, count = np.unique(np.repeat(text[hit], n) * (len(number) + 1) + feature, return_counts=True)
-    return pair // (len(number) + 1), pair % (len(number) + 1), count, lengths
+    n = size[word] if len(word) else word
+    key = flat[np.repeat(start[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(word) else word
+    unit = len(known) + 1
+    pair, count = np.unique(np.repeat(text[hit], n) * unit + key, return_counts=True)
+    return pair // unit, pair % unit, count, lengths, known
+
+
+def counted(texts: list[str | None], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows of known features: text, feature and count of each pair, and the number of words of each text. `key %` is the feature of a key that is often there."""
+    known: dict[str, int] = {}
+    for name in number:
+        known.setdefault(name.removesuffix(" %"), len(known))
+    there = np.array([number.get(k, -1) for k in known] + [-1], np.int64)
+    often = np.array([number.get(f"{k} %", -1) for k in known] + [-1], np.int64)
+    text, key, count, words, _ = _pairs(texts, known)
+    dense = count >= OFTEN * words[text]
+    first, second = there[key] >= 0, dense & (often[key] >= 0)
+    found = (np.concatenate((a[first], b[second])) for a, b in ((text, text), (there[key], often[key]), (count, count)))
+    return *found, words
 
 
 def values(count: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -133,23 +153,15 @@ def chosen_features(sample: DataFrame) -> list[tuple[str, int, int]]:
     def run(batches):
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
-            words, place, offsets = _coded(batch.column("text").to_pylist())
-            text = np.repeat(np.arange(len(toxic)), np.diff(offsets))
-            found: dict[str, int] = {}
-            of = [[found.setdefault(k, len(found)) for k in keys(w)] for w in words]
-            size = np.array([len(h) for h in of], np.int64)
-            flat = np.array([f for h in of for f in h], np.int64)
-            start = np.cumsum(size) - size
-            seen = np.unique(text * (len(words) + 1) + place) if len(place) else np.zeros(0, np.int64)
-            word, owner = seen % (len(words) + 1), seen // (len(words) + 1)
-            n = size[word] if len(word) else word
-            feature = flat[np.repeat(start[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(word) else word
-            pairs = np.unique(np.repeat(owner, n) * (len(found) + 1) + feature)
-            feature, owner = pairs % (len(found) + 1), pairs // (len(found) + 1)
-            every = np.bincount(feature, minlength=len(found))
-            bad = np.bincount(feature[toxic[owner]], minlength=len(found))
-            columns = [pa.array(list(found), pa.string()), pa.array(every), pa.array(bad)]
-            yield pa.RecordBatch.from_arrays(columns, ["feature", "texts", "bad"])
+            text, key, count, words, known = _pairs(batch.column("text").to_pylist(), None)
+            dense = count >= OFTEN * words[text]
+            for mark, rows in (("", np.ones(len(text), bool)), (" %", dense)):
+                every = np.bincount(key[rows], minlength=len(known))
+                bad = np.bincount(key[rows & toxic[text]], minlength=len(known))
+                some = np.flatnonzero(every)
+                names = list(known)
+                columns = [pa.array([names[i] + mark for i in some], pa.string()), pa.array(every[some]), pa.array(bad[some])]
+                yield pa.RecordBatch.from_arrays(columns, ["feature", "texts", "bad"])
 
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0)).alias("bad")).first()
     n, bad = float(total["n"]), float(total["bad"])
@@ -203,7 +215,7 @@ _SEVERITY = "doc_id bigint, grade int, severity double, p_toxic double, toxic bo
 
 
 def severity(docs: DataFrame, model: Model) -> DataFrame:
-    """`doc_id, grade` (the likeliest), `severity` (the expected grade), `p_toxic` (chance of grade 1 or more) and `toxic` (p_toxic of a half or more).
+    """`doc_id, grade` (the likeliest), `severity` (the expected grade), `p_toxic` (chance of grade 1 or more) and `toxic` (p_toxic of `CALLED` or more).
 
     The model has at most `MOST_FEATURES` features. Null and empty texts have none of them.
     """
@@ -216,7 +228,7 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
             text, feature, count, words = counted(batch.column("text").to_pylist(), own.number)
             chance = own.chances(text, feature, values(count, words[text]), batch.num_rows)
             expected, p = chance @ np.arange(GRADES), 1 - chance[:, 0]
-            columns = [batch.column("doc_id"), *map(pa.array, (chance.argmax(axis=1).astype(np.int32), expected, p, p >= 0.5))]
+            columns = [batch.column("doc_id"), *map(pa.array, (chance.argmax(axis=1).astype(np.int32), expected, p, p >= CALLED))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "grade", "severity", "p_toxic", "toxic"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _SEVERITY)
