@@ -33,6 +33,10 @@ HEADLINES = {
     "running_totals": "w10_running_totals",
     "change_capture": "i5_change_capture",
     "performance_report": "r3_performance",
+    "changes_with_totals": "w11_changes_with_totals",
+    "quality_report": "r14_quality_report",
+    "reference_repair": "i9_reference_repair",
+    "feed_log": "i7_feed_log",
 }
 
 

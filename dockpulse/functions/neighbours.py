@@ -19,7 +19,7 @@ STATION = "info_station_id"
 TIME_ORDER = ("last_reported", "info_reported")
 
 
-def segment_of(column: str) -> Column:
+def segment_of(column: str | Column) -> Column:
     """Number of the UTC day."""
     return F.unix_date(F.to_date(column))
 
@@ -191,28 +191,23 @@ def as_of(
 ) -> DataFrame:
     """Rows with `name`: the greatest version time of their key that is not after their own time, or null.
 
-    Versions and rows are merged in time order inside each (key, segment); what earlier segments leave behind is
-    one value per segment. No row meets more than one version, however many a key has.
+    Versions and rows are merged in time order inside each (key, segment). A version is repeated at the start of each later segment up to that of the next
+    version, so a segment knows what earlier ones leave behind: as many rows as keys have segments, made from the versions alone. The rows are read and
+    exchanged once; besides that only their greatest time is looked up. No row meets more than one version, however many a key has.
     """
-    tagged = rows.select("*", F.lit(True).alias("_is_row"), F.lit(None).cast("timestamp_ntz").alias("_version")).unionByName(
-        versions.select(
-            F.col(version_key).alias(key),
-            F.col(version_time).alias(row_time),
-            F.lit(False).alias("_is_row"),
-            F.col(version_time).alias("_version"),
-        ),
-        allowMissingColumns=True,
-    )
-    tagged = tagged.withColumn("_segment", segment_of(row_time))
+    last = segment_of(rows.agg(F.max(row_time).alias("t")).select("t").scalar())
+    known = versions.select(F.col(version_key).alias(key), F.col(version_time).alias("_version")).distinct()
+    following = F.lead("_version").over(Window.partitionBy(key).orderBy("_version"))
+    spans = known.select("*", segment_of("_version").alias("_from"), F.coalesce(segment_of(following), last).alias("_to"))
+    later = F.when(F.col("_to") > F.col("_from"), F.sequence(F.col("_from") + 1, F.col("_to")))
+    repeated = spans.select(key, "_version", F.explode(later).alias("_segment"))
+    start = F.date_from_unix_date("_segment").cast("timestamp_ntz")
+    marks = known.select(key, "_version", segment_of("_version").alias("_segment"), F.col("_version").alias(row_time))
+    marks = marks.unionByName(repeated.withColumn(row_time, start)).withColumn("_is_row", F.lit(False))
+    tagged = rows.select("*", F.lit(True).alias("_is_row"), segment_of(row_time).alias("_segment"))
+    tagged = tagged.unionByName(marks, allowMissingColumns=True)
     # versions sort before rows of the same second
     inside = Window.partitionBy(key, "_segment").orderBy(row_time, "_is_row")
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = tagged.select("*", F.max("_version").over(so_far).alias("_local"))
-    per_segment = tagged.groupBy(key, "_segment").agg(F.max("_version").alias("_top"))
-    earlier = Window.partitionBy(key).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_segment.select(key, "_segment", F.max("_top").over(earlier).alias("_before"))
-    return (
-        local.where("_is_row")
-        .join(before, [key, "_segment"])
-        .select(*rows.columns, F.coalesce("_local", "_before").alias(name))
-    )
+    merged = tagged.withColumn(name, F.max("_version").over(so_far))
+    return merged.where("_is_row").select(*rows.columns, name)
