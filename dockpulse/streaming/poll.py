@@ -35,8 +35,8 @@ LOGGED = (
 def poll(documents: DataFrame, batch_id: int, folder: str, now: datetime | None = None, ignore: Sequence[str] = ()) -> None:
     """Take documents `endpoint, value` into the tables below a folder.
 
-    Status rows of stations that are in no information document so far are left out, as in the reference of the tables; a
-    station and its first status may come in the same batch.
+    Status rows of stations that are in no information document so far are left out; a station and its first status may come in the
+    same batch.
     """
     spark = documents.sparkSession
     documents = documents.select("endpoint", "value").persist()
