@@ -83,13 +83,22 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
         ]
     )
     d = docs.select("doc_id", F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9\n]+", " ").alias("t"))
-    d = d.select("doc_id", F.split("t", "\n", -1).alias("lines"), F.trim(F.regexp_replace("t", r"[ \n]+", " ")).alias("all"))
-    gaps = lambda text: F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit("")))
-    suits = lambda text: (gaps(text) >= shortest) & (gaps(text) <= longest)
-    unit = lambda line, text: F.struct(line.cast("int").alias("line"), text.alias("text"))
-    lines = F.transform("lines", lambda x, i: unit(i, F.trim(x)))
-    whole = F.array(unit(F.lit(-1), F.col("all")))
-    d = d.select("doc_id", F.filter(F.concat(whole, lines), lambda u: suits(u["text"])).alias("units"))
+    lines = F.transform(F.split("t", "\n", -1), lambda x, i: F.struct(i.cast("int").alias("line"), F.trim(x).alias("text")))
+    # the number of bigrams of a line, -1 if it has no word; only ASCII is left, so bytes are characters
+    spaces = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
+    sized = F.transform(
+        lines,
+        lambda u: F.struct(u["line"].alias("line"), u["text"].alias("text"), F.when(u["text"] == "", -1).otherwise(spaces(u["text"])).alias("n")),
+    )
+    d = d.select("doc_id", sized.alias("lines"))
+    total = F.aggregate("lines", F.lit(-1), lambda s, u: s + u["n"] + 1)
+    text = F.concat_ws(" ", F.transform(F.filter("lines", lambda u: u["n"] >= 0), lambda u: u["text"]))
+    suits = lambda n: (n >= shortest) & (n <= longest)
+    fitting = F.transform(
+        F.filter("lines", lambda u: suits(u["n"])), lambda u: F.struct(u["line"].alias("line"), u["text"].alias("text"))
+    )
+    whole = F.array_compact(F.array(F.when(suits(total), F.struct(F.lit(-1).alias("line"), text.alias("text")))))
+    d = d.select("doc_id", F.concat(whole, fitting).alias("units"))
     d = d.select("doc_id", F.transform("units", lambda u: F.struct(u["line"].alias("line"), F.split(u["text"], " ").alias("words"))).alias("units"))
 
     def pairs(u: Column) -> Column:
