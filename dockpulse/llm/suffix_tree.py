@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,21 +17,25 @@ from dockpulse.llm.workspace import ship, stored
 
 # Words of a context at most.
 DEPTH = 3
-# A context is a candidate from this share of all tokens on: at most 1 / LEAST_CONTEXT of each length.
-LEAST_CONTEXT = 5e-5
-# A token after a context counts from this share of all tokens on; at most 1 / LEAST_ENTRY for each length.
-LEAST_ENTRY = 5e-6
+# A context is a candidate from this many occurrences on, and a token after it counts from this many on: numbers from 1 on are counts, whatever
+# the corpus, so the tree grows with it; numbers below 1 are shares of all tokens.
+LEAST_CONTEXT = 2
+LEAST_ENTRY = 2
 # Nats that a context has to save per token, over its longest proper suffix, on the tokens seen after it.
 LEAST_DIVERGENCE = 0.01
 # Taken off each count after a context; what is taken goes to the shorter context.
 DISCOUNT = 0.75
 BLOCK_ROWS = 4096
 
-# Tokens of a key: 0 is none, 1 the start of a text, then frequent words by falling count, the end of a text last.
-START = 1
-FIRST = 2
-CONTEXT_BITS = 15
-TOKEN_BITS = 18
+# Grams (runs of words, with the start and end of their text) of one shard, about; the number of shards grows with the corpus.
+SHARD_GRAMS = 2_000_000
+# Bytes of a block's texts whose grams are packed at once.
+PART_BYTES = 3 << 20
+
+# The start and end of a text, as hashes of what is no word; keys of grams are polynomials of the hashes of their words.
+START = np.uint64(xxhash.xxh64_intdigest(b" start"))
+END = np.uint64(xxhash.xxh64_intdigest(b" end"))
+PRIME = 0x9E3779B97F4A7C15
 
 
 def held_out() -> Column:
@@ -94,88 +100,159 @@ def word_counts(texts: DataFrame) -> DataFrame:
     )
 
 
+def least(value: float, tokens: int) -> float:
+    """A count from 1 on, or a share of all tokens."""
+    return value if value >= 1 else max(value * tokens, 1)
+
+
 @dataclass
-class Frequent:
-    """Words with at least `LEAST_ENTRY` of all tokens: their hashes in order, the number of each, and where contexts end among the numbers."""
+class Row:
+    """All texts in one row of hashes, each as start, words, end, with the place of each in its text."""
 
-    hashes: np.ndarray
-    numbers: np.ndarray
-    counts: np.ndarray  # by number; 0 and START included, the end of a text last
-    contexts: int
+    tokens: np.ndarray
+    at: np.ndarray
+    text: np.ndarray
 
     @classmethod
-    def of(cls, words: np.ndarray, counts: np.ndarray, ends: int, tokens: int) -> Frequent:
-        order = np.lexsort((words, -counts))
-        words, counts = words[order], counts[order]
-        place = np.argsort(words)
-        limit = FIRST + int((counts >= LEAST_CONTEXT * tokens).sum())
-        every = np.concatenate(([0, ends], counts, [ends])).astype(np.int64)
-        return cls(words[place], place + FIRST, every, limit)
-
-    @property
-    def end(self) -> int:
-        return len(self.counts) - 1
-
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of words, 0 for those that are not frequent."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.numbers[at], 0)
-
-    def tokens(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All texts as one row of numbers, each as start, words, end; and the places of the words and ends in it."""
-        n = len(offsets) - 1
-        out = np.empty(len(words) + 2 * n, np.int64)
-        starts = offsets[:-1] + 2 * np.arange(n)
-        ends = offsets[1:] + 2 * np.arange(n) + 1
-        inside = np.ones(len(out), bool)
-        inside[starts] = inside[ends] = False
-        out[inside], out[starts], out[ends] = words, START, self.end
-        inside[ends] = True
-        return out, np.flatnonzero(inside)
-
-    def contexts_of(self, tokens: np.ndarray, places: np.ndarray):
-        """For each length: which of the places have a context of that length of frequent words, and its code. Codes of a place are nested."""
-        as_context = np.where(tokens < self.contexts, tokens, 0)
-        code, open_ = np.zeros(len(places), np.int64), np.arange(len(places))
+    def of(cls, words: np.ndarray, offsets: np.ndarray) -> Row:
+        lengths = np.diff(offsets) + 2
+        starts = np.cumsum(lengths) - lengths
+        tokens = np.empty(len(words) + 2 * len(lengths), np.uint64)
+        inside = np.ones(len(tokens), bool)
+        inside[starts] = inside[starts + lengths - 1] = False
+        tokens[inside], tokens[starts], tokens[starts + lengths - 1] = words.view(np.uint64), START, END
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        return cls(tokens, np.arange(len(tokens)) - starts[text], text)
+
+    def grams(self) -> list[np.ndarray]:
+        """For each length up to DEPTH + 1 the key of the gram that ends at each place, of use where it begins in the same text."""
+        keys = [self.tokens]
         for back in range(1, DEPTH + 1):
-            open_ = open_[places[open_] >= back]
-            older = as_context[places[open_] - back]
-            open_, older = open_[older > 0], older[older > 0]
-            code[open_] |= older << (CONTEXT_BITS * (back - 1))
-            yield open_, code[open_]
-            open_ = open_[older != START]
+            key = keys[-1].copy()
+            key[back:] += self.tokens[: max(len(key) - back, 0)] * np.uint64(pow(PRIME, back, 1 << 64))
+            keys.append(key)
+        return keys
+
 
+_GRAM = np.dtype([("key", "<i8"), ("prefix", "<i8"), ("suffix", "<i8"), ("n", "<u4"), ("length", "u1")])
 
-def entries(texts: DataFrame, frequent: Frequent, tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (context, token) and counts over all learned texts, from the share `LEAST_ENTRY` on.
 
-    Only contexts and tokens that are frequent themselves can be; the others are not counted. At most DEPTH / LEAST_ENTRY rows of 16 bytes come
-    to the driver, whatever the corpus: the shares of a length sum to 1.
+def grams(texts: DataFrame, tokens: int) -> DataFrame:
+    """`key, prefix, suffix, length, n, blocks` of every gram of up to DEPTH + 1 words that the learned texts have often enough, and the blocks that have it.
+
+    Prefix and suffix are the keys of the gram without its last and without its first word. Every part of a block sends each of its grams once,
+    packed by shard of the key, so one sort per shard counts them; nothing reaches the driver.
     """
     ship(__name__)
-    known = texts.sparkSession.sparkContext.broadcast(
-        (frequent.hashes, frequent.numbers, frequent.counts, frequent.contexts)
-    )
+    lowest = min(least(LEAST_CONTEXT, tokens), least(LEAST_ENTRY, tokens))
+    shards = max(1, math.ceil(tokens * (DEPTH + 1) / SHARD_GRAMS))
 
     def run(batches):
-        own = Frequent(*known.value)
         for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            learn = ~batch.column("held_out").to_numpy(zero_copy_only=False)
             bodies = batch.column("body").to_pylist()
-            hashes, place, offsets = _words(bodies)
-            row, places = own.tokens(own.number(hashes)[place], offsets)
-            found = []
-            for open_, code in own.contexts_of(row, places):
-                token = row[places[open_]]
-                found.append((code << TOKEN_BITS | token)[token > 0])
-            keys, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    found = texts.where("not held_out").select("body").mapInArrow(run, "key bigint, n bigint")
-    found = found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_ENTRY * tokens)
-    table = found.orderBy("key").toArrow()
-    return table.column("key").to_numpy().astype(np.int64), table.column("n").to_numpy().astype(np.int64)
+            part_of = np.cumsum([len(b) for b in bodies]) // PART_BYTES
+            for block, part in sorted(set(zip(blocks.tolist(), part_of.tolist()))):
+                mine = np.flatnonzero((blocks == block) & (part_of == part))
+                hashes, place, offsets = _words([bodies[i] for i in mine])
+                row = Row.of(hashes[place], offsets)
+                keys, weight, parts = row.grams(), learn[mine][row.text], []
+                for back, key in enumerate(keys):
+                    at = np.flatnonzero(row.at >= back)
+                    unique, first, of = np.unique(key[at], return_index=True, return_inverse=True)
+                    part = np.zeros(len(unique), _GRAM)
+                    part["key"], part["length"] = unique.view(np.int64), back + 1
+                    part["n"] = np.bincount(of, weight[at], len(unique))
+                    if back:
+                        part["prefix"] = keys[back - 1][at[first] - 1].view(np.int64)
+                        part["suffix"] = keys[back - 1][at[first]].view(np.int64)
+                    parts.append(part)
+                found = np.concatenate(parts)
+                shard = _shard(found["key"], shards)
+                order = np.argsort(shard, kind="stable")
+                found, shard = found[order], shard[order]
+                cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+                packs = [p.tobytes() for p in np.split(found, cuts[1:])]
+                columns = [pa.array(shard[cuts]), pa.array(np.full(len(cuts), block)), pa.array(packs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "pack"])
+
+    def count(table):
+        packs = [np.frombuffer(p, _GRAM) for p in table.column("pack").to_pylist()]
+        block = np.repeat(table.column("block").to_numpy(), [len(p) for p in packs])
+        found = np.concatenate(packs)
+        order = np.lexsort((block, np.ascontiguousarray(found["key"])))
+        found, block = found[order], block[order]
+        new = np.concatenate(([True], found["key"][1:] != found["key"][:-1]))
+        once = new | np.concatenate(([True], block[1:] != block[:-1]))  # a block comes in several parts
+        first = np.flatnonzero(new)
+        n = np.add.reduceat(found["n"].astype(np.int64), first)
+        size = np.add.reduceat(once.astype(np.int64), first)
+        often = n >= lowest
+        lists = np.concatenate(([0], np.cumsum(size[often])))
+        stay = once & often[np.cumsum(new) - 1]
+        one = found[first[often]]
+        columns = [pa.array(np.ascontiguousarray(one[c])) for c in ("key", "prefix", "suffix")]
+        columns += [pa.array(one["length"].astype(np.int32)), pa.array(n[often])]
+        columns.append(pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(block[stay])))
+        return pa.Table.from_arrays(columns, ["key", "prefix", "suffix", "length", "n", "blocks"])
+
+    asked = texts.select("block", "held_out", "body").mapInArrow(run, "shard bigint, block bigint, pack binary")
+    schema = "key bigint, prefix bigint, suffix bigint, length int, n bigint, blocks array<bigint>"
+    return stored(asked.groupBy("shard").applyInArrow(count, schema), "grams")
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((np.ascontiguousarray(keys).view(np.uint64) >> np.uint64(11)) % np.uint64(shards)).astype(np.int64)
+
+
+def tree(counted: DataFrame, tokens: int, distinct: int) -> DataFrame:
+    """`key, rest` of the retained contexts, with the occurrences `seen`: tested by joins with the table of their suffixes, from short to long.
+
+    A context's own share of a token is its discounted count; the rest goes to its suffix, so the chances of all tokens sum to one. Its divergence is what it saves
+    against the suffix on the tokens counted after it. That is negative for contexts that say nothing new. What passes stays, with all its suffixes.
+    """
+    rows = counted.select("key", "prefix", "suffix", "length", "n")
+    below = rows.where("length = 1").select("key", ((F.col("n") + 0.5) / (tokens + 0.5 * (distinct + 1))).alias("chance"))
+    tested = []
+    for depth in range(1, DEPTH + 1):
+        contexts = rows.where((F.col("length") == depth) & (F.col("n") >= least(LEAST_CONTEXT, tokens)))
+        contexts = contexts.select(F.col("key").alias("prefix"), F.col("n").alias("seen"), F.col("suffix").alias("shorter"))
+        entries = rows.where((F.col("length") == depth + 1) & (F.col("n") >= least(LEAST_ENTRY, tokens))).drop("length")
+        entries = entries.join(contexts, "prefix").withColumn("share", F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("seen"))
+        entries = stored(entries.join(below.select(F.col("key").alias("suffix"), F.col("chance").alias("old")), "suffix"), f"entries-{depth}")
+        rests = entries.groupBy("prefix").agg((1 - F.sum("share")).alias("rest"))
+        chances = entries.join(rests, "prefix").withColumn("chance", F.col("share") + F.col("rest") * F.col("old"))
+        own = F.col("n") / F.col("seen")
+        sums = chances.groupBy("prefix").agg(
+            F.first("rest").alias("rest"),
+            F.first("seen").alias("seen"),
+            F.first("shorter").alias("shorter"),
+            F.sum(own * F.log(F.col("chance") / F.col("old"))).alias("saved"),
+            F.greatest(1 - F.sum(own), F.lit(0.0)).alias("other"),
+        )
+        gain = F.col("saved") + F.col("other") * F.log("rest")
+        tested.append(stored(sums.select(F.col("prefix").alias("key"), "shorter", "rest", "seen", (gain >= LEAST_DIVERGENCE).alias("good")), f"contexts-{depth}"))
+        if depth < DEPTH:
+            below = stored(chances.select("key", "chance"), f"chances-{depth}")
+    kept, longer = [], None
+    for table in reversed(tested):
+        if longer is not None:
+            needed = longer.select(F.col("shorter").alias("key")).distinct().withColumn("needed", F.lit(True))
+            table = table.join(needed, "key", "left").withColumn("good", F.col("good") | F.coalesce("needed", F.lit(False)))
+        longer = table.where("good").select("key", "shorter", "rest", "seen")
+        kept.append(longer)
+    return stored(reduce(DataFrame.union, kept).select("key", "rest", "seen"), "tree")
+
+
+def replies(counted: DataFrame, kept: DataFrame, tokens: int) -> DataFrame:
+    """`block, key, share, rest`: what each block needs of the tree. The share is that of the gram's last word after the others, the rest that of the gram as a context."""
+    above = kept.select(F.col("key").alias("prefix"), F.col("seen"))
+    found = counted.join(kept.select("key", "rest"), "key", "left").join(above, "prefix", "left")
+    share = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("seen")
+    found = found.withColumn("share", F.when((F.col("length") > 1) & (F.col("n") >= least(LEAST_ENTRY, tokens)), share))
+    found = found.where("rest is not null or share is not null")
+    return found.select(F.explode("blocks").alias("block"), "key", "share", "rest")
 
 
 def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,84 +263,19 @@ def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
-@dataclass
-class Tree:
-    """Retained contexts (sorted codes), the share each leaves to its longest proper suffix, and its own shares by key (context, token)."""
-
-    contexts: np.ndarray
-    rest: np.ndarray
-    keys: np.ndarray
-    shares: np.ndarray
-
-    def step(self, code: np.ndarray, token: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Chances under contexts given those under their suffixes, and which of the contexts are retained; the chances of others stay."""
-        at, there = _place(self.contexts, code)
-        found = chance.copy()
-        at, mine, token = at[there], np.flatnonzero(there), token[there]
-        where, own = _place(self.keys, code[there] << TOKEN_BITS | token)
-        share = np.where(own & (token > 0), self.shares[where] if len(self.shares) else 0.0, 0.0)
-        found[mine] = share + self.rest[at] * chance[mine]
-        return found, there
-
-    @classmethod
-    def of(cls, keys: np.ndarray, n: np.ndarray, frequent: Frequent, tokens: int, distinct: int) -> Tree:
-        """Test the candidates from short to long; keep those that pass, with all their suffixes.
-
-        A context's own share of a token is its discounted count; the rest goes to its suffix, so the chances of all tokens sum to one. Its divergence is what it saves
-        against the suffix on the tokens counted after it. That is negative for contexts that say nothing new.
-        """
-        every = cls(*(np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.float64)))
-        code, token = keys >> TOKEN_BITS, keys & ((1 << TOKEN_BITS) - 1)
-        unit = 1 << CONTEXT_BITS
-        kept: set[int] = set()
-        for depth in range(1, DEPTH + 1):
-            mine = (code >= unit ** (depth - 1)) & (code < unit**depth)
-            contexts, at = np.unique(code[mine], return_inverse=True)
-            newest, older = contexts % unit, contexts // unit
-            if depth == 1:
-                seen = frequent.counts[newest]
-            else:
-                where, there = _place(keys, older << TOKEN_BITS | newest)
-                seen = np.where(there, n[where] if len(n) else 0, 0)
-            good = seen >= max(LEAST_CONTEXT * tokens, 1)
-            select = good[at]
-            mine = np.flatnonzero(mine)[select]
-            contexts, at = np.unique(code[mine], return_inverse=True)
-            seen = seen[good].astype(np.float64)
-            if not len(contexts):
-                break
-            chance = (frequent.counts[token[mine]] + 0.5) / (tokens + 0.5 * (distinct + 1))
-            for d in range(1, depth):
-                chance, _ = every.step(code[mine] % unit**d, token[mine], chance)
-            share = np.maximum(n[mine] - DISCOUNT, 0) / seen[at]
-            rest = 1 - np.bincount(at, share, len(contexts))
-            saved = n[mine] / seen[at] * np.log((share + rest[at] * chance) / chance)
-            other = np.maximum(1 - np.bincount(at, n[mine] / seen[at], len(contexts)), 0)
-            gain = np.bincount(at, saved, len(contexts)) + other * np.log(rest)
-            for context in contexts[gain >= LEAST_DIVERGENCE].tolist():
-                kept.update(context % unit**d for d in range(1, depth + 1))
-            order = np.argsort(all_contexts := np.concatenate((every.contexts, contexts)))
-            all_keys = np.concatenate((every.keys, keys[mine]))
-            by_key = np.argsort(all_keys)
-            every = cls(
-                all_contexts[order],
-                np.concatenate((every.rest, rest))[order],
-                all_keys[by_key],
-                np.concatenate((every.shares, share))[by_key],
-            )
-        stay = np.isin(every.contexts, list(kept))
-        own = np.isin(every.keys >> TOKEN_BITS, list(kept))
-        return cls(every.contexts[stay], every.rest[stay], every.keys[own], every.shares[own])
-
-    def chances(self, frequent: Frequent, row: np.ndarray, places: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Chance of the token at each place after its longest retained context; `base` has it without context."""
-        chance, open_ = base.copy(), np.ones(len(places), bool)
-        for mine, code in frequent.contexts_of(row, places):
-            mine, code = mine[open_[mine]], code[open_[mine]]
-            found, there = self.step(code, row[places[mine]], chance[mine])
-            chance[mine] = found
-            open_[mine[~there]] = False
-        return chance
+def chances(row: Row, places: np.ndarray, base: np.ndarray, keys: np.ndarray, share: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Chance of the token at each place after its longest retained context; `base` has it without context. Shares and rests that are not there are NaN."""
+    chance, open_, codes = base.copy(), np.arange(len(places)), [k.view(np.int64) for k in row.grams()]
+    for depth in range(1, DEPTH + 1):
+        open_ = open_[row.at[places[open_]] >= depth]
+        at, there = _place(keys, codes[depth - 1][places[open_] - 1])
+        there[there] = ~np.isnan(rest[at[there]])
+        open_, at = open_[there], at[there]
+        where, own = _place(keys, codes[depth][places[open_]])
+        own[own] = ~np.isnan(share[where[own]])
+        chance[open_] *= rest[at]
+        chance[open_[own]] += share[where[own]]
+    return chance
 
 
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -280,28 +292,23 @@ def score(docs: DataFrame) -> DataFrame:
     known = counts.where("first and c > 0").agg(F.count("*").alias("words"), F.coalesce(F.sum("c"), F.lit(0)).alias("all")).first()
     ends = texts.where("not held_out").count()
     tokens, distinct = known["all"] + ends, known["words"] + int(ends > 0)
-    often = counts.where("first").where(F.col("c") >= max(LEAST_ENTRY * tokens, 1)).select("word", "c").toArrow()
-    frequent = Frequent.of(often.column("word").to_numpy(), often.column("c").to_numpy(), ends, tokens)
-    tree = Tree.of(*entries(texts, frequent, tokens), frequent, tokens, distinct)
-    model = docs.sparkSession.sparkContext.broadcast(
-        (
-            (tree.contexts, tree.rest, tree.keys, tree.shares),
-            (frequent.hashes, frequent.numbers, frequent.counts, frequent.contexts),
-        )
-    )
+    counted = grams(texts, tokens)
+    model = replies(counted, tree(counted, tokens, distinct), tokens)
 
-    def run(rows, counts):
-        tree, frequent = Tree(*model.value[0]), Frequent(*model.value[1])
+    def run(rows, given):
         bodies = rows.column("body").to_pylist()
         hashes, place, offsets = _words(bodies)
-        word, c = counts.column("word").to_numpy(), counts.column("c").to_numpy()
+        of_tree = given.column("c").is_null().to_numpy()
+        key, c = given.column("key").to_numpy(), given.column("c").fill_null(0).to_numpy()
+        word, c = key[~of_tree], c[~of_tree]
         if len(hashes):
             order = np.argsort(word)
             at = order[np.minimum(np.searchsorted(word, hashes, sorter=order), len(word) - 1)]
             if (word[at] != hashes).any():
                 raise ValueError("a word of a block has no count")
             c = c[at]
-        row, places = frequent.tokens(frequent.number(hashes)[place], offsets)
+        row = Row.of(hashes[place], offsets)
+        places = np.flatnonzero(row.at > 0)
         lengths = np.diff(offsets) + 1
         starts = np.cumsum(lengths) - lengths
         seen = np.full(len(places), ends, np.int64)
@@ -309,7 +316,9 @@ def score(docs: DataFrame) -> DataFrame:
         word_here[starts + lengths - 1] = False
         seen[word_here] = c[place] if len(place) else 0
         base = (seen + 0.5) / (tokens + 0.5 * (distinct + 1))
-        chance = tree.chances(frequent, row, places, base)
+        key, first = np.unique(key[of_tree], return_index=True)
+        share, rest = (given.column(n).to_numpy()[of_tree][first].astype(np.float64) for n in ("share", "rest"))
+        chance = chances(row, places, base, key, share, rest)
         columns = [
             rows.column("doc_id"),
             rows.column("held_out"),
@@ -320,5 +329,8 @@ def score(docs: DataFrame) -> DataFrame:
         ]
         return pa.Table.from_arrays(columns, [c.split()[0] for c in _SCORED.split(", ")])
 
-    together = texts.groupBy("block").cogroup(counts.select("block", "word", "c").groupBy("block"))
+    nothing = F.lit(None).cast("double")
+    given = counts.select("block", F.col("word").alias("key"), "c", nothing.alias("share"), nothing.alias("rest"))
+    given = given.union(model.select("block", "key", F.lit(None).cast("bigint").alias("c"), "share", "rest"))
+    together = texts.groupBy("block").cogroup(given.groupBy("block"))
     return together.applyInArrow(run, _SCORED).withColumn("train_tokens", F.lit(tokens).cast("bigint"))

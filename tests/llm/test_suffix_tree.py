@@ -146,3 +146,13 @@ def test_nothing_to_learn_from(spark):
     (row,) = suffix_tree.score(spark.createDataFrame([(held, "a b")], schema)).collect()
     assert (row.train_tokens, row.n_tokens, row.n_known) == (0, 3, 0)
     assert row.score == row.base_score == pytest.approx(0.0)
+
+
+def test_counts_needed_do_not_rise_with_the_corpus(spark):
+    """A phrase seen five times in 400 000 other tokens is a context: by shares of all tokens it would need twenty occurrences."""
+    learned = [i for i in range(100) if not is_held_out(i)]
+    rows = [(i, "alpha beta gamma") for i in learned[:5]] + [(learned[5], "x " * 400_000)]
+    held = next(i for i in range(100) if is_held_out(i))
+    docs = spark.createDataFrame([*rows, (held, "alpha beta gamma")], "doc_id bigint, text string")
+    (found,) = [r for r in suffix_tree.score(docs).collect() if r.held_out]
+    assert found.score > found.base_score + 5
