@@ -138,12 +138,14 @@ def fit(text: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndar
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """`text, toxic` of at most `rows` labelled documents, stored. Labels that are null, or name no document, do not count; of several, the worse does.
 
-    The sample's ids, 16 bytes each, are bounded by `rows`, so they are broadcast and no text is exchanged.
+    The sample's ids, 16 bytes each, are bounded by `rows`, so they are broadcast. Of repeated doc_ids the row with the least hash of its text
+    counts, then the least text; copies are reduced before the exchange, so at most `rows` texts a task are exchanged.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    return stored(found, "labelled")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"), F.max("toxic").alias("toxic"))
+    return stored(one.select("least.text", F.col("toxic").cast("int").alias("toxic")), "labelled")
 
 
 def chosen_features(sample: DataFrame) -> list[tuple[str, int, int]]:

@@ -107,3 +107,13 @@ def test_held_out_labels(spark):
     # some labels of these documents are noise: about one toxic text in 16 has no word that any other has
     assert sum(found) >= 0.88 * len(found)
     assert sum(wrong) <= 0.005 * len(wrong)
+
+
+def test_a_repeated_document_is_one_row_of_the_sample(spark):
+    rows = [(1, "same text")] * 50 + [(1, "other text"), (2, "b"), (3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id bigint, toxic int")
+    found = toxicity.labelled_sample(docs, labels, rows=3).collect()
+    assert sorted((r.toxic, r.text or "") for r in found)[:2] == [(0, ""), (0, "b")]
+    assert len(found) == 3
+    assert [r.text for r in toxicity.labelled_sample(docs.repartition(5), labels, rows=3).where("toxic = 1").collect()] == [r.text for r in found if r.toxic]
