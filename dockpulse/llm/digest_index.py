@@ -16,14 +16,14 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A table (digest, keep_id, code_points, uid) with one row per text seen so far, bucketed and sorted by digest.
+    """A table (digest, keep_id, code_points, uid, batch_id) with one row per text seen so far, bucketed and sorted by digest.
 
     A batch is grouped by digest, joined against the index by a sort-merge anti-join that leaves the index where it
     lies, and its new digests are appended with the index's own bucketing. Appending the same batch again
     adds nothing, so a job that died after its append can be run again. One writer at a time.
     """
 
-    SCHEMA = "digest binary, keep_id bigint, code_points bigint, uid bigint"
+    SCHEMA = "digest binary, keep_id bigint, code_points bigint, uid bigint, batch_id string"
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         """Open the index in a folder, or make it. `buckets` must be the same each time; about 128 MB each is a good size."""
@@ -38,7 +38,7 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append(self, batch: DataFrame) -> None:
+    def append(self, batch: DataFrame, batch_id: str = "") -> None:
         """Add the texts of a batch `uid, doc_id, digest, code_points` that the index does not have.
 
         Of equal texts in the batch the one with most code points stays, then the smallest doc_id (null last), then
@@ -51,6 +51,7 @@ class DigestIndex:
             F.col("best.doc_id").alias("keep_id"),
             (-F.col("best.col1")).alias("code_points"),
             F.col("best.uid").alias("uid"),
+            F.lit(batch_id).alias("batch_id"),
         )
         new = new.repartition(self.buckets, "digest")  # one file per bucket and batch
         new.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(
@@ -58,26 +59,28 @@ class DigestIndex:
         )
         self.spark.catalog.refreshTable(self.table)
 
-    def judge(self, batch: DataFrame) -> DataFrame:
+    def judge(self, batch: DataFrame, batch_id: str = "") -> DataFrame:
         """The batch with `keep_id`, `group_size` (rows of the batch with this text) and `kept`, by a merge join with the index.
 
-        A row is kept if the index took it from this batch; repeated rows with one doc_id differ in uid, so one of them is kept.
+        A row is kept if the index took it from this batch, which a uid alone does not tell: every batch numbers its rows anew. A replay passes
+        the batch_id of the first run. Repeated rows with one doc_id differ in uid, so one of them is kept.
         """
         sizes = batch.groupBy("digest").agg(F.count("*").alias("group_size"))
-        index = self.rows().select("digest", "keep_id", F.col("uid").alias("keep_uid")).hint("merge")
+        own = F.when(F.col("batch_id") == batch_id, F.col("uid"))
+        index = self.rows().select("digest", "keep_id", own.alias("keep_uid")).hint("merge")
         # written, so that the join with the batch has an exchange on both sides and Spark can split a hot digest
         groups = stored(sizes.join(index, "digest"), "digest-groups")
         found = batch.join(groups, "digest")
-        return found.withColumn("kept", F.col("uid") == F.col("keep_uid")).drop("keep_uid")
+        return found.withColumn("kept", F.col("uid").eqNullSafe(F.col("keep_uid"))).drop("keep_uid")
 
 
-def exact_duplicates(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """`uid, doc_id, keep_id, group_size, kept, text_sha256` of every document, from a new index at `path`.
+def exact_duplicates(docs: DataFrame, path: str | None = None, batch_id: str | None = None) -> DataFrame:
+    """`uid, doc_id, keep_id, group_size, kept, text_sha256` of every document, from the index at `path`, or a new one. Without `batch_id` it is a new batch.
 
     Null and empty texts, and texts of white space only, are equal to each other. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    return _judged(_narrow(_stored_with_digest(docs.select("doc_id", "text"))), spark, path)
+    return _judged(_narrow(_stored_with_digest(docs.select("doc_id", "text"))), spark, path, batch_id)
 
 
 def _stored_with_digest(docs: DataFrame) -> DataFrame:
@@ -94,15 +97,16 @@ def _narrow(rows: DataFrame) -> DataFrame:
     return stored(rows, "digests")
 
 
-def _judged(batch: DataFrame, spark: SparkSession, path: str | None) -> DataFrame:
+def _judged(batch: DataFrame, spark: SparkSession, path: str | None, batch_id: str | None) -> DataFrame:
+    batch_id = batch_id or uuid.uuid4().hex
     index = DigestIndex(spark, path or folder(spark, "digest-index"))
-    index.append(batch)
-    return index.judge(batch).select(
+    index.append(batch, batch_id)
+    return index.judge(batch, batch_id).select(
         "uid", "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, path: str | None = None) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, path: str | None = None, batch_id: str | None = None) -> DataFrame:
     """The documents that stay, with their own columns only."""
     rows = numbered(
         docs,
@@ -111,5 +115,5 @@ def drop_exact_duplicates(docs: DataFrame, path: str | None = None) -> DataFrame
         digest=digest(F.col("text")),
         code_points=F.char_length(text_or_empty()).cast("bigint"),
     )
-    judged = _judged(rows.select("uid", "doc_id", "digest", "code_points"), docs.sparkSession, path)
+    judged = _judged(rows.select("uid", "doc_id", "digest", "code_points"), docs.sparkSession, path, batch_id)
     return rows_of(rows, judged.where("kept"))

@@ -85,3 +85,14 @@ def test_anti_join_leaves_the_index_where_it_lies(spark, tmp_path):
     assert "SortMergeJoin" in plan
     final = joined._jdf.queryExecution().executedPlan().toString()
     assert final.count("Exchange hashpartitioning(digest") == 1
+
+
+def test_a_later_batch_keeps_only_new_texts(spark, tmp_path):
+    path = str(tmp_path / "index")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    kept = lambda rows, batch_id: sorted(r.doc_id for r in digest_index.exact_duplicates(frame(rows), path, batch_id).collect() if r.kept)
+    first = [(1, "one"), (2, "two"), (3, "two")]
+    assert kept(first, "a") == [1, 2]
+    assert kept(first, "a") == [1, 2]
+    assert kept(first, None) == []
+    assert kept([(11, "one"), (12, "new")], "b") == [12]
