@@ -194,6 +194,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     def run(batches):
         for batch in batches:
             text, feature, count, words = counted(batch.column("text").to_pylist(), number)
+            order = np.argsort(text, kind="stable")
+            feature, count = feature[order], count[order]
             sizes = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(words)))))
             lists = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(v, pa.int64())) for v in (feature, count)]
             names = ["toxic", "words", "feature", "count"]
