@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockpulse.llm import digest_index, licenses, mixing, packing, quality, simhash, suffix_tree, toxicity, urls, warc
+from dockpulse.llm import digest_index, licenses, mixing, packing, quality, resample, simhash, suffix_tree, toxicity, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,6 +94,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weight towards the benchmark, and its rank if it is drawn."""
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_suffix_tree": op2_suffix_tree,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
     "op10_license_scan": op10_license_scan,
+    "op11_resampling": op11_resampling,
 }
 SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
