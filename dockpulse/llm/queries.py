@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockpulse.llm import digest_index, licenses, mixing, packing, quality, resample, simhash, suffix_tree, toxicity, urls, warc, whitening
+from dockpulse.llm import digest_index, licenses, mixing, packing, pii, quality, resample, simhash, suffix_tree, toxicity, urls, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,6 +99,11 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the places of personal data in it."""
+    return pii.scan(_table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finite embedding on the sixteen leading components, each scaled to variance one."""
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
@@ -116,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op9_simhash": op9_simhash,
     "op10_license_scan": op10_license_scan,
     "op11_resampling": op11_resampling,
+    "op12_pii": op12_pii,
     "op13_whitening": op13_whitening,
 }
 SQL: dict[str, str] = {
