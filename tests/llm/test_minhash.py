@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
+
 from dockpulse.llm import minhash, simhash
 
 
@@ -44,8 +47,22 @@ def corpus():
     return dict(enumerate(texts))
 
 
-def test_groups_are_those_of_all_pairs(spark):
-    texts = corpus()
+def blob(n=60):
+    """Copies of one text, each with changes of its own: about 0.7 to 0.85 similar, so some pairs are linked and some are not, and no single copy has all links."""
+    rng, words = random.Random(9), [f"b{i}" for i in range(120)]
+    texts = {}
+    for i in range(n):
+        copy = list(words)
+        for _ in range(rng.choice([1, 2, 3])):
+            copy[rng.randrange(len(copy))] = f"c{rng.randrange(10**6)}"
+        texts[1000 + i] = " ".join(copy)
+    return texts
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_groups_are_those_of_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    texts = corpus() | blob()
     groups = plain_groups(texts)
     assert 20 < len(texts) - len(set(groups.values())) < len(texts) - 20
     docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id bigint, text string, node string")
@@ -68,6 +85,32 @@ def test_near_copies_that_fingerprints_miss(spark):
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [0]
 
 
+def test_common_shingles_are_counted_exactly(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 60)).astype(np.uint64)) for _ in range(40)]
+    counts = minhash.common(sets)
+    assert counts.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+
+
+def test_links_of_a_block_span_it():
+    rng = np.random.default_rng(2)
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: 100 - k], rng.integers(1000, 10**6, k).astype(np.uint64)])) for k in rng.integers(2, 14, 50)]
+    nodes, root = np.arange(50), np.arange(50) // 2
+    found = minhash.spanning(nodes, root, sets, 80)
+    assert len(found) < 25
+    plain = [(i, j) for i in range(50) for j in range(i) if similar(set(sets[i].tolist()), set(sets[j].tolist()))]
+
+    def groups(pairs):
+        of = list(root)
+        for a, b in pairs:
+            of = [of[a] if x == of[b] else x for x in of]
+        return {frozenset(i for i in range(50) if of[i] == g) for g in of}
+
+    assert groups(found) == groups(plain)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert minhash.drop_near_duplicates(docs).collect() == []
