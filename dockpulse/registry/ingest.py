@@ -110,13 +110,11 @@ def export_information(t):
 
 _IMPORTED = f"""select si.station_id info_station_id, si.reported info_reported, {", ".join(f"ss.{c}" for c in schemas.STATUS_FEED_COLUMNS)}
   from ss join si on si.station_id = ss.station_id and si.active"""
-EVER = date(2023, 1, 1), date(2025, 1, 1)
 
 
-@query("src5_import_dump", _IMPORTED)
-def import_dump(t):
+def _imported(t: Tables, **form) -> DataFrame:
     """The whole history exported, both files; the status file inserted into an empty table with the active versions of the other."""
-    info, status_ = tables.export_dump(t.status(), t.information(), _folder(t, "import"), *EVER)
+    info, status_ = tables.export_dump(t.status(), t.information(), _folder(t, "import"), **form)
     versions = tables.read_information_dump(t.spark, info)
     active = t.information().where("active").select("id")
     # a version that no status refers to is not exported, so the active one of such a station comes from the table
@@ -125,6 +123,24 @@ def import_dump(t):
     return status.new_rows(tables.read_status_dump(t.spark, status_), known, empty).select(*schemas.STATION_STATUS.names)
 
 
+@query("src5_import_dump", _IMPORTED)
+def import_dump(t):
+    return _imported(t)
+
+
+@query("src5_import_zstd", _IMPORTED)
+def import_zstd(t):
+    """The same through Zstandard files of one JSON array each."""
+    return _imported(t, zstd=True, array=True)
+
+
+@query("snk1_export_zstd", f"select {_FEED} from ss where {_EXPORTED}")
+def export_zstd(t):
+    """Export of a range as Zstandard files of a record per line, read back."""
+    paths = tables.export_dump(t.status(), t.information(), _folder(t, "export"), FIRST_DAY, LAST_DAY, zstd=True)
+    return tables.read_status_dump(t.spark, paths[1])
+
+
 @query("src5_round_trip_status", f"select {_FEED} from ss")
 def round_trip_status(t):
     """Documents to rows to feed records to rows, every column of the whole table."""

@@ -12,7 +12,7 @@ from dockpulse import schemas
 from dockpulse.operators.stations import status_with_version
 from dockpulse.params import StatusQuery, midnight, noon
 from dockpulse.schemas import DATE_COLUMN
-from dockpulse.sources import gbfs
+from dockpulse.sources import gbfs, zstd_json
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -96,7 +96,7 @@ def write_delimited(rows: DataFrame, path: str) -> None:
 
 
 # JSON dumps: information records, and status records in the form of the feed. Each line is one record, so that a dump of any size is read
-# and written in parallel; a dump that is one JSON array in one file is read too.
+# and written in parallel; a dump that is one JSON array in one file is read too. A path that ends in .zst holds Zstandard files of either form.
 
 _RENAMED = {"id": "info_id", "bluetooth_id": "_bluetooth_id", "ride_code_support": "_ride_code_support"}
 _STAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -108,8 +108,13 @@ INFORMATION_RECORD = T.StructType(
 )
 
 
+ZSTD = ".zst"
+
+
 def read_dump(spark: SparkSession, path: str, schema: T.StructType, array: bool = False) -> DataFrame:
-    """Records of a dump; one that is no JSON or has a value of another type fails the job."""
+    """Records of a dump; one that is no JSON or has a value of another type fails the job. Zstandard files tell by themselves whether they hold an array."""
+    if path.endswith(ZSTD):
+        return zstd_json.parsed(zstd_json.read_records(spark, path), schema)
     reader = spark.read.schema(schema).option("mode", "FAILFAST")
     if array:
         reader = reader.option("multiLine", "true")
@@ -148,10 +153,11 @@ def information_records(information: DataFrame) -> DataFrame:
 
 
 def export_rows(
-    status: DataFrame, information: DataFrame, first: date, last: date, station_id: int | None = None
+    status: DataFrame, information: DataFrame, first: date | None = None, last: date | None = None, station_id: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(information, status) of a range from midnight of the first to noon of the last day, without copies."""
-    rows = StatusQuery(station_id, midnight(first), noon(last)).on_status(status)
+    """(information, status) of a range from midnight of the first to noon of the last day, without copies; from the first row, or to the last, without such a day."""
+    earliest, latest = None if first is None else midnight(first), None if last is None else noon(last)
+    rows = StatusQuery(station_id, earliest, latest).on_status(status)
     versions = information.dropDuplicates(["station_id", "reported"])
     joined = status_with_version(rows, versions)
     info = joined.select(*[F.col(f"version_{c}").alias(c) for c in information.columns])
@@ -159,18 +165,30 @@ def export_rows(
     return info.dropDuplicates(keys), joined.select(*status.columns).dropDuplicates()
 
 
-def export_name(kind: str, first: date, last: date, station_id: int | None = None) -> str:
-    return f"station_{kind}_{'all' if station_id is None else station_id}_{first}_{last}.json"
+def export_name(kind: str, first: date | None, last: date | None, station_id: int | None = None) -> str:
+    days = "_".join(str(d) for d in (first, last) if d is not None) or "ever"
+    return f"station_{kind}_{'all' if station_id is None else station_id}_{days}.json"
 
 
 def export_dump(
-    status: DataFrame, information: DataFrame, folder: str, first: date, last: date, station_id: int | None = None
+    status: DataFrame,
+    information: DataFrame,
+    folder: str,
+    first: date | None = None,
+    last: date | None = None,
+    station_id: int | None = None,
+    zstd: bool = False,
+    array: bool = False,
 ) -> tuple[str, str]:
-    """Write both dumps of a range in their record forms; returns the paths."""
+    """Write both dumps of a range, open where a day is not given, in their record forms; returns the paths. With `zstd` as Zstandard files, of one JSON array each with `array`."""
     info, rows = export_rows(status, information, first, last, station_id)
-    paths = tuple(f"{folder}/{export_name(kind, first, last, station_id)}" for kind in ("information", "status"))
+    end = ZSTD if zstd else ""
+    paths = tuple(f"{folder}/{export_name(kind, first, last, station_id)}{end}" for kind in ("information", "status"))
     for records, path in zip((information_records(info), gbfs.status_items(rows)), paths, strict=True):
-        records.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+        if zstd:
+            zstd_json.write_records(records, path, array)
+        else:
+            records.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
     return paths
 
 
