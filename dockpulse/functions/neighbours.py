@@ -191,19 +191,19 @@ def as_of(
 ) -> DataFrame:
     """Rows with `name`: the greatest version time of their key that is not after their own time, or null.
 
-    Versions and rows are merged in time order inside each (key, segment). A version is repeated at the start of each later segment up to that of the next
-    version, so a segment knows what earlier ones leave behind: as many rows as keys have segments, made from the versions alone. The rows are read and
-    exchanged once; besides that only their greatest time is looked up. No row meets more than one version, however many a key has.
+    Versions and rows are merged in time order inside each (key, segment). What a segment starts from, the newest version before it, comes from a small merge of
+    the versions with the (key, segment) pairs that have rows: as many rows as there are such pairs and versions, however far apart in time they are. No row meets
+    more than one version, however many a key has.
     """
-    last = segment_of(rows.agg(F.max(row_time).alias("t")).select("t").scalar())
+    days = rows.select(key, segment_of(row_time).alias("_segment")).where("_segment is not null").distinct()
     known = versions.select(F.col(version_key).alias(key), F.col(version_time).alias("_version")).distinct()
-    following = F.lead("_version").over(Window.partitionBy(key).orderBy("_version"))
-    spans = known.select("*", segment_of("_version").alias("_from"), F.coalesce(segment_of(following), last).alias("_to"))
-    later = F.when(F.col("_to") > F.col("_from"), F.sequence(F.col("_from") + 1, F.col("_to")))
-    repeated = spans.select(key, "_version", F.explode(later).alias("_segment"))
     start = F.date_from_unix_date("_segment").cast("timestamp_ntz")
-    marks = known.select(key, "_version", segment_of("_version").alias("_segment"), F.col("_version").alias(row_time))
-    marks = marks.unionByName(repeated.withColumn(row_time, start)).withColumn("_is_row", F.lit(False))
+    both = days.withColumn("_at", start).unionByName(known.withColumn("_at", F.col("_version")), allowMissingColumns=True)
+    before = Window.partitionBy(key).orderBy("_at", F.col("_segment").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = both.withColumn("_version", F.max("_version").over(before)).where("_segment is not null and _version is not null")
+    own = known.withColumn("_segment", segment_of("_version"))
+    marks = carried.select(key, "_version", "_segment", F.col("_at").alias(row_time))
+    marks = marks.unionByName(own.withColumn(row_time, F.col("_version"))).withColumn("_is_row", F.lit(False))
     tagged = rows.select("*", F.lit(True).alias("_is_row"), segment_of(row_time).alias("_segment"))
     tagged = tagged.unionByName(marks, allowMissingColumns=True)
     # versions sort before rows of the same second

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockpulse import schemas
+from dockpulse.functions.ranking import ranked
 
 
 def _differs(columns: Sequence[str]) -> Column:
@@ -69,10 +70,11 @@ def versions(information: DataFrame, snapshots: DataFrame, ignore: Sequence[str]
 
 def inserted(information: DataFrame, snapshot: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
     """Versions to add, of each station the last one active. Ids go on from the greatest of the table, by report time and station: unique
-    over all stations, because status rows and lookups name a version by its id. Only the added rows are numbered in one task."""
+    over all stations, because status rows and lookups name a version by its id. The added rows are numbered by ranges of that order and written with their numbers,
+    so a first load of any size is no single task and two readers see the same ids."""
     top = F.coalesce(information.agg(F.max("id")).scalar(), F.lit(0))
-    number = F.row_number().over(Window.orderBy("new.reported", "_station"))
-    rows = versions(information, snapshot, ignore).withColumn("_id", (top + number).cast("int"))
+    rows = ranked(versions(information, snapshot, ignore), F.col("new.reported").asc(), F.col("_station").asc(), name="_number")
+    rows = rows.withColumn("_id", (top + F.col("_number")).cast("int"))
     values = {"id": F.col("_id"), "active": F.col("_last")}
     return rows.select(
         *[

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockpulse import schemas
-from dockpulse.functions.neighbours import STATION, TIME_ORDER, as_of, with_neighbours
+from dockpulse.functions.neighbours import STATION, TIME_ORDER, as_of, segment_of, with_neighbours
 from dockpulse.operators.stations import attach_active_version, station_lookup
 from dockpulse.params import StatusQuery, at
 from dockpulse.sources.tables import merge_by_key, one_per_key
@@ -98,18 +98,52 @@ def append_changes(existing: DataFrame, changes: DataFrame) -> DataFrame:
     return merge_by_key(existing, changes, KEY)
 
 
-def corrected_changes(late: DataFrame, status: DataFrame, columns: Sequence[str] = TRIGGER_COLUMNS) -> DataFrame:
+def day_edges(status: DataFrame) -> DataFrame:
+    """`info_station_id, _segment, first, last`: the first and the last row of each station and day, as structs. Those of several batches may be united and reduced again."""
+    row, order = F.struct(*schemas.STATION_STATUS.names), F.struct(*TIME_ORDER)
+    days = status.groupBy(STATION, segment_of("last_reported").alias("_segment"))
+    return days.agg(F.min_by(row, order).alias("first"), F.max_by(row, order).alias("last"))
+
+
+def _around(late: DataFrame, status: DataFrame, days: DataFrame) -> DataFrame:
+    """The rows of the stations and days of late rows, and of each such day the last row before it and the first after it.
+
+    The neighbouring days that have rows are found among `days`, a row per station and day; of the status table only the partitions of the late days are read.
+    """
+    touched = late.select(STATION, segment_of("last_reported").alias("_segment")).distinct()
+    order = F.struct(*[F.col(f"row.{c}") for c in TIME_ORDER])
+    edges = days.join(late.select(STATION).distinct(), STATION, "left_semi")
+    edges = edges.select(STATION, "_segment", F.explode(F.array("first", "last")).alias("row")).groupBy(STATION, "_segment")
+    edges = edges.agg(F.min_by("row", order).alias("first"), F.max_by("row", order).alias("last"))
+    along = Window.partitionBy(STATION).orderBy("_segment")
+    beside = edges.select(STATION, "_segment", F.lag("last").over(along).alias("before"), F.lead("first").over(along).alias("after"))
+    beside = beside.join(touched, [STATION, "_segment"], "left_semi")
+    beside = beside.select(F.explode(F.array_compact(F.array("before", "after"))).alias("row")).select("row.*")
+    dates = [r[0] for r in late.select(F.to_date("last_reported")).distinct().collect()]
+    inside = status.where(F.col(schemas.DATE_COLUMN).isin(dates)) if schemas.DATE_COLUMN in status.columns else status
+    inside = inside.withColumn("_segment", segment_of("last_reported")).join(touched, [STATION, "_segment"], "left_semi")
+    names = schemas.STATION_STATUS.names
+    return inside.select(*names).unionByName(beside.select(*names)).dropDuplicates(KEY)
+
+
+def corrected_changes(
+    late: DataFrame, status: DataFrame, columns: Sequence[str] = TRIGGER_COLUMNS, days: DataFrame | None = None
+) -> DataFrame:
     """What rows that came late alter: they and the rows after them, each with `_changed`, whether it differs from the row before it now.
 
-    `status` holds all rows, the late ones included; only those of the stations of late rows are read further.
+    `status` holds all rows, the late ones included. With `days`, the `day_edges` of all these rows, only the days of late rows are read and the edges of the days
+    beside them; without, all rows of the stations of late rows.
     """
-    stations = late.select(STATION).distinct()
+    names = schemas.STATION_STATUS.names
     marks = late.select(*KEY, F.lit(True).alias("_late"))
-    rows = status.join(stations, STATION, "left_semi").join(marks, KEY, "left")
-    rows = rows.withColumn("_late", F.coalesce("_late", F.lit(False)))
-    rows = with_neighbours(rows.select(*status.columns, "_late"), [*columns, "_late"])
+    if days is None:
+        rows = status.select(*names).join(late.select(STATION).distinct(), STATION, "left_semi")
+    else:
+        rows = _around(late, status, days)
+    rows = rows.join(marks, KEY, "left").withColumn("_late", F.coalesce("_late", F.lit(False)))
+    rows = with_neighbours(rows.select(*names, "_late"), [*columns, "_late"])
     touched = rows.where(F.col("_late") | F.coalesce(F.col("_prev")["_late"], F.lit(False)))
-    return touched.select(*status.columns, (_changed(columns) | F.col("_prev").isNull()).alias("_changed"))
+    return touched.select(*names, (_changed(columns) | F.col("_prev").isNull()).alias("_changed"))
 
 
 # Repair of broken version references

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockpulse import schemas
+from dockpulse.functions.ranking import ranked
 from dockpulse.params import StatusQuery, at, for_station, in_time_range, recent_days
 
 # None of the joins carries a broadcast hint. Catalyst broadcasts the station table when its size, known from the
@@ -106,9 +107,18 @@ LIST_ORDERINGS = {
 }
 
 
-def order_stations(stations: DataFrame, option: str, descending: bool = False) -> DataFrame:
+def _list_order(option: str, descending: bool) -> list[Column]:
     column = F.col(LIST_ORDERINGS[option])
-    return stations.orderBy(column.desc() if descending else column.asc(), "station_id")
+    return [column.desc() if descending else column.asc(), F.col("station_id").asc()]
+
+
+def order_stations(stations: DataFrame, option: str, descending: bool = False) -> DataFrame:
+    return stations.orderBy(*_list_order(option, descending))
+
+
+def place_stations(stations: DataFrame, option: str, descending: bool = False, name: str = "place") -> DataFrame:
+    """The stations with their place in an ordering, from 1 on, for tables that are read page by page. Sorted and numbered by ranges, not in one task."""
+    return ranked(stations, *_list_order(option, descending), name=name)
 
 
 # Status rows

@@ -78,7 +78,7 @@ def poll(documents: DataFrame, batch_id: int, folder: str, now: datetime | None
             store.write_version(table, f"{folder}/{name}", batch_id)
             store.drop_old_versions(spark, f"{folder}/{name}", batch_id)
 
-        stream.capture(inserted, batch_id, folder, status_table(spark, folder))
+        stream.capture(inserted, batch_id, folder, spark.read.schema(schemas.STORED_STATUS).parquet(f"{folder}/status"))
         store.drop_old_versions(spark, f"{folder}/inserted", batch_id)
     finally:
         documents.unpersist()

@@ -106,12 +106,23 @@ CORRECTION = T.StructType(
 )
 
 
+DAYS = T.StructType(
+    [
+        T.StructField(STATION, T.IntegerType()),
+        T.StructField("_segment", T.IntegerType()),
+        T.StructField("first", schemas.STATION_STATUS),
+        T.StructField("last", schemas.STATION_STATUS),
+    ]
+)
+
+
 def capture(frame: DataFrame, batch_id: int, path: str, status: DataFrame | None = None) -> None:
     """Change rows of one batch under `path/changes`, by day; the latest row per station under `path/latest`.
 
     A row that is not newer than the station's latest known row falls between rows already compared. With `status`, all stored rows
     including this batch, it and the row after it are compared anew, and the results go to `path/corrections`; without, such
-    rows are kept under `path/late`.
+    rows are kept under `path/late`. The first and last row of every station and day are kept under `path/days`, so that a late row costs the rows
+    of its day, and not the history of its station; `status` has no rows that did not pass here.
     """
     spark, columns = frame.sparkSession, schemas.STATION_STATUS.names
     frame = one_per_key(frame.select(*columns), KEY).persist()
@@ -128,8 +139,11 @@ def capture(frame: DataFrame, batch_id: int, path: str, status: DataFrame | None
         _append(spark, changes, f"{path}/changes", KEY, schemas.STORED_STATUS)
         if status is None:
             _append(spark, late, f"{path}/late", KEY, schemas.STORED_STATUS)
-        elif not late.isEmpty():
-            found = batch.corrected_changes(late, status.select(*columns)).withColumn("_batch", F.lit(batch_id).cast("long"))
+        else:
+            store.write_version(batch.day_edges(frame), f"{path}/days", batch_id)
+        if status is not None and not late.isEmpty():
+            days = store.read_all(spark, f"{path}/days", DAYS)
+            found = batch.corrected_changes(late, status, days=days).withColumn("_batch", F.lit(batch_id).cast("long"))
             store.write_version(found, f"{path}/corrections", batch_id)
         newest = tagged.groupBy(STATION).agg(*[F.max_by(c, latest_key()).alias(c) for c in columns if c != STATION])
         store.write_version(newest.select(*columns), f"{path}/latest", batch_id)

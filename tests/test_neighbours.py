@@ -100,6 +100,17 @@ def test_as_of(skewed):
     same(ours.select(*columns), skewed.withColumn("version", so_far).select(*columns))
 
 
+def test_as_of_costs_rows_and_not_days(spark):
+    """A row of the year 9999 and a version long before the others: nothing is repeated for the days between."""
+    rows = [(1, datetime(2024, 1, 5, 12)), (1, datetime(9999, 1, 1)), (1, datetime(1900, 1, 1)), (2, datetime(2024, 1, 1)), (1, None)]
+    versions = [(1, datetime(1950, 1, 1)), (1, datetime(2024, 1, 5, 12)), (1, datetime(2024, 1, 5, 13)), (2, datetime(2024, 1, 1, 0, 0, 1))]
+    frame = spark.createDataFrame(rows, f"{STATION} int, last_reported timestamp_ntz")
+    found = as_of(frame, spark.createDataFrame(versions, "station_id int, reported timestamp_ntz"), STATION, "last_reported", "station_id", "reported", "v")
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    expected = {(1, rows[0][1]): versions[1][1], (1, rows[1][1]): versions[2][1], (1, rows[2][1]): None, (2, rows[3][1]): None, (1, None): None}
+    assert {(r[0], r[1]): r.v for r in found.collect()} == expected
+
+
 def test_no_window_over_whole_stations(skewed):
     """The rows are exchanged by (station, segment); the exchange by station alone carries edges of segments."""
     frame = sums_over_neighbours(skewed, {"n": f"prev_{VALUE}"}, [VALUE])
