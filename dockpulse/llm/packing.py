@@ -30,6 +30,9 @@ MEMORY = 600_000
 
 PIECES = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _TWO_SPACES = re.compile(r"\s\s")
+# Strings of the vocabulary's JSON file that are one id wherever they stand in a text; fixed values.
+ADDED = {"<|endoftext|>": 50256}
+_ADDED = re.compile("(" + "|".join(map(re.escape, ADDED)) + ")")
 
 
 class Encoder:
@@ -72,11 +75,22 @@ class Encoder:
         self.starts.frombytes((cuts.astype(np.int64) + 1 + base).tobytes())
         self.known.update(zip(words, range(first, first + len(words))))
 
+    def _odd(self, text: str) -> bool:
+        """Whether a text is more than words with a single space before each."""
+        return text[-1:].isspace() or bool(_TWO_SPACES.search(text)) or any(a in text for a in ADDED)
+
+    def _whole(self, text: str) -> list[int]:
+        """Ids of a text that is cut at the added tokens first: nothing is joined across them."""
+        ids: list[int] = []
+        for part in _ADDED.split(text):
+            ids.extend([ADDED[part]] if part in ADDED else self.plain.encode_ordinary(part))
+        return ids
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
-        whole = [i for i, t in enumerate(texts) if t[-1:].isspace() or _TWO_SPACES.search(t)]
-        apart = [self.plain.encode_ordinary(texts[i]) for i in whole]
-        simple = pa.array(["" if t[-1:].isspace() or _TWO_SPACES.search(t) else t for t in texts], pa.large_string())
+        whole = [i for i, t in enumerate(texts) if self._odd(t)]
+        apart = [self._whole(texts[i]) for i in whole]
+        simple = pa.array(["" if self._odd(t) else t for t in texts], pa.large_string())
         lists = pc.split_pattern(simple, " ")
         offsets, words = lists.offsets.to_numpy(), lists.values
         coded = words.dictionary_encode()

@@ -14,7 +14,6 @@ from dockpulse.llm import packing
 @pytest.fixture(scope="module")
 def library():
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     return lambda text: own.encode(text or "", add_special_tokens=False).ids
 
 
@@ -37,6 +36,12 @@ TEXTS = [
     "a b  c",
     "a\x1c b",
     "a <|endoftext|> b",
+    "<|endoftext|>",
+    "<|endoftext|><|endoftext|> a",
+    "a<|endoftext|>",
+    "a  <|endoftext|>\n<|endoftext|",
+    "<|<|endoftext|>endoftext|> <|endoftext |> x",
+    "word " * 3000 + "<|endoftext|>" + " word" * 3000,
     "x" * 9000,
     "word " * 9000,
     "new\n" * 3000,
