@@ -107,18 +107,41 @@ LIST_ORDERINGS = {
 }
 
 
-def _list_order(option: str, descending: bool) -> list[Column]:
+def order_stations(stations: DataFrame, option: str, descending: bool = False) -> DataFrame:
     column = F.col(LIST_ORDERINGS[option])
-    return [column.desc() if descending else column.asc(), F.col("station_id").asc()]
-
+    return stations.orderBy(column.desc() if descending else column.asc(), "station_id")
 
-def order_stations(stations: DataFrame, option: str, descending: bool = False) -> DataFrame:
-    return stations.orderBy(*_list_order(option, descending))
 
+def station_places(stations: DataFrame) -> DataFrame:
+    """`option, descending, station_id, place`: the place of every station in every ordering both ways, from 1 on, for lists that are read page by page.
 
-def place_stations(stations: DataFrame, option: str, descending: bool = False, name: str = "place") -> DataFrame:
-    """The stations with their place in an ordering, from 1 on, for tables that are read page by page. Sorted and numbered by ranges, not in one task."""
-    return ranked(stations, *_list_order(option, descending), name=name)
+    All orderings are sorted and numbered together in one exchange by ranges: no task and no driver sees a whole ordering, and the stations are read once.
+    """
+    kinds = dict(stations.dtypes)
+    keys = []
+    for number, (option, column) in enumerate(LIST_ORDERINGS.items()):
+        text = kinds[column] == "string"
+        value, nothing = F.col(column), F.lit(None)
+        for descending in (False, True):
+            amount = nothing if text else value.cast("double") * (-1 if descending else 1)
+            keys.append(
+                F.struct(
+                    F.lit(2 * number + descending).alias("number"),
+                    F.lit(option).alias("option"),
+                    F.lit(descending).alias("descending"),
+                    (value.isNull() if descending else value.isNotNull()).alias("late"),  # nulls first, from below
+                    amount.cast("double").alias("amount"),
+                    (value if text and not descending else nothing).cast("string").alias("up"),
+                    (value if text and descending else nothing).cast("string").alias("down"),
+                    "station_id",
+                )
+            )
+    rows = stations.select(F.explode(F.array(*keys)).alias("key")).select("key.*")
+    order = [F.col(c).asc() for c in ("number", "late", "amount", "up")] + [F.col("down").desc(), F.col("station_id").asc()]
+    placed = ranked(rows, *order, name="overall")
+    first = placed.groupBy("number").agg(F.min("overall").alias("first"))
+    place = (F.col("overall") - F.col("first") + 1).alias("place")
+    return placed.join(first, "number").select("option", "descending", "station_id", place)
 
 
 # Status rows

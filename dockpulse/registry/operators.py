@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import date, datetime
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -773,15 +772,7 @@ def station_list_order(t):
     times = occupancy.occupancy(status, t.information(), FROM, TO).select("station_id", "empty_sec", "full_sec")
     listed = active.join(latest.drop("station_id", "is_charging_station"), F.col("station_id") == F.col(STATION))
     listed = listed.join(times, "station_id")
-    listed = listed.select("station_id", *[c for c in stations.LIST_ORDERINGS.values() if c != "station_id"])
-    parts = [
-        stations.place_stations(listed, option, descending).select(
-            F.lit(option).alias("option"), F.lit(descending).alias("descending"), "station_id", F.col("place").cast("int").alias("place")
-        )
-        for option in stations.LIST_ORDERINGS
-        for descending in (False, True)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return stations.station_places(listed).withColumn("place", F.col("place").cast("int"))
 
 
 @query("t6_newest_errors", """select id, "time", endpoint, error_msg from ql where not success order by "time" desc, id desc limit 50""")

@@ -37,20 +37,20 @@ STATUS = {
     ],
 }
 INFORMATION = {
-    "station_id": "7000",
-    "name": "Fort",
+    "station_id": "9207",
+    "name": "Quay",
     "physical_configuration": "REGULAR",
     "lat": 43.6,
     "lon": -79.3,
     "altitude": 0.0,
     "post_code": "M4Y",
-    "capacity": 35,
+    "capacity": 22,
     "is_charging_station": False,
     "rental_methods": ["key", "PHONE"],
     "is_virtual_station": False,
     "groups": [],
-    "obcn": "647",
-    "nearby_distance": 500.0,
+    "obcn": "000",
+    "nearby_distance": 120.0,
     "_bluetooth_id": "",
     "_ride_code_support": True,
     "rental_uris": {"ios": "app"},
@@ -80,7 +80,7 @@ def test_status_files(spark, tmp_path):
 def test_information_file(spark, tmp_path):
     (tmp_path / "a.json").write_text(envelope("stations", [INFORMATION]))
     row = gbfs.station_information(gbfs.read_documents(spark, str(tmp_path))).first()
-    assert row.station_id == 7000 and row.reported == datetime(2023, 11, 14, 22, 23, 15)
+    assert row.station_id == 9207 and row.reported == datetime(2023, 11, 14, 22, 23, 15)
     assert row.rental_methods == ["KEY", "PHONE"] and row.rental_uris == ["", "app", ""]
     assert row.bluetooth_id is None and row.address is None and row.is_valet_station is False
 
