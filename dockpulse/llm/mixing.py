@@ -130,7 +130,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """`doc_id, source, size, source_size, target, copies, taken` of every document of columns `doc_id, text, source`.
 
     A null text has no words and is its source's smallest document; its copies take nothing. Sources without words have target 0. Rows
-    that repeat are documents of their own.
+    that repeat are documents of their own. A null source is a source, the last one. Ties of size go by doc_id, then by row. Texts of any length count whole; an empty
+    table gives no rows; other columns are not looked at.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), "source", words_of().alias("size"))
     found = copies(stored(rows, "sized"), **options)
@@ -138,7 +139,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents, each as often as the mix takes it, with their own columns only. Documents without words are left as they are, once."""
+    """The documents, each as often as the mix takes it, with their own columns only, whatever their names. Documents without words (null texts too) are left as they are,
+    once. Ties, repeats and long texts as in `mix`; an empty table stays empty."""
     rows = numbered(docs, "mixed", size=words_of())
     found = copies(rows.select("uid", F.col("row.doc_id").cast("bigint").alias("doc_id"), "row.source", "size"), **options)
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies")).cast("int")

@@ -304,7 +304,8 @@ def pack_pieces(pieces: DataFrame) -> DataFrame:
 def pack_documents(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """`uid, doc_id, piece, start, length, ids_crc32, sequence_id, offset` of every piece of every document.
 
-    Rows that repeat are documents of their own, told apart by `uid`. No documents give no rows.
+    Rows that repeat are documents of their own, told apart by `uid`. A null or empty text is one piece with the end id alone. A text of any length is encoded whole by one
+    task and cut into pieces. Pieces of equal length are interchangeable. No documents give no rows; other columns are not looked at.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
     return pack_pieces(stored(token_pieces(rows, ranks), "pieces"))

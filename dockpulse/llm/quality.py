@@ -176,7 +176,8 @@ def _verdict(model: Model) -> Column:
 def judge(docs: DataFrame) -> DataFrame:
     """`doc_id`, the counts, `base_failed`, `quality` (posterior probability) and `kept` of every document.
 
-    Rows that repeat are judged each. A text without words fails the base rule.
+    Rows that repeat are judged each, alike. Null and empty texts and texts without words fail the base rule. Texts of any length are counted whole. An empty table
+    gives no rows; without texts that pass the base rule there is nothing to weigh. A null doc_id stays null; other columns are not looked at.
     """
     voted = signals(docs.select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), "signals")
     voted = stored(voted, "signals").withColumn("votes", votes())
@@ -191,7 +192,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns only.
+    """The documents that are kept, with their own columns only, whatever their names.
+
+    Null, empty, repeated and very long texts as in `judge`; an empty table stays empty.
 
     Only the counts are stored for the fit; the texts are read, and counted, once more for the verdict instead of being written beside their counts.
     """

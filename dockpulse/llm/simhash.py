@@ -233,7 +233,11 @@ def grouped(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """`doc_id, fingerprint` (16 hex digits), `component_id` of every document; null text counts as empty."""
+    """`doc_id, fingerprint` (16 hex digits), `component_id` of every document; null text counts as empty.
+
+    Texts without words have fingerprint zero and are linked like any other. Texts of any length count whole; rows that repeat are documents of their own, in one
+    component; an empty table gives no rows; other columns are not looked at.
+    """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
     found = grouped(stored(fingerprints(rows), "prints"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -241,7 +245,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id (null last, then the first row), with its own columns only."""
+    """One document of each group, the one with the smallest doc_id (null last, then the first row), with its own columns only. An empty table stays empty."""
     rows = numbered(docs, "near")
     prints = stored(fingerprints(rows.select("uid", "row.doc_id", "row.text")), "prints")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best")

@@ -239,5 +239,9 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every document's severity by a model of the labelled ones."""
+    """Every document's severity by a model of the labelled ones; see `learn` and `severity`.
+
+    Rows that repeat are judged each, alike. Null and empty texts have no features and get the severity of the model without any. Texts of any length are judged whole.
+    Equal doc_ids share their label; of several texts of a chosen doc_id one is learned from. An empty table gives no rows; other columns are not looked at.
+    """
     return severity(docs, learn(docs, labels))
