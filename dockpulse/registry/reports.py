@@ -274,7 +274,10 @@ def docking_json(t):
          unpivot ("count" for bike_type in ("E-Fit", "E-Fit G5"))) u""",
 )
 def charging_json(t):
-    return layouts.charging_json(reports.charging_report(t.status(), t.information(), WHOLE))
+    """A payload does not name its station: that is the folder of the file."""
+    path = _folder(t, "json")
+    layouts.write_json(layouts.charging_json(reports.charging_report(t.status(), t.information(), WHOLE)), path, by=("station_id",))
+    return layouts.read_json(t.spark, path, station_id="int").select("station_id", F.get_json_object("json", "$.bike-type").alias("bike_type"), "json")
 
 
 @query(
@@ -288,9 +291,10 @@ def integral_json(t):
 
 @query("snk4_factor_json", f"select * exclude ({', '.join(k for k in layouts.INTEGRAL_CSV if k.endswith('_seconds') and k != 'total_seconds')}) from ({FACTOR_SQL}) f")
 def factor_json(t):
-    """The payload, read back into columns: engines spell doubles differently."""
-    payload = layouts.factor_json(factors(t)).select("json")
-    kinds = dict(factors(t).dtypes)
+    """The payload, read back from its file into columns: engines spell doubles differently."""
+    path, rows = _folder(t, "json"), factors(t)
+    layouts.write_json(layouts.factor_json(rows), path)
+    payload, kinds = layouts.read_json(t.spark, path), dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in layouts.FACTOR_CSV)
     return payload.select(F.from_json("json", schema).alias("p")).select("p.*")
 

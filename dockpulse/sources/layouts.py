@@ -63,9 +63,19 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST")
 
 
-def write_json(payload: DataFrame, path: str) -> None:
-    """The payloads, one in a line, without the key columns beside them."""
-    payload.select("json").write.mode("overwrite").text(path)
+def write_json(payload: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """The payloads, one in a line. Of the key columns beside them those in `by` become folders, `station_id=7` for example, for payloads that do not say whose they are."""
+    if not by:
+        payload.select("json").write.mode("overwrite").text(path)
+        return
+    # a key's payloads into one file, a key that is large into several
+    rows = payload.select("json", *by).hint("rebalance", *map(F.col, by))
+    rows.write.mode("overwrite").partitionBy(*by).text(path)
+
+
+def read_json(spark: SparkSession, path: str, **keys: str) -> DataFrame:
+    """`json` of written payloads, one per row, with the folder keys and their types."""
+    return spark.read.schema(", ".join(["value string", *[f"{k} {kind}" for k, kind in keys.items()]])).text(path).withColumnRenamed("value", "json")
 
 
 def _json(rows: DataFrame, value: Column, *keys: str) -> DataFrame:
