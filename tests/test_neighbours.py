@@ -121,21 +121,60 @@ def test_no_window_over_whole_stations(skewed):
     assert "Aggregate [" in between  # reduced to one row per segment before the window by station
 
 
-def test_fresh_responses_against_a_loop(spark):
-    random = np.random.default_rng(3)
-    rows, expected = [], []
-    for endpoint, gap in (("a", 40), ("b", 4000), ("c", 90000)):
-        updated = np.cumsum(random.integers(0, gap, 400)) + 1_700_000_000
-        ttl = random.integers(1, 3 * gap, 400)
-        due, seen = -1, set()
-        for i, (u, w) in enumerate(zip(updated.tolist(), ttl.tolist(), strict=True)):
-            rows.append((endpoint, u, w, i))
-            if u in seen:
-                continue
-            seen.add(u)
-            if u >= due:
-                expected.append((endpoint, u, w, i))
-                due = u + w
-    frame = spark.createDataFrame(rows, "endpoint string, updated long, ttl long, id long")
+def fresh_by_loop(rows, before=None):
+    """Accepted (endpoint, updated, ttl, id) of rows in the order of their times; of equal times the first row."""
+    due, seen, expected = dict(before or {}), set(), []
+    for endpoint, updated, ttl, i in rows:
+        if (endpoint, updated) in seen:
+            continue
+        seen.add((endpoint, updated))
+        if updated >= due.get(endpoint, -1):
+            expected.append((endpoint, updated, ttl, i))
+            due[endpoint] = updated + ttl
+    return sorted(expected)
+
+
+def responses_of(random, gaps, ttls, n=400):
+    rows = []
+    for endpoint, gap in gaps.items():
+        updated = np.cumsum(random.integers(0, gap, n)) + 1_700_000_000
+        ttl = ttls(random, gap, n)
+        rows += [(endpoint, u, w, i) for i, (u, w) in enumerate(zip(updated.tolist(), ttl.tolist(), strict=True))]
+    return rows
+
+
+RESPONSE = "endpoint string, updated long, ttl long, id long"
+TTLS = {
+    "mixed": lambda random, gap, n: random.integers(1, 3 * gap, n),
+    "longer than a day": lambda random, gap, n: np.where(random.random(n) < 0.05, 200_000, random.integers(1, gap + 1, n)),
+    "one forever": lambda random, gap, n: np.where(np.arange(n) == n // 2, 1 << 40, 1),
+}
+
+
+@pytest.mark.parametrize("ttls", TTLS)
+def test_fresh_responses_against_a_loop(spark, ttls):
+    rows = responses_of(np.random.default_rng(3), {"a": 40, "b": 4000, "c": 90000}, TTLS[ttls])
+    frame = spark.createDataFrame(rows, RESPONSE)
     found = [tuple(r) for r in staleness.fresh_responses(frame).collect()]
-    assert sorted(found) == sorted(expected)
+    assert sorted(found) == fresh_by_loop(rows)
+
+
+def test_fresh_responses_that_go_on(spark):
+    """Due times from before: in the middle, later than all rows, of an endpoint without rows, and none."""
+    rows = responses_of(np.random.default_rng(5), {"a": 4000, "b": 4000, "c": 4000}, TTLS["longer than a day"])
+    before = {"a": rows[200][1] + 1, "b": 1 << 41, "d": 5}
+    frame = spark.createDataFrame(rows, RESPONSE)
+    found = staleness.fresh_responses(frame, spark.createDataFrame(list(before.items()), "endpoint string, due long"))
+    assert sorted(tuple(r) for r in found.collect()) == fresh_by_loop(rows, before)
+    assert staleness.fresh_responses(frame.limit(0)).collect() == []
+
+
+def test_fresh_responses_of_full_days(spark):
+    """A row in every second of two days: the largest groups there are. Each is one exchange by endpoint and day, without Python."""
+    first = 1_699_920_000
+    times = spark.range(first, first + 2 * 86_400).select(F.lit("a").alias("endpoint"), F.col("id").alias("updated"))
+    frame = times.select("*", (F.col("updated") % 7 + 1).alias("ttl"), F.col("updated").alias("id"))
+    found = staleness.fresh_responses(frame)
+    assert "Pandas" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "Arrow" not in plan
+    rows = [("a", t, t % 7 + 1, t) for t in range(first, first + 2 * 86_400)]
+    assert sorted(tuple(r) for r in found.collect()) == fresh_by_loop(rows)
