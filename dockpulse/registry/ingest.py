@@ -18,6 +18,7 @@ from dockpulse.registry.base import END, NOW, START, query
 from dockpulse.registry.operators import FROM, INFO, TO, occupancy_sql
 from dockpulse.session import shared_dir
 from dockpulse.sources import gbfs, tables
+from dockpulse.sources.merged import MergedTable
 
 # Feed documents and file formats
 
@@ -271,6 +272,30 @@ def merge_by_key(t):
     return tables.merge_by_key(_stored(t), t.status().unionByName(other), schemas.STATUS_KEY)
 
 
+@query("snk5_merged_table", f"select * from {_STORED} s union all select * replace (least(num_bikes_available, 3) as num_bikes_available) from ss where last_reported > timestamp '2024-01-10'")
+def merged_table(t):
+    """The same offers to a stored table: only keys of the days that are offered are read, and only new rows are written."""
+    table = _merged_status(t)
+    table.insert(_stored(t), 0)
+    other = t.status().withColumn("num_bikes_available", F.least("num_bikes_available", F.lit(3)))
+    table.insert(t.status().unionByName(other), 1)
+    return table.rows()
+
+
+def _merged_status(t: Tables) -> MergedTable:
+    return MergedTable(t.spark, _folder(t, "merged_status"), t.status().schema, schemas.STATUS_KEY, F.col("last_reported"))
+
+
+@query("snk5_upserted_table", "select * replace (case when last_reported > timestamp '2024-01-10' then num_bikes_available else 0 end as num_bikes_available) from ss")
+def upserted_table(t):
+    """All rows are stored without bikes; the later ones come again as they are and take their places."""
+    table = _merged_status(t)
+    table.insert(t.status().withColumn("num_bikes_available", F.lit(0)), 0)
+    table.upsert(t.status().where(F.col("last_reported") > F.lit(FROM)), 1)
+    table.compact(2, most=0)
+    return table.rows()
+
+
 _BEFORE = ", ".join(f"lag({c}) over w p_{c}" for c in status.BATCH_COLUMNS)
 _COMPARED = " or ".join(f"{c} <> p_{c}" for c in status.BATCH_COLUMNS)
 CHANGES_SQL = f"""(select * exclude (rn, {", ".join(f"p_{c}" for c in status.BATCH_COLUMNS)}) from
@@ -367,6 +392,19 @@ def occupancy_cache(t):
     return merged.join(result.select(*keys), keys, "left_semi").select(*result.columns)
 
 
+@query("i8_stored_cache", _CACHE.format(calculated="case when station_id % 2 = 0 then timestamp '2024-02-01' else timestamp '2024-02-02' end"))
+def stored_cache(t):
+    """The cache as a stored table: rows of an outdated computation, replaced for half of the stations, and then for the other half."""
+    even = F.col("station_id") % 2 == 0
+    first = occupancy.as_cache_rows(occupancy.occupancy(t.status(), t.information(), FROM, TO), FROM, TO, 0, 0, END)
+    cache = MergedTable(t.spark, _folder(t, "cache_table"), first.schema, schemas.OCCUPANCY_KEY, F.col("range_start"))
+    cache.insert(first.withColumn("empty_sec", -F.col("empty_sec") - 1), 0)
+    cache.upsert(first.where(even), 1)
+    result, _ = occupancy.cached_occupancy(cache.rows().where(even), t.status(), t.information(), FROM, TO, CALCULATED)
+    cache.upsert(result, 2)
+    return cache.rows()
+
+
 def _repair_sql(version: str) -> str:
     return f"""
       select * replace (coalesce(case when info_reported = timestamp '2023-12-20 05:20:38' then {version} end,

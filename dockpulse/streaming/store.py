@@ -21,13 +21,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(folder)
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of all versions, also of one that is not complete, by one listing."""
+def children(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names below a folder that begin with a prefix, without it, by one listing."""
     files, folder = _folder(spark, path)
     if not files.exists(folder):
         return []
     names = [entry.getPath().getName() for entry in files.listStatus(folder)]
-    return sorted(int(name.split("=", 1)[1]) for name in names if name.startswith("version="))
+    return [name.removeprefix(prefix) for name in names if name.startswith(prefix)]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of all versions, also of one that is not complete."""
+    return sorted(int(name) for name in children(spark, path, "version="))
 
 
 def _newest(spark: SparkSession, path: str, batch_id: int) -> int | None:
@@ -66,6 +76,5 @@ def write_version(rows: DataFrame, path: str, batch_id: int) -> None:
 
 def drop_old_versions(spark: SparkSession, path: str, batch_id: int, keep: int = 2) -> None:
     """Remove all but the newest versions up to a batch; the last ones stay for replays."""
-    files, _ = _folder(spark, path)
     for version in [v for v in _versions(spark, path) if v <= batch_id][:-keep]:
-        files.delete(_folder(spark, f"{path}/version={version}")[1], True)
+        remove(spark, f"{path}/version={version}")
