@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dockpulse.functions.ranking import ranked
 from dockpulse.llm.workspace import WORD, numbered, stored
 
 WEIGHTS = (5, 2, 1)
@@ -20,25 +23,35 @@ def words_of(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def _level(sources: DataFrame, budget: float, most: int) -> float:
+    """Words per unit of weight at which the budget is spent, if no source takes more than `most` times its size.
+
+    Each round shares what full sources leave among the others by weight; the level rises, and more sources are full, until none is above its limit. A
+    round is one sum over the sources, of which three numbers reach the driver.
+    """
+    sums = (F.count("*").alias("n"), F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight"))
+    every = sources.agg(*sums).first()
+    n, size, weight = 0, 0, 0
+    while weight < every["weight"]:
+        level = (budget * every["size"] - most * size) / (every["weight"] - weight)
+        full = sources.where(F.col("source_size") * float(most) <= F.col("weight") * F.lit(level)).agg(*sums).first()
+        if full["n"] == n:
+            return level
+        n, size, weight = full
+    return math.inf
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST_COPIES) -> DataFrame:
     """Sources `source, source_size` (one row each) with `target`: the share of `budget` times all words by weight, `most` times the size at most.
 
-    Weights go round over the sources by code point, null last. What a full source cannot take is shared by weight among the others. Full
-    are those whose limit per unit of weight is small: in that order one running sum finds them all. One row per source is sorted here.
+    Weights go round over the sources by code point, null last; their places come from ranges, so no task sees all sources, however many there
+    are. What a full source cannot take is shared by weight among the others. Repeated sources are sources of their own; no sources give no rows.
     """
-    named = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.get(F.array(*map(F.lit, weights)), (F.row_number().over(named) - 1) % len(weights)).cast("double")
-    s = sources.withColumn("weight", weight).withColumn("most", (F.col("source_size") * most).cast("double"))
-    every = Window.partitionBy()
-    filling = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    s = s.withColumn("all", F.sum("source_size").over(every) * budget)
-    left = F.col("all") - F.coalesce(F.sum("most").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    heavy = F.sum("weight").over(filling.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    s = s.withColumn("full", F.col("most") * heavy <= F.col("weight") * left)
-    rest = F.col("all") - F.sum(F.when(F.col("full"), F.col("most")).otherwise(0.0)).over(every)
-    open_weight = F.sum(F.when(~F.col("full"), F.col("weight")).otherwise(0.0)).over(every)
-    share = F.when(F.col("full"), F.col("most")).otherwise(F.least("most", rest * F.col("weight") / open_weight))
-    return s.select("source", "source_size", share.alias("target"))
+    placed = ranked(sources, F.col("source").asc_nulls_last(), name="place")
+    weight = F.get(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights)).cast("int")).cast("bigint")
+    placed = placed.select("source", "source_size", weight.alias("weight"))
+    share = F.least(F.col("source_size") * float(most), F.col("weight") * F.lit(_level(placed, budget, most)))
+    return placed.select("source", "source_size", share.alias("target"))
 
 
 def _rate(tilt: Column, feature: Column, most: int) -> Column:
@@ -113,13 +126,13 @@ def copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
         "source", "size", "part", F.floor(F.col("given") / F.col("n")).alias("each"), (F.col("given") % F.col("n")).alias("more")
     )
     rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(turn, "doc_id", "uid"))
-    ranked = dealt.withColumn("rank", rank)
-    found = ranked.join(groups, same(ranked, groups, "size", "part"))
+    turns = dealt.withColumn("rank", rank)
+    found = turns.join(groups, same(turns, groups, "size", "part"))
     return found.select(
         "uid",
         "doc_id",
-        ranked["source"],
-        ranked["size"],
+        turns["source"],
+        turns["size"],
         "source_size",
         "target",
         (F.col("each") + (F.col("rank") <= F.col("more")).cast("bigint")).alias("copies"),

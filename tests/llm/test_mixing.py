@@ -145,3 +145,18 @@ def test_whole_words(spark):
     path = "/root/testdata/sf0.001/documents.parquet"
     sizes = {i: size_of(t) for i, t in duckdb.connect().execute(f"select doc_id, text from '{path}'").fetchall()}
     assert {r.doc_id: r.size for r in mixing.mix(spark.read.parquet(path)).collect()} == sizes
+
+
+@pytest.mark.parametrize("weights, budget", [((5, 2, 1), 1.5), ((1,), 0.3), ((7, 1), 1.9), ((5, 2, 1), 2.0)])
+def test_targets_of_many_sources(spark, weights, budget):
+    """A source per host, many of them full in turn, with ties, empty ones and none; a window without a key would be one task."""
+    rng = random.Random(8)
+    sizes = {f"h{i}": rng.choice([0, 3, 3, int(rng.lognormvariate(4, 2.5))]) for i in range(3000)} | {None: 17, "é": 40}
+    sources = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint").repartition(5)
+    found = mixing.targets(sources, weights, budget)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    goals = plain_targets(sizes, weights, budget)
+    assert {r.source: r.target for r in found.collect()} == pytest.approx(goals, rel=1e-9)
+    assert mixing.targets(sources.limit(0), weights, budget).collect() == []
+    nothing = spark.createDataFrame([("a", 0), (None, 0)], "source string, source_size bigint")
+    assert [r.target for r in mixing.targets(nothing, weights, budget).collect()] == [0.0, 0.0]
