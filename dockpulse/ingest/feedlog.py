@@ -32,6 +32,12 @@ def log_rows(documents: DataFrame, feed: gbfs.Feed, now: datetime | None = None)
     )
 
 
+def typed_bodies(log: DataFrame) -> DataFrame:
+    """The log with its bodies as VARIANT: parsed once, before they are stored. No body stays null; a text that is no JSON is a JSON null, as in `log_rows`."""
+    body = F.coalesce(F.try_parse_json("error_json"), F.parse_json(F.lit("null")))
+    return log.withColumn("error_json", F.when(F.col("error_json").isNotNull(), body))
+
+
 def system_rows(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(information, counts): one row each per document."""
     return gbfs.system_information(documents), gbfs.system_information_count(documents)

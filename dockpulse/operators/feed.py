@@ -51,8 +51,10 @@ def query_errors(
 
 
 def error_field(errors: DataFrame, path: str, name: str) -> DataFrame:
-    """Errors with one field of their JSON body."""
-    return errors.select("*", F.get_json_object("error_json", path).alias(name))
+    """Errors with one field, as text, of their JSON body, which is text or VARIANT; null if the body has no such field."""
+    typed = dict(errors.dtypes)["error_json"] == "variant"
+    value = F.try_variant_get("error_json", path, "string") if typed else F.get_json_object("error_json", path)
+    return errors.select("*", value.alias(name))
 
 
 def local_time(rows: DataFrame, column: str, zone: str) -> DataFrame:

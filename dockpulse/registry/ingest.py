@@ -320,6 +320,19 @@ def append_changes(t):
     return status.append_changes(StatusQuery(None, None, FROM).on_status(changes), changes)
 
 
+@query(
+    "i7_typed_log",
+    """select id, json_extract_string(error_json, '$.k') k, error_json is not null as has_body from ql""",
+)
+def typed_log(t):
+    """The log stored with VARIANT bodies, half of it first and all of it merged into that; then a field of the bodies."""
+    log = feedlog.typed_bodies(t.query_log())
+    path = _folder(t, "typed_log")
+    feedlog.append_log(log.where(F.col("id") % 2 == 0), log).write.parquet(path)
+    stored = feed.error_field(t.spark.read.parquet(path), "$.k", "k")
+    return stored.select("id", "k", F.col("error_json").isNotNull().alias("has_body"))
+
+
 @query("i6_system_information_insert", "select * replace (case when reported < timestamp '2024-01-10' then 0 else station_count end as station_count) from sc")
 def system_information_insert(t):
     """Earlier days are stored, with another count; all days come as documents; the table is written and read again."""

@@ -205,8 +205,8 @@ def merge_by_key(existing: DataFrame, added: DataFrame, key: tuple[str, ...]) ->
 
 
 def one_per_key(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """One row of each key, the same one in every run: the least by all columns. Spark limits the ranks before the exchange."""
-    order = [c for c, kind in rows.dtypes if not kind.startswith("map")]
+    """One row of each key, the same one in every run: the least by all columns that have an order. Spark limits the ranks before the exchange."""
+    order = [c for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]
     least = Window.partitionBy(*key).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(least)).where("_n = 1").drop("_n")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from dockpulse import schemas
 from dockpulse.ingest import feedlog
 from dockpulse.ingest.status import new_rows
+from dockpulse.operators import feed
 from dockpulse.params import StatusQuery
 from dockpulse.sources import gbfs, tables
 from fixtures import event_status, information_table
@@ -246,3 +247,19 @@ def test_export_names():
     assert tables.range_label(None, datetime(2024, 1, 3), datetime(2024, 1, 4)) == (
         "system-performance-2024-01-03-00:00:00-2024-01-04-00:00:00.csv"
     )
+
+
+def test_bodies_as_variant(spark, tmp_path):
+    """Bodies are stored typed; their fields are those of the text form."""
+    bodies = ['{"k": 5, "a": {"b": [1, {"c": "x"}]}}', '{"k": "five"}', '{"k": null}', '{"a": {"b": []}}', "[1, 2]", "7", "null", "no json", "", None]
+    log = spark.createDataFrame(list(enumerate(bodies)), "id long, error_json string")
+    feedlog.append_log(feedlog.typed_bodies(log.where("id < 4")), feedlog.typed_bodies(log)).write.parquet(f"{tmp_path}/log")
+    stored = spark.read.parquet(f"{tmp_path}/log")
+    assert dict(stored.dtypes)["error_json"] == "variant" and stored.count() == len(bodies)
+    assert [r.id for r in stored.where("error_json is null").collect()] == [9]
+    assert [r.id for r in stored.where("is_variant_null(error_json)").orderBy("id").collect()] == [6, 7, 8]
+    expected = {"$.k": {0: "5", 1: "five"}, "$.a.b[1].c": {0: "x"}, "$.a.b": {0: '[1,{"c":"x"}]', 3: "[]"}, "$[1]": {4: "2"}}
+    for path, values in expected.items():
+        for rows in (stored, log.where("id < 7")):
+            found = feed.error_field(rows, path, "value").where("value is not null").collect()
+            assert {r.id: r.value for r in found} == values
