@@ -24,7 +24,7 @@ def segment_of(column: str | Column) -> Column:
     return F.unix_date(F.to_date(column))
 
 
-def sums_over_neighbours(
+def segment_sums(
     rows: DataFrame,
     terms: dict[str, str],
     carried: Sequence[str],
@@ -32,12 +32,9 @@ def sums_over_neighbours(
     order: Sequence[str] = TIME_ORDER,
     following: Sequence[str] = (),
 ) -> DataFrame:
-    """Per key, the sum of every term over all rows.
+    """`sums_over_neighbours`, first half: a row per key and segment with its inner sums and the carried columns of its first and last row.
 
-    A term is SQL over the carried columns `c` of the row, `prev_c` of the row before it and, for those named in
-    `following`, `next_c` of the row after it; these are null where there is no such row.
-    One exchange of the needed columns on (key, segment). In the same stage each segment is reduced to its inner sums
-    and the values of its first and last row, so that the exchange on key alone carries one row per segment.
+    One exchange of the needed columns on (key, segment). Rows of different segments do not meet, so segments may be made apart, stored and united.
     """
     order = [c for c in order if c in rows.columns]
     time, inside = order[0], f"over (partition by {key}, _segment order by {', '.join(order)})"
@@ -57,8 +54,13 @@ def sums_over_neighbours(
         edges += [f"max(case when {last} then prev_{c} end) as last_prev_{c}" for c in carried]
         edges.append("count(*) as _rows")
     inner = [f"sum(case when {complete} then {term} end) as _inner_{name}" for name, term in terms.items()]
-    per_segment = local.groupBy(key, "_segment").agg(*map(F.expr, [*inner, *edges]))
+    return local.groupBy(key, "_segment").agg(*map(F.expr, [*inner, *edges]))
+
 
+def bridged_sums(
+    per_segment: DataFrame, terms: dict[str, str], carried: Sequence[str], key: str = STATION, following: Sequence[str] = ()
+) -> DataFrame:
+    """`sums_over_neighbours`, second half: per key the inner sums of its segments, and the terms over the first and last rows, whose neighbours are in other segments."""
     across = f"over (partition by {key} order by _segment)"
     inner_once = [f"_inner_{name}" for name in terms]
     if not following:
@@ -89,6 +91,25 @@ def sums_over_neighbours(
     return filled.groupBy(key).agg(*[F.expr(total.format(name, term)) for name, term in terms.items()])
 
 
+def sums_over_neighbours(
+    rows: DataFrame,
+    terms: dict[str, str],
+    carried: Sequence[str],
+    key: str = STATION,
+    order: Sequence[str] = TIME_ORDER,
+    following: Sequence[str] = (),
+) -> DataFrame:
+    """Per key, the sum of every term over all rows.
+
+    A term is SQL over the carried columns `c` of the row, `prev_c` of the row before it and, for those named in
+    `following`, `next_c` of the row after it; these are null where there is no such row.
+    One exchange of the needed columns on (key, segment). In the same stage each segment is reduced to its inner sums
+    and the values of its first and last row, so that the exchange on key alone carries one row per segment.
+    """
+    per_segment = segment_sums(rows, terms, carried, key, order, following)
+    return bridged_sums(per_segment, terms, carried, key, following)
+
+
 def with_neighbours(
     rows: DataFrame,
     carried: Sequence[str],

@@ -41,9 +41,12 @@ def with_active_station(sums: DataFrame, information: DataFrame, query: StatusQu
 def integrals(status: DataFrame, information: DataFrame, query: StatusQuery = StatusQuery()) -> DataFrame:
     """Per active station: each counter times the seconds since the row before, summed, and the seconds in all."""
     rows = query.on_status(status).withColumn("ts", epoch("last_reported"))
-    terms = integral_terms()
-    sums = sums_over_neighbours(rows, terms, ["ts", *COUNTERS.values()])
-    return with_active_station(sums, information, query).select("station_id", "charging", "capacity", *terms)
+    return integrated(sums_over_neighbours(rows, integral_terms(), ["ts", *COUNTERS.values()]), information, query)
+
+
+def integrated(sums: DataFrame, information: DataFrame, query: StatusQuery) -> DataFrame:
+    """Integrals from their sums per station."""
+    return with_active_station(sums, information, query).select("station_id", "charging", "capacity", *integral_terms())
 
 
 def _factor(seconds: str) -> Column:

@@ -24,7 +24,7 @@ def _sum_where(column: str, condition: str) -> str:
     return f"case when {condition} then {_change(column)} end"
 
 
-def _docking_terms() -> dict[str, str]:
+def docking_terms() -> dict[str, str]:
     terms = {}
     for bike, column in BIKES.items():
         terms[f"{bike}_undockings"] = _sum_where(column, f"{_change(column)} < 0")
@@ -37,8 +37,11 @@ def docking_events(status: DataFrame, information: DataFrame, query: StatusQuery
 
     The first row of a station counts as no change. Stations appear with their newest version within the bounds.
     """
-    terms = _docking_terms()
-    sums = sums_over_neighbours(query.on_status(status), terms, list(BIKES.values()))
+    return docked(sums_over_neighbours(query.on_status(status), docking_terms(), list(BIKES.values())), information, query)
+
+
+def docked(sums: DataFrame, information: DataFrame, query: StatusQuery) -> DataFrame:
+    """Docking events from their sums per station."""
     stations = latest_information(query.on_information_until(information)).select(
         F.col("station_id").alias(STATION), "name", "capacity", "is_charging_station"
     )
@@ -50,29 +53,37 @@ def docking_events(status: DataFrame, information: DataFrame, query: StatusQuery
         "is_charging_station",
         zero.alias("boost_undockings"),
         zero.alias("boost_dockings"),
-        *terms,
+        *docking_terms(),
     )
 
 
-def charging_events(status: DataFrame, information: DataFrame, query: StatusQuery = StatusQuery()) -> DataFrame:
-    """Bikes charged at active charging stations: a disabled bike becomes an available e-bike."""
+CHARGING_COLUMNS = ("num_bikes_disabled", BIKES["efit"], BIKES["efit_g5"])
+
 
+def charging_terms() -> dict[str, str]:
     enabled = f"{_change('num_bikes_disabled')} < 0"
     efit, g5 = (f"{_change(BIKES[bike])} > 0" for bike in ("efit", "efit_g5"))
-    terms = {
+    return {
         "bikes_disabled": _sum_where("num_bikes_disabled", f"{enabled} and ({efit} or {g5})"),
         "efit_charged": _sum_where(BIKES["efit"], f"{enabled} and {efit}"),
         "efit_g5_charged": _sum_where(BIKES["efit_g5"], f"{enabled} and {g5}"),
     }
-    carried = ["num_bikes_disabled", BIKES["efit"], BIKES["efit_g5"]]
+
+
+def charging_events(status: DataFrame, information: DataFrame, query: StatusQuery = StatusQuery()) -> DataFrame:
+    """Bikes charged at active charging stations: a disabled bike becomes an available e-bike."""
+    return charged(sums_over_neighbours(query.on_status(status), charging_terms(), CHARGING_COLUMNS), information, query)
+
+
+def charged(sums: DataFrame, information: DataFrame, query: StatusQuery) -> DataFrame:
+    """Charging events from their sums per station."""
     stations = (
         active_information(query.on_information_station(information))
         .where("is_charging_station")
         .select(F.col("station_id").alias(STATION), "name", "capacity")
     )
-    sums = sums_over_neighbours(query.on_status(status), terms, carried)
     return sums.join(stations, STATION, "inner").select(
-        F.col(STATION).alias("station_id"), "name", "capacity", *terms
+        F.col(STATION).alias("station_id"), "name", "capacity", *charging_terms()
     )
 
 
@@ -147,7 +158,7 @@ def changes_with_totals(status: DataFrame, query: StatusQuery = StatusQuery()) -
     changed = deltas.where(" or ".join(f"delta_{b} != 0" for b in BIKES))
     # the sums come from the same finished rows: status is read, exchanged and compared once
     pairs = rows.select(STATION, *BIKES.values(), *[F.col("_prev")[c].alias(f"prev_{c}") for c in BIKES.values()])
-    sums = pairs.groupBy(STATION).agg(*[F.expr(f"sum({term}) as {name}") for name, term in _docking_terms().items()])
+    sums = pairs.groupBy(STATION).agg(*[F.expr(f"sum({term}) as {name}") for name, term in docking_terms().items()])
     totals = sums.select(
         F.col(STATION).alias("station_id"),
         *[F.nullif(f"{b}_{kind}", F.lit(0)).alias(f"{kind}_{b}") for b in BIKES for kind in ("dockings", "undockings")],

@@ -13,6 +13,7 @@ from dockpulse.operators.stations import newest_reported_information
 from dockpulse.params import StatusQuery, at, epoch, epoch_of, in_time_range
 
 LOOK_BACK, LOOK_AHEAD = timedelta(hours=12), timedelta(hours=1)
+OCCUPANCY_COLUMNS = ("ts", "num_bikes_available", "num_docks_available")
 
 
 def occupancy_terms(start: datetime, end: datetime, empty_thresh: int = 0, full_thresh: int = 0) -> dict[str, str]:
@@ -62,9 +63,15 @@ def occupancy(
     sums = sums_over_neighbours(
         rows_around(status, start, end, station_id),
         occupancy_terms(start, end, empty_thresh, full_thresh),
-        ["ts", "num_bikes_available", "num_docks_available"],
+        OCCUPANCY_COLUMNS,
         following=["ts"],
-    ).where("reported > 0")
+    )
+    return occupied(sums, information, end, station_id)
+
+
+def occupied(sums: DataFrame, information: DataFrame, end: datetime, station_id: int | None = None) -> DataFrame:
+    """Occupancy from its sums per station."""
+    sums = sums.where("reported > 0")
     stations = newest_reported_information(
         StatusQuery(station_id).on_information_station(information), end
     ).select(F.col("station_id").alias(STATION), "name", "capacity", F.col("reported").alias("version"))

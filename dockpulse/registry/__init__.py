@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dockpulse.registry import ingest, operators, reports, streams
+from dockpulse.registry import ingest, operators, reports, rollup, streams
 from dockpulse.registry.base import REGISTRY
 
-__all__ = ["REGISTRY", "ingest", "operators", "reports", "streams", "queries", "oracle_sql"]
+__all__ = ["REGISTRY", "ingest", "operators", "reports", "rollup", "streams", "queries", "oracle_sql"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
