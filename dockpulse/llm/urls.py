@@ -98,39 +98,48 @@ def lexical(rows: DataFrame) -> DataFrame:
     )
 
 
-def with_suffixes(rows: DataFrame, labelled: DataFrame, share: float) -> DataFrame:
-    """Rows with the smoothed share of blocked urls among all labelled ones of the same suffix and of the same last label.
+def suffix_shares(rows: DataFrame, share: float) -> DataFrame:
+    """`host, suffix_blocked, top_blocked` of every host: what the labels say of the other hosts of its suffix, and of the other suffixes of its last label.
 
-    Sums are made before the exchange; a suffix with a third of all urls is one row of the sums and a skewed join that Spark can split.
+    Shares are smoothed towards the overall one, which stands alone where there are no others. A host's own labels never enter its features, in training or
+    later: they would be the rules looked up again. Rows are summed by host before the exchange, so a host with a third of all urls is one row of the sums.
     """
-    for key, name in (("suffix", "suffix_blocked"), ("top", "top_blocked")):
-        sums = labelled.groupBy(key).agg(F.sum("blocked").alias("b"), F.count("*").alias("n"))
-        sums = sums.select(key, ((F.col("b") + SMOOTHING * share) / (F.col("n") + SMOOTHING)).alias(name))
-        rows = rows.join(sums, key, "left").withColumn(name, F.coalesce(name, F.lit(share)))
-    return rows
+    hosts = rows.groupBy("host", "suffix", "top").agg(F.coalesce(F.sum("blocked"), F.lit(0.0)).alias("b"), F.count("blocked").alias("n"))
+    suffixes = hosts.groupBy("suffix", "top").agg(F.sum("b").alias("suffix_b"), F.sum("n").alias("suffix_n"))
+    tops = suffixes.groupBy("top").agg(F.sum("suffix_b").alias("top_b"), F.sum("suffix_n").alias("top_n"))
+    both = hosts.join(suffixes.drop("top"), "suffix").join(tops, "top")
+
+    def others(all_: str, own: str) -> Column:
+        blocked, n = (F.col(f"{all_}_{c}") - F.col(f"{own}_{c}" if own else c) for c in "bn")
+        return (blocked + SMOOTHING * share) / (n + SMOOTHING)
+
+    return both.select("host", others("suffix", "").alias("suffix_blocked"), others("top", "suffix").alias("top_blocked"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """`page_id, host, path, rule, verdict, score` of every page: the rule's verdict, else that of the trees (`score`: chance of block).
 
     The trees learn from urls with a rule, whose verdict is their label; suffix shares count all of these, the trees see at most `SAMPLE_ROWS`.
-    If those have one verdict only, it is everybody's; if there are none, all is allowed. Rows that repeat are judged each.
+    If those have one verdict only, it is everybody's; if there are none, all is allowed. Rows that repeat are judged each, urls of any length whole. A chance of
+    exactly 0.5 is block. Null urls and those without a host share the empty host; no rows give no rows; further columns are not read.
     """
     rows = ruled(pages.select("page_id", "url"), rules)
     rows = stored(lexical(rows), "urls")
-    labelled = rows.where("ruled is not null").withColumn("blocked", (F.col("ruled") == "block").cast("double"))
+    rows = rows.withColumn("blocked", (F.col("ruled") == "block").cast("double"))
+    labelled = rows.where("ruled is not null")
     sums = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("blocked"), F.lit(0.0)).alias("b")).first()
     share = sums["b"] / sums["n"] if sums["n"] else 0.0
     if 0 < share < 1:
         order = F.xxhash64("url", "page_id")
         sample = labelled.withColumn("order", order).orderBy("order", "url", "page_id").limit(SAMPLE_ROWS)
-        sample = with_suffixes(sample, labelled, share)
+        shares = stored(suffix_shares(rows, share), "url-hosts")
+        sample = sample.join(shares, "host")
         vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
         learner = GBTClassifier(
             labelCol="blocked", maxIter=TREES, maxDepth=TREE_DEPTH, seed=SEED, stepSize=0.2, cacheNodeIds=False
         )
         model = learner.fit(vector.transform(stored(sample.select("blocked", *FEATURES), "url-sample")))
-        judged = model.transform(vector.transform(with_suffixes(rows, labelled, share)))
+        judged = model.transform(vector.transform(rows.join(shares, "host")))
         chance = F.get(vector_to_array("probability"), F.lit(1))
     else:
         judged, chance = rows, F.lit(float(share))

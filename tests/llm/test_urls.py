@@ -121,3 +121,37 @@ def test_repeated_rows_and_reruns(spark):
     first = sorted(map(tuple, urls.judge(rows).collect()))
     assert len(first) == 2 * len(values)
     assert first == sorted(map(tuple, urls.judge(rows).collect()))
+
+
+def test_suffix_shares_leave_out_the_own_host(spark):
+    """Each share against a plain sum over the labelled urls of other hosts, or other suffixes."""
+    values = [f"http://{h}/{p}" for h in ("a.x.net", "b.x.net", "x.net", "c.y.net", "d.z.com", "") for p in ("en/1", "de/2", "3")]
+    values += ["http://b.x.net/again"] * 30 + [None]
+    rules = (urls.Rule("x.net/", "block"), urls.Rule("a.x.net/en", "allow"), urls.Rule("y.net/de", "allow"))
+    rows = urls.lexical(urls.ruled(frame(spark, values).select("page_id", "url"), rules))
+    rows = rows.selectExpr("*", "cast(ruled = 'block' as double) blocked")
+    known = [(r.host, r.blocked) for r in rows.collect()]
+    found = {r.host: r for r in urls.suffix_shares(rows, 0.25).collect()}
+    assert set(found) == {h for h, _ in known}
+    last = lambda host, k: ".".join(host.split(".")[-k:])
+
+    def share(labels):
+        labels = [b for b in labels if b is not None]
+        return (sum(labels) + urls.SMOOTHING * 0.25) / (len(labels) + urls.SMOOTHING)
+
+    for host, row in found.items():
+        assert row.suffix_blocked == pytest.approx(share(b for h, b in known if last(h, 2) == last(host, 2) and h != host))
+        assert row.top_blocked == pytest.approx(share(b for h, b in known if last(h, 1) == last(host, 1) and last(h, 2) != last(host, 2)))
+
+
+def test_a_rule_for_one_folder_does_not_judge_the_host(spark):
+    """One folder of a host is blocked by rule; other folders of it are judged by their form, like those of unknown hosts."""
+    train, fresh = list(labelled(800, 1)), list(labelled(300, 5, "c"))
+    rules = (urls.Rule("site.test/b/", "block"), urls.Rule("test/a/", "allow"), urls.Rule("only.test/x/", "block"))
+    bad = [u.replace("site.test/b", "only.test/x") for u, is_bad in train if is_bad]
+    new = [u.replace("site.test", "only.test") for u, _ in fresh]
+    every = [u for u, _ in train] + bad + new
+    found = {r.page_id: r for r in urls.judge(frame(spark, every), rules).collect()}
+    at = len(train) + len(bad)
+    right = [(found[at + i].verdict == "block") == is_bad for i, (_, is_bad) in enumerate(fresh)]
+    assert sum(right) >= 0.9 * len(right)
