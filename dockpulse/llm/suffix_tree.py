@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,9 @@ LEAST_ENTRY = 2
 LEAST_DIVERGENCE = 0.01
 # Taken off each count after a context; what is taken goes to the shorter context.
 DISCOUNT = 0.75
+# A block ends after this many rows, or once its texts have this many bytes: what one task holds of texts and replies does not grow with the length of texts.
 BLOCK_ROWS = 4096
+BLOCK_BYTES = 16 << 20
 
 # Grams (runs of words, with the start and end of their text) of one shard, about; the number of shards grows with the corpus.
 SHARD_GRAMS = 2_000_000
@@ -48,17 +51,22 @@ def normalised(text: str | None) -> bytes:
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """`block, doc_id, held_out, body`, stored. A block is a run of rows of one partition; it is written, so later jobs see the same blocks."""
+    """`block, doc_id, held_out, body`, stored. A block is a run of rows of one partition, cut by rows and bytes; it is written, so later jobs see the same blocks."""
     ship(__name__)
 
     def run(batches):
+        block, rows, size = TaskContext.get().partitionId() << 33, 0, 0
         for batch in batches:
-            body = pa.array([normalised(t) for t in batch.column("text").to_pylist()], pa.binary())
-            columns = [batch.column(c) for c in ("block", "doc_id", "held_out")]
-            yield pa.RecordBatch.from_arrays([*columns, body], ["block", "doc_id", "held_out", "body"])
-
-    block = F.floor(F.monotonically_increasing_id() / BLOCK_ROWS).alias("block")
-    rows = docs.select(block, F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text")
+            bodies, blocks = [normalised(t) for t in batch.column("text").to_pylist()], []
+            for body in bodies:
+                if rows and (rows >= BLOCK_ROWS or size + len(body) > BLOCK_BYTES):
+                    block, rows, size = block + 1, 0, 0
+                rows, size = rows + 1, size + len(body)
+                blocks.append(block)
+            columns = [pa.array(blocks, pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "held_out", "body"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text")
     return stored(rows.mapInArrow(run, "block bigint, doc_id bigint, held_out boolean, body binary"), "bodies")
 
 

@@ -31,8 +31,8 @@ class Plain:
         self.c = Counter(w for words in self.learned for w in [*words, END])
         self.n = sum(self.c.values())
         self.v = len(self.c)
-        frequent = {w for w in self.c if self.c[w] >= least_entry * self.n}
-        as_context = {w for w in frequent - {END} if self.c[w] >= least_context * self.n} | {START}
+        frequent = {w for w in self.c if self.c[w] >= suffix_tree.least(least_entry, self.n)}
+        as_context = {w for w in frequent - {END} if self.c[w] >= suffix_tree.least(least_context, self.n)} | {START}
         counts: Counter = Counter()
         followed: Counter = Counter()
         for words in self.learned:
@@ -44,11 +44,11 @@ class Plain:
                     followed[tuple(row[t - d : t])] += 1
                     if row[t] in frequent | {END}:
                         counts[tuple(row[t - d : t]), row[t]] += 1
-        self.counts = {k: n for k, n in counts.items() if n >= least_entry * self.n}
+        self.counts = {k: n for k, n in counts.items() if n >= suffix_tree.least(least_entry, self.n)}
         self.after: dict = {}
         for (context, w), n in self.counts.items():
             self.after.setdefault(context, {})[w] = n
-        self.candidates = {s for s in self.after if followed[s] >= max(least_context * self.n, 1)}
+        self.candidates = {s for s in self.after if followed[s] >= suffix_tree.least(least_context, self.n)}
         self.followed, self.discount = followed, discount
         self.kept = set(self.candidates)
         chosen = set()
@@ -102,11 +102,15 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("least_context, least_entry, block", [(5e-5, 5e-6, 4096), (0.01, 0.002, 20)])
-def test_scores_are_those_of_the_plain_tree(spark, monkeypatch, least_context, least_entry, block):
+@pytest.mark.parametrize(
+    "least_context, least_entry, block, size",
+    [(suffix_tree.LEAST_CONTEXT, suffix_tree.LEAST_ENTRY, 4096, 16 << 20), (5e-5, 5e-6, 4096, 400), (0.01, 0.002, 20, 16 << 20)],
+)
+def test_scores_are_those_of_the_plain_tree(spark, monkeypatch, least_context, least_entry, block, size):
     monkeypatch.setattr(suffix_tree, "LEAST_CONTEXT", least_context)
     monkeypatch.setattr(suffix_tree, "LEAST_ENTRY", least_entry)
     monkeypatch.setattr(suffix_tree, "BLOCK_ROWS", block)
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", size)
     rows = corpus()
     plain = Plain(rows, least_context, least_entry, suffix_tree.LEAST_DIVERGENCE, suffix_tree.DEPTH, suffix_tree.DISCOUNT)
     assert plain.kept and len(plain.kept) < len(plain.candidates)
