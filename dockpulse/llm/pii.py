@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,10 +16,12 @@ from dockpulse.llm.workspace import stored, text_or_empty
 KINDS = ("email", "ip", "card", "phone")
 # Characters of the text beside a span that the trees see.
 CONTEXT = 24
-# Labelled spans that the trees and their thresholds are fitted on: of each kind and label as many, those with the smallest hash. A text that spans repeat counts once.
-SAMPLE_ROWS = 20_000
+# So many bins that the trees take the places of their splits from all of up to BINS_OF_TREES ** 2 descriptions; of more Spark looks at about so many for the places, and at all for the trees.
+BINS_OF_TREES = 256
 TREES, TREE_DEPTH, SEED = 20, 4, 7
-# A threshold is the least chance from which on this share of the spans set aside is right, by so many of them at least.
+# Parts that the labelled spans are dealt into by hash of their text. The chances that the thresholds come from are each given by trees that did not see the part.
+FOLDS = 3
+# A threshold is the least chance from which on this share of the labelled spans is right, by so many of them at least.
 PRECISION, LEAST_SPANS, BINS = 0.99, 20, 50
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -219,10 +222,20 @@ def labelled(spans: DataFrame) -> DataFrame:
     return spans.withColumn("label", label).where("label is not null")
 
 
+def examples(spans: DataFrame) -> DataFrame:
+    """`kind, fold, label, FEATURES, n`, stored: all labelled spans, those that look alike to the trees as one row with their number `n`.
+
+    Spans of one text and one description count once, so that copies of a document do not outweigh the others. What is written grows with the descriptions, not with the spans.
+    """
+    fold = F.pmod(F.xxhash64("match"), F.lit(FOLDS)).cast("int").alias("fold")
+    once = described(labelled(spans)).select("kind", "match", fold, "label", *FEATURES).distinct()
+    return stored(once.groupBy("kind", "fold", "label", *FEATURES).agg(F.count("*").cast("double").alias("n")), "examples")
+
+
 def thresholds(judged: DataFrame) -> list[float]:
-    """Per kind the least chance (a multiple of 1 / BINS) from which on the spans set aside are right in a share of PRECISION; 2 if there is none."""
+    """Per kind the least chance (a multiple of 1 / BINS) from which on the labelled spans are right in a share of PRECISION; 2 if there is none."""
     place = F.floor(F.col("chance") * BINS).cast("int").alias("bin")
-    sums = judged.groupBy("kind", place).agg(F.sum("label").alias("right"), F.count("*").alias("n")).collect()
+    sums = judged.groupBy("kind", place).agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("n")).collect()
     found = []
     for kind in range(len(KINDS)):
         right = n = 0
@@ -238,22 +251,26 @@ def thresholds(judged: DataFrame) -> list[float]:
 def chosen(spans: DataFrame) -> DataFrame:
     """`uid, kind, start, end` of the spans that the trees add: those from their kind's threshold on that overlap neither a kept span nor a better added one.
 
-    Spans that overlap in a chain are taken from the likeliest on, of equal ones the longest, then the first.
+    The trees are fitted on all labelled spans. For the thresholds every fold is judged by trees fitted on the others, so all of them count there too, none by
+    trees that knew it. Spans that overlap in a chain are taken from the likeliest on, of equal ones the longest, then the first.
     """
     nothing = spans.where("false").select("uid", "kind", "start", "end")
-    examples = labelled(spans).groupBy("kind", "match", "label").agg(F.min(F.struct("left", "right")).alias("beside")).select("*", "beside.*")
-    order = Window.partitionBy("kind", "label").orderBy(F.xxhash64("match"), "match")
-    examples = examples.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_ROWS // (2 * len(KINDS)))
-    examples = stored(described(examples), "examples")
-    aside = F.pmod(F.xxhash64("match"), F.lit(3)) == 0
-    if {r[0] for r in examples.where(~aside).select("label").distinct().collect()} != {0.0, 1.0}:
+    known = examples(spans)
+    folds: dict[int, set[float]] = {}
+    for r in known.select("fold", "label").distinct().collect():
+        folds.setdefault(r["fold"], set()).add(r["label"])
+    if any(set().union(*(labels for other, labels in folds.items() if other != fold)) != {0.0, 1.0} for fold in range(FOLDS)):
         return nothing
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    learner = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=TREE_DEPTH, seed=SEED, stepSize=0.2, cacheNodeIds=False)
-    model = learner.fit(vector.transform(examples.where(~aside)).select("label", "features"))
-    judge = lambda rows: model.transform(vector.transform(rows)).withColumn("chance", F.get(vector_to_array("probability"), F.lit(1)))
-    least = thresholds(judge(examples.where(aside)))
-    likely = judge(described(spans.where("match is not null and not strict and not beside")))
+    learner = GBTClassifier(labelCol="label", weightCol="n", maxIter=TREES, maxDepth=TREE_DEPTH, maxBins=BINS_OF_TREES, seed=SEED, stepSize=0.2, cacheNodeIds=False)
+    fitted = lambda rows: learner.fit(vector.transform(rows).select("label", "n", "features"))
+
+    def judge(model, rows: DataFrame) -> DataFrame:
+        return model.transform(vector.transform(rows)).withColumn("chance", F.get(vector_to_array("probability"), F.lit(1)))
+
+    judged = [judge(fitted(known.where(F.col("fold") != fold)), known.where(F.col("fold") == fold)).select("kind", "label", "n", "chance") for fold in sorted(folds)]
+    least = thresholds(reduce(DataFrame.unionByName, judged))
+    likely = judge(fitted(known), described(spans.where("match is not null and not strict and not beside")))
     likely = likely.where(F.col("chance") >= F.get(F.array(*map(F.lit, least)), F.col("kind")))
     chain = Window.partitionBy("uid").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     likely = likely.select("uid", "kind", "start", "end", "chance", F.max("end").over(chain).alias("reached"))
@@ -278,7 +295,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """`doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added` of every row, null text as empty.
 
     The counts and the digest are of the strict spans that pass their checks, `spans` lists these and the `n_added` ones that the trees add. The trees and
-    thresholds are fitted on at most SAMPLE_ROWS spans of all rows; without examples of both labels nothing is added. Texts of any length are scanned whole;
+    thresholds are fitted on all labelled spans of all rows; without examples of both labels nothing is added. Texts of any length are scanned whole;
     rows that repeat are scanned each; no rows give no rows; a null doc_id stays null. Other columns are not looked at.
     """
     spans = stored(covered(proposed(docs)), "covered-spans")

@@ -149,3 +149,20 @@ def test_no_python_in_the_plan(spark):
     frame = spark.createDataFrame([(1, "a@b.cc 1.2.3.4")], "doc_id bigint, text string")
     plan = pii.scan(frame)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_all_labelled_spans_count(spark, monkeypatch):
+    """More spans of one kind and label than any bound on examples there ever was: each is judged once, by trees fitted on the others."""
+    seen, plain_thresholds = [], pii.thresholds
+
+    def watched(judged):
+        seen.append(sum(r.asDict().get("n", 1.0) for r in judged.where("kind = 1").collect()))
+        return plain_thresholds(judged)
+
+    monkeypatch.setattr(pii, "thresholds", watched)
+    good = [f"10.{i // 250}.{i % 250}.7" for i in range(3000)]
+    bad = [f"999.{i // 250}.{i % 250}.7" for i in range(3000)]
+    rows = [(i, f"at {a} not {b} end") for i, (a, b) in enumerate(zip(good, bad))]
+    found = pii.scan(spark.createDataFrame(rows * 2, "doc_id bigint, text string")).agg({"n_ip": "sum", "n_added": "sum"}).first()
+    assert seen == [6000.0]
+    assert found["sum(n_ip)"] == 6000 and found["sum(n_added)"] == 0
