@@ -274,7 +274,7 @@ def docking_json(t):
          unpivot ("count" for bike_type in ("E-Fit", "E-Fit G5"))) u""",
 )
 def charging_json(t):
-    """A payload does not name its station: that is the folder of the file."""
+    """A payload does not name its station: that stands beside it in its line."""
     path = _folder(t, "json")
     layouts.write_json(layouts.charging_json(reports.charging_report(t.status(), t.information(), WHOLE)), path, by=("station_id",))
     return layouts.read_json(t.spark, path, station_id="int").select("station_id", F.get_json_object("json", "$.bike-type").alias("bike_type"), "json")

@@ -11,6 +11,7 @@ from dockpulse.operators import availability, events
 from dockpulse.operators.occupancy import occupancy
 from dockpulse.params import StatusQuery
 from dockpulse.plans import reports
+from dockpulse.sources import layouts
 from fixtures import information_table, status_table
 
 START, END = datetime(2024, 1, 10, 7), datetime(2024, 1, 20, 12)
@@ -53,3 +54,14 @@ def test_station_without_events_has_no_row(spark):
     assert [(r.station_id, r.iconic_dockings) for r in row] == [(1, 0)]
     header = reports.trips_header(status.limit(0), stations).first()
     assert header.all_started == 0
+
+
+def test_payloads_of_many_keys_are_few_files(spark, tmp_path):
+    """A key is in the line of its payload: the files do not grow with the keys, and every payload comes back with its own."""
+    payloads = [(None if i == 7 else i, f'{{"count":{i},"text":"a\\"b\\\\c ü"}}') for i in range(300)]
+    frame = spark.createDataFrame(payloads, "station_id int, json string").repartition(3)
+    path = str(tmp_path / "json")
+    layouts.write_json(frame, path, by=("station_id",))
+    assert sum(f.suffix == ".txt" for f in (tmp_path / "json").rglob("*")) <= 3
+    found = layouts.read_json(spark, path, station_id="int").collect()
+    assert sorted((r.json, r.station_id) for r in found) == sorted((p, i) for i, p in payloads)
