@@ -30,6 +30,17 @@ LEVEL = 6
 FRAME = 4 << 20
 # What matters inside a text and outside of one.
 _IN_TEXT, _OUTSIDE = re.compile(rb'["\\]'), re.compile(rb'["{}\[\]]')
+# Levels of an object that one match finds the end of; deeper ones, and those that go on in the next piece, are followed sign by sign.
+LEVELS = 6
+
+
+def _whole(levels: int) -> bytes:
+    """A pattern without backtracking: an object or array of at most so many levels."""
+    inner = rb"|" + _whole(levels - 1) if levels > 1 else b""
+    return rb'[{\[](?:[^"{}\[\]]++|"(?:[^"\\]++|\\.)*+"' + inner + rb")*+[}\]]"
+
+
+_WHOLE = re.compile(_whole(LEVELS), re.DOTALL)
 
 
 class Splitter:
@@ -50,6 +61,10 @@ class Splitter:
                 start = at = self._between(piece, at)
                 if at == len(piece):
                     return
+                if found := _WHOLE.match(piece, at):
+                    start = at = found.end()
+                    yield found[0]
+                    continue
                 self.depth, at = 1, at + 1
                 continue
             at = self._inside(piece, at)
@@ -127,6 +142,11 @@ class _Files(InputPartition):
         self.path = path
 
 
+def _texts(records: list[bytes]) -> pa.RecordBatch:
+    """Records as text; bytes that are no UTF-8 are an error."""
+    return pa.RecordBatch.from_pydict({"value": pa.array(records, pa.binary()).cast(pa.string())})
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.files = json.loads(options["files"])
@@ -141,14 +161,14 @@ class _Reader(DataSourceReader):
         splitter, found, size = Splitter(), [], 0
         for piece in decoded(_pieces(partition.path)):
             for record in splitter.records(piece):
-                found.append(record.decode())
+                found.append(record)
                 size += len(record)
                 if size >= PIECE:
-                    yield pa.RecordBatch.from_pydict({"value": pa.array(found, pa.string())})
+                    yield _texts(found)
                     found, size = [], 0
         splitter.finish()
         if found:
-            yield pa.RecordBatch.from_pydict({"value": pa.array(found, pa.string())})
+            yield _texts(found)
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
@@ -185,18 +205,18 @@ class _Writer(DataSourceArrowWriter):
         system, inner = _place(f"{self.folder}/{name}")
         system.create_dir(inner.rpartition("/")[0], recursive=True)
         part, size, some = [], 0, False
+        first, between, last = (b"[", b",\n", b"]") if self.array else (b"", b"\n", b"\n")
         with system.open_output_stream(inner, compression=None) as file:
             for batch in iterator:
-                for value in batch.column(0).to_pylist():
-                    lead = (b",\n" if some else b"[") if self.array else b""
-                    part.append(lead + value.encode() + (b"" if self.array else b"\n"))
-                    some, size = True, size + len(part[-1])
+                for value in batch.column(0).cast(pa.binary()).to_pylist():
+                    part.append(between if some else first)
+                    part.append(value)
+                    some, size = True, size + len(value)
                     if size >= FRAME:
                         file.write(compressor.compress(b"".join(part)))
                         part, size = [], 0
-            if self.array and some:
-                part.append(b"]")
-            if part:
+            if some:
+                part.append(last)
                 file.write(compressor.compress(b"".join(part)))
         if not some:
             system.delete_file(inner)

@@ -124,3 +124,14 @@ def test_a_task_that_fails_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception):
         zstd_json.write_records(rows, str(tmp_path / "t.json.zst"))
     assert not list(tmp_path.glob("t.json.zst/[!_]*"))
+
+
+def test_whole_records_are_cut_by_one_match(monkeypatch):
+    """Records inside a piece are not followed sign by sign; deeper ones and those that a piece ends in are."""
+    deep = json.loads('{"a":' * 20 + "1" + "}" * 20)
+    text, calls, inside = json.dumps([*ODD, deep, *ODD]).encode(), [], zstd_json.Splitter._inside
+    monkeypatch.setattr(zstd_json.Splitter, "_inside", lambda self, piece, at: calls.append(at) or inside(self, piece, at))
+    splitter = zstd_json.Splitter()
+    assert [json.loads(r) for r in splitter.records(text)] == [*ODD, deep, *ODD]
+    splitter.finish()
+    assert len(calls) == 1
