@@ -7,7 +7,9 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from dockpulse import schemas
+from dockpulse.adapter import Tables
 from dockpulse.ingest.status import status_changes
+from dockpulse.registry import streams
 from dockpulse.streaming import status as stream
 from dockpulse.streaming import store
 from fixtures import event_status
@@ -59,3 +61,12 @@ def test_lookup_never_goes_back(spark, tmp_path):
         run(spark, tmp_path, lambda s: stream.lookup_each(s, f"{tmp_path}/lookup"))
     lookup = store.read_latest(spark, f"{tmp_path}/lookup", stream.LOOKUP).collect()
     assert [r.status_last_reported for r in lookup] == [datetime(2023, 1, 1, 0, 15)]
+
+
+def test_slices_of_documents_are_cut_before_they_are_documents(spark):
+    """A slice neither makes nor parses the documents of the others, and the slices are the whole."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    slices = streams._document_slices(t)
+    assert all("$.last_updated" not in s._jdf.queryExecution().optimizedPlan().toString() for s in slices)
+    found = [r.value for s in slices for r in s.collect()]
+    assert sorted(found) == sorted(r.value for r in t.status_documents().collect())
