@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dockpulse.llm import digest_index, minhash, mixing, packing, quality
+from dockpulse.llm import digest_index, minhash, mixing, packing, quality, simhash
 from dockpulse.llm.workspace import stored
 
 
@@ -19,9 +19,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more over shingles of five words: the smallest doc_id (null last). Texts without words,
-    null ones too, are one group; texts of any length count whole; no rows give no rows."""
-    return minhash.drop_near_duplicates(docs)
+    """One document of each group linked by SimHash fingerprints of two differing bits or fewer, or by a Jaccard similarity of 0.8 or more over shingles of five words:
+    the smallest doc_id (null last). Texts without words, null ones too, are one group; texts of any length count whole; no rows give no rows."""
+    return simhash.drop_near_duplicates(docs, minhash.grouped)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

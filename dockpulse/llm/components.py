@@ -36,3 +36,12 @@ def components(edges: DataFrame) -> DataFrame:
             break
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def united(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The rows `uid, root, ...` of the first grouping with the roots of both: groups that share a row are one. The second has `uid, root` of the same rows."""
+    both = stored(first.join(second.select("uid", F.col("root").alias("other")), "uid"), "both")
+    least = both.groupBy("other").agg(F.min("root").alias("b"))
+    links = both.select(F.col("root").alias("a"), "other").distinct().join(least, "other").select("a", "b")
+    roots = components(links).select(F.col("node").alias("root"), F.col("root").alias("of"))
+    return both.drop("other").join(roots, "root", "left").withColumn("root", F.coalesce("of", "root")).drop("of")

@@ -213,17 +213,13 @@ def links(nodes: DataFrame, sets, similar: int) -> DataFrame:
     return _blocked(buckets, known, found, similar)
 
 
-def drop_near_duplicates(
-    docs: DataFrame, words: int = SHINGLE_WORDS, similar: int = SIMILAR, n_bands: int = BANDS, band_rows: int = BAND_ROWS
+def grouped(
+    texts: DataFrame, words: int = SHINGLE_WORDS, similar: int = SIMILAR, n_bands: int = BANDS, band_rows: int = BAND_ROWS
 ) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id (null last, then the first row), with its own columns only.
+    """`uid, root` of rows `uid, text`: rows have one root where links of a Jaccard similarity of `similar` hundredths or more connect them.
 
-    A group is what links of a Jaccard similarity of `similar` hundredths or more, over distinct shingles of `words` words, connect. Candidates share one of
-    `n_bands` bands of `band_rows` MinHashes. Null texts are empty and, like all texts without words, one group; texts of the same shingles are always one. Texts
-    of any length count whole; an empty table stays empty; rows that repeat are copies.
+    The similarity is over distinct shingles of `words` words. Candidates share one of `n_bands` bands of `band_rows` MinHashes.
     """
-    rows = numbered(docs, "near")
-    texts = rows.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
     prints = stored(sketches(texts, words, n_bands, band_rows), "sketches")
     nodes = stored(prints.groupBy("node").agg(F.min(F.struct("uid", "size", "keys")).alias("o")).select("node", "o.*"), "nodes")
 
@@ -232,6 +228,19 @@ def drop_near_duplicates(
         return sets_of(texts.join(owners, "uid"), words)
 
     roots = components(links(nodes, sets, similar))
-    rooted = prints.select("uid", "node").join(roots, "node", "left").select("uid", F.coalesce("root", "node").alias("root"))
+    return prints.select("uid", "node").join(roots, "node", "left").select("uid", F.coalesce("root", "node").alias("root"))
+
+
+def drop_near_duplicates(
+    docs: DataFrame, words: int = SHINGLE_WORDS, similar: int = SIMILAR, n_bands: int = BANDS, band_rows: int = BAND_ROWS
+) -> DataFrame:
+    """One document of each group of `grouped`, the one with the smallest doc_id (null last, then the first row), with its own columns only.
+
+    Null texts are empty and, like all texts without words, one group; texts of the same shingles are always one. Texts
+    of any length count whole; an empty table stays empty; rows that repeat are copies.
+    """
+    rows = numbered(docs, "near")
+    texts = rows.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    rooted = grouped(texts, words, similar, n_bands, band_rows)
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best")
     return rows_of(rows, texts.select("uid", "doc_id").join(rooted, "uid").groupBy("root").agg(best).select("best.uid"))

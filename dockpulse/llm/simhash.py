@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockpulse.llm.components import components
+from dockpulse.llm.components import components, united
 from dockpulse.llm.workspace import numbered, rows_of, ship, stored
 
 SEED = 42
@@ -244,9 +245,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id (null last, then the first row), with its own columns only. An empty table stays empty."""
+def drop_near_duplicates(docs: DataFrame, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One document of each group, the one with the smallest doc_id (null last, then the first row), with its own columns only. An empty table stays empty.
+
+    `more` gives `uid, root` of rows `uid, text`, a grouping by other links: groups of either kind that share a document are one.
+    """
     rows = numbered(docs, "near")
-    prints = stored(fingerprints(rows.select("uid", "row.doc_id", "row.text")), "prints")
+    texts = rows.select("uid", "row.doc_id", "row.text")
+    found = grouped(stored(fingerprints(texts), "prints"))
+    if more is not None:
+        found = united(found, more(texts))
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best")
-    return rows_of(rows, grouped(prints).groupBy("root").agg(best).select("best.uid"))
+    return rows_of(rows, found.groupBy("root").agg(best).select("best.uid"))

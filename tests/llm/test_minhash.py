@@ -85,6 +85,21 @@ def test_near_copies_that_fingerprints_miss(spark):
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [0]
 
 
+def test_near_copies_that_shingles_miss(spark):
+    """The stage goes by fingerprints too, and what links of both kinds connect is one group: 1 and 2 by fingerprint only, 2 and 3 by shingles only."""
+    import corpus_pipeline
+
+    line = "the same five word line " * 40
+    ends = [" ".join(f"{name}{i}" for i in range(60)) for name in "xyz"]
+    texts = {1: line + ends[0], 2: line + ends[1], 3: line + ends[1] + " short tail of five words" * 40, 4: ends[2]}
+    bits, sets = ({i: of(t) for i, t in texts.items()} for of in (simhash.fingerprint, plain_set))
+    pairs = [(1, 2), (2, 3), (1, 3)]
+    assert [(bits[i] ^ bits[j]).bit_count() <= 2 for i, j in pairs] == [True, False, False]
+    assert [similar(sets[i], sets[j]) for i, j in pairs] == [False, True, False]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 4]
+
+
 def test_common_shingles_are_counted_exactly(monkeypatch):
     monkeypatch.setattr(minhash, "COLUMNS", 7)
     rng = np.random.default_rng(1)
