@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,10 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockpulse.llm.workspace import ship, stored
+from dockpulse.llm.workspace import Passing, ship
 
 # Words of a context at most.
 DEPTH = 3
@@ -30,15 +32,14 @@ DISCOUNT = 0.75
 BLOCK_ROWS = 4096
 BLOCK_BYTES = 16 << 20
 
-# Grams (runs of words, with the start and end of their text) of one shard, about; the number of shards grows with the corpus.
-SHARD_GRAMS = 2_000_000
-# Bytes of a block's texts whose grams are packed at once.
-PART_BYTES = 3 << 20
+# Words of the corpus for one shard of the grams of one length, about; the number of shards grows with the corpus.
+SHARD_WORDS = 2_000_000
+# The id of a frequent gram: its shard, then from this bit on its rank among the shard's frequent grams.
+RANK_BITS = 32
 
-# The start and end of a text, as hashes of what is no word; keys of grams are polynomials of the hashes of their words.
+# The start and end of a text, as hashes of what is no word.
 START = np.uint64(xxhash.xxh64_intdigest(b" start"))
 END = np.uint64(xxhash.xxh64_intdigest(b" end"))
-PRIME = 0x9E3779B97F4A7C15
 
 
 def held_out() -> Column:
@@ -50,24 +51,24 @@ def normalised(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
-def prepared(docs: DataFrame) -> DataFrame:
-    """`block, doc_id, held_out, body`, stored. A block is a run of rows of one partition, cut by rows and bytes; it is written, so later jobs see the same blocks."""
-    ship(__name__)
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes, with their number; small or rising ones (as differences) take little."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
-    def run(batches):
-        block, rows, size = TaskContext.get().partitionId() << 33, 0, 0
-        for batch in batches:
-            bodies, blocks = [normalised(t) for t in batch.column("text").to_pylist()], []
-            for body in bodies:
-                if rows and (rows >= BLOCK_ROWS or size + len(body) > BLOCK_BYTES):
-                    block, rows, size = block + 1, 0, 0
-                rows, size = rows + 1, size + len(body)
-                blocks.append(block)
-            columns = [pa.array(blocks, pa.int64()), batch.column("doc_id"), batch.column("held_out"), pa.array(bodies, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "held_out", "body"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text")
-    return stored(rows.mapInArrow(run, "block bigint, doc_id bigint, held_out boolean, body binary"), "bodies")
+def _unpack(pack: bytes, kind: type) -> np.ndarray:
+    n, width = int.from_bytes(pack[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(pack[8:], decompressed_size=n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).reshape(-1).view(kind)
+
+
+def _rising(values: np.ndarray) -> bytes:
+    return _pack(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def _risen(pack: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(_unpack(pack, kind), dtype=kind)
 
 
 def _words(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,33 +80,42 @@ def _words(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy()
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """`block, word, c, first`: for every word of a block, held out or not, its count over all learned texts.
+_STATE = "block bigint, doc_id array<bigint>, held_out array<boolean>, size array<int>, words binary, place binary, total bigint, learned bigint, ends bigint"
+
 
-    A word is its 64-bit hash. Every block sends each of its words once, with its own learned count; the sum over all blocks comes back
-    in the same exchange. A word has as many rows as there are blocks, however frequent it is. `first` marks one row per word.
+def prepared(docs: DataFrame, tables: Passing) -> DataFrame:
+    """A row per block, stored: its documents with their numbers of words, the hashes of its distinct words, the place in them of every word, and how many words and texts are learned.
+
+    A block is a run of rows of one partition, cut by rows and bytes; it is written, so later jobs see the same blocks.
     """
     ship(__name__)
 
+    def state(block, ids, held, bodies):
+        hashes, place, offsets = _words(bodies)
+        common = np.argsort(-np.bincount(place, minlength=len(hashes)), kind="stable")
+        number = np.empty(len(hashes), np.uint32)
+        number[common] = np.arange(len(hashes))
+        size, learn = np.diff(offsets).astype(np.int32), ~np.array(held, bool)
+        row = {"block": block, "doc_id": ids, "held_out": held, "size": size.tolist(), "words": _pack(hashes[common]), "place": _pack(number[place])}
+        return row | {"total": len(place), "learned": int(size[learn].sum()), "ends": int(learn.sum())}
+
     def run(batches):
+        block, size, ids, held, bodies = TaskContext.get().partitionId() << 33, 0, [], [], []
         for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            learn = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-            bodies = batch.column("body").to_pylist()
-            for block in np.unique(blocks):
-                mine = np.flatnonzero(blocks == block)
-                hashes, place, offsets = _words([bodies[i] for i in mine])
-                known = np.repeat(learn[mine], np.diff(offsets))
-                n = np.bincount(place[known], minlength=len(hashes)).astype(np.int64)
-                columns = [pa.array(np.full(len(hashes), block)), pa.array(hashes), pa.array(n)]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "word", "n"])
-
-    asked = texts.select("block", "held_out", "body").mapInArrow(run, "block bigint, word bigint, n bigint")
-    order = Window.partitionBy("word").orderBy("block")
-    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return asked.select(
-        "block", "word", F.sum("n").over(every).alias("c"), (F.row_number().over(order) == 1).alias("first")
-    )
+            for doc, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").to_pylist()):
+                body = normalised(text)
+                if bodies and (len(bodies) >= BLOCK_ROWS or size + len(body) > BLOCK_BYTES):
+                    yield pa.RecordBatch.from_pylist([state(block, ids, held, bodies)], schema)
+                    block, size, ids, held, bodies = block + 1, 0, [], [], []
+                size += len(body)
+                ids.append(doc), held.append(out), bodies.append(body)
+        if bodies:
+            yield pa.RecordBatch.from_pylist([state(block, ids, held, bodies)], schema)
+
+    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<int>": pa.list_(pa.int32())}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _STATE.split(", ")])
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text")
+    return tables.write(rows.mapInArrow(run, _STATE), "blocks")
 
 
 def least(value: float, tokens: int) -> float:
@@ -114,176 +124,270 @@ def least(value: float, tokens: int) -> float:
 
 
 @dataclass
-class Row:
-    """All texts in one row of hashes, each as start, words, end, with the place of each in its text."""
+class Grams:
+    """The grams of one length in a block: the one that ends at each place (-1: none), and of each its two parts, shard and learned count, by shard and parts.
 
-    tokens: np.ndarray
-    at: np.ndarray
-    text: np.ndarray
+    A gram of one word is its hash; a longer one the ids of the grams without its last and without its first word. Only if both are frequent can it be.
+    """
 
-    @classmethod
-    def of(cls, words: np.ndarray, offsets: np.ndarray) -> Row:
-        lengths = np.diff(offsets) + 2
-        starts = np.cumsum(lengths) - lengths
-        tokens = np.empty(len(words) + 2 * len(lengths), np.uint64)
-        inside = np.ones(len(tokens), bool)
-        inside[starts] = inside[starts + lengths - 1] = False
-        tokens[inside], tokens[starts], tokens[starts + lengths - 1] = words.view(np.uint64), START, END
-        text = np.repeat(np.arange(len(lengths)), lengths)
-        return cls(tokens, np.arange(len(tokens)) - starts[text], text)
+    of: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    shard: np.ndarray
+    n: np.ndarray
 
-    def grams(self) -> list[np.ndarray]:
-        """For each length up to DEPTH + 1 the key of the gram that ends at each place, of use where it begins in the same text."""
-        keys = [self.tokens]
-        for back in range(1, DEPTH + 1):
-            key = keys[-1].copy()
-            key[back:] += self.tokens[: max(len(key) - back, 0)] * np.uint64(pow(PRIME, back, 1 << 64))
-            keys.append(key)
-        return keys
 
+class Block:
+    """All texts of a block in one row of words, each text as start, words, end."""
 
-_GRAM = np.dtype([("key", "<i8"), ("prefix", "<i8"), ("suffix", "<i8"), ("n", "<u4"), ("length", "u1")])
+    def __init__(self, state: dict, shards: int):
+        self.state, self.shards = state, shards
+        size, hashes = np.array(state["size"], np.int64), _unpack(state["words"], np.uint64)
+        lengths = size + 2
+        starts = np.cumsum(lengths) - lengths
+        total = int(lengths.sum())
+        self.words, place = np.unique(np.concatenate((hashes, [START, END])), return_inverse=True)
+        place = place.astype(np.int32)
+        inside = np.ones(total, bool)
+        inside[starts] = inside[starts + lengths - 1] = False
+        self.tokens = np.empty(total, np.int32)
+        self.tokens[inside] = place[_unpack(state["place"], np.uint32)]
+        self.tokens[starts], self.tokens[starts + lengths - 1] = place[-2], place[-1]
+        self.at = np.arange(total, dtype=np.int32) - np.repeat(starts.astype(np.int32), lengths)
+        self.learn = np.repeat(~np.array(state["held_out"], bool), lengths)
+
+    def single(self) -> Grams:
+        shard = ((self.words >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
+        n = np.bincount(self.tokens, self.learn, len(self.words)).astype(np.int64)
+        return Grams(self.tokens, self.words.view(np.int64), np.zeros(len(self.words), np.int64), shard, n)
+
+    def longer(self, length: int, shorter: Grams, ids: np.ndarray) -> Grams:
+        """The grams of a length both of whose parts are frequent; `ids` are those of the shorter ones, -1 for rare ones."""
+        frequent = (shorter.of >= 0) & np.append(ids >= 0, False)[shorter.of]
+        at = np.flatnonzero(frequent[1:] & frequent[:-1] & (self.at[1:] >= length - 1)) + 1
+        code, inverse = np.unique(shorter.of[at - 1] * np.int64(len(ids)) + shorter.of[at], return_inverse=True)
+        n = np.bincount(inverse, self.learn[at], len(code)).astype(np.int64)
+        a, b = ids[code // len(ids)], ids[code % len(ids)]
+        mixed = (a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        shard = ((mixed >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(shard.astype(np.uint16) if self.shards < 1 << 16 else shard, kind="stable")  # ids rise with the places of their grams, so grams rise within a shard
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order), dtype=np.int32)
+        of = np.full(len(self.tokens), -1, np.int32)
+        of[at] = number[inverse]
+        return Grams(of, a[order], b[order], shard[order], n[order])
+
+    def asks(self, grams: Grams) -> pa.RecordBatch:
+        """A row per shard with what the block asks of it."""
+        cuts = np.flatnonzero(np.concatenate((grams.shard[:1] >= 0, grams.shard[1:] != grams.shard[:-1])))
+        ends = [*cuts[1:], len(grams.shard)]
+        columns = [pa.array(grams.shard[cuts], pa.int64()), pa.array(np.full(len(cuts), self.state["block"]), pa.int64())]
+        for pack, values in ((_rising, grams.a), (_pack, grams.b), (_pack, grams.n.astype(np.uint32))):
+            columns.append(pa.array([pack(values[i:j]) for i, j in zip(cuts, ends)], pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, ["shard", "block", "a", "b", "n"])
+
+    def answered(self, replies: pa.Table, lengths: int) -> Iterator[Grams]:
+        """The grams of all lengths that were asked for, then those of the next one, if there is one. Two lengths are held at once."""
+        grams = self.single()
+        for length in range(1, lengths + 1):
+            yield grams
+            mine = _of(replies, "a", length)
+            ids = [np.zeros(0, np.int64)]
+            for shard, pack in zip(mine.column("shard").to_pylist(), mine.column("a").to_pylist()):
+                steps = _unpack(pack, np.uint32).astype(np.int64)
+                ids.append(np.where(steps > 0, (shard << RANK_BITS) + np.cumsum(steps) - 1, -1))
+            ids = np.concatenate(ids)
+            if len(ids) != len(grams.a):
+                raise ValueError("a gram of a block has no reply")
+            if length <= DEPTH:
+                grams = self.longer(length + 1, grams, ids)
+        if lengths <= DEPTH:
+            yield grams
+
+
+def _of(replies: pa.Table, column: str, length: int) -> pa.Table:
+    """The replies on grams of a length that have a column, in the order of the grams."""
+    return replies.filter(pc.and_(pc.equal(replies.column("length"), length), pc.is_valid(replies.column(column)))).sort_by("shard")
+
+
+def _numbers(replies: pa.Table, column: str, length: int, kind: type) -> np.ndarray:
+    packs = _of(replies, column, length).column(column).to_pylist()
+    return np.concatenate([np.zeros(0, kind), *(_unpack(p, kind) for p in packs)])
+
+
+_REPLY = "length int, shard bigint, block bigint, a binary, n binary, total binary, entries binary"
+
+
+def _replies(counted: DataFrame, length: int, n: bool) -> DataFrame:
+    none = F.lit(None).cast("binary")
+    found = counted.where("block is not null")
+    return found.select(F.lit(length).alias("length"), "shard", "block", "a", F.col("n") if n else none.alias("n"), none.alias("total"), none.alias("entries"))
+
+
+def grams(state: DataFrame, before: list[DataFrame], shards: int, tokens: int, tables: Passing) -> DataFrame:
+    """The grams of the length after those in `before`, counted over all learned texts; stored.
+
+    A gram can be frequent only if both its parts are, which the replies to the shorter lengths tell, so each block asks once for every gram of which that holds, by shard of the gram.
+    A row with a block is the reply to it, in the order in which it asked: `a` ranks of frequent grams as steps (0: rare), `n` counts. A row without one is the shard's
+    frequent grams by rank, parts `a` and `b`, with counts; `words` is how many grams any learned text has.
+    """
+    ship(__name__)
+    length, lowest = len(before) + 1, min(least(LEAST_CONTEXT, tokens), least(LEAST_ENTRY, tokens))
 
+    def first(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block(row, shards)
+                yield block.asks(block.single())
 
-def grams(texts: DataFrame, tokens: int) -> DataFrame:
-    """`key, prefix, suffix, length, n, blocks` of every gram of up to DEPTH + 1 words that the learned texts have often enough, and the blocks that have it.
+    def later(rows, replies):
+        block = Block(rows.to_pylist()[0], shards)
+        return pa.Table.from_batches([block.asks(deque(block.answered(replies, length - 1), maxlen=1).pop())])
 
-    Prefix and suffix are the keys of the gram without its last and without its first word. Every part of a block sends each of its grams once,
-    packed by shard of the key, so one sort per shard counts them; nothing reaches the driver.
-    """
+    def count(table):
+        a = [_risen(p, np.uint64) for p in table.column("a").to_pylist()]
+        cuts = np.cumsum([len(x) for x in a])[:-1]
+        a = np.concatenate(a)
+        b = np.concatenate([_unpack(p, np.int64) for p in table.column("b").to_pylist()])
+        n = np.concatenate([_unpack(p, np.uint32) for p in table.column("n").to_pylist()]).astype(np.int64)
+        order = np.lexsort((b, a))
+        new = np.ones(len(a), bool)
+        new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+        total = np.add.reduceat(n[order], np.flatnonzero(new))
+        often = total >= lowest
+        rank = np.where(often, np.cumsum(often), 0).astype(np.uint32)
+        told = total if length == 1 else np.where(often, total, 0)
+        group = np.empty(len(a), np.int64)
+        group[order] = np.cumsum(new) - 1
+        one = order[np.flatnonzero(new)[often]]
+        rows = {"shard": table.column("shard")[:1].to_pylist() * (table.num_rows + 1), "block": [*table.column("block").to_pylist(), None]}
+        rows |= {"a": [], "b": [None] * table.num_rows, "n": [], "words": [None] * table.num_rows}
+        for mine in np.split(group, cuts):
+            steps = rank[mine]
+            steps[steps > 0] = np.diff(steps[steps > 0], prepend=np.uint32(0))
+            rows["a"].append(_pack(steps))
+            rows["n"].append(_pack(told[mine]))
+        for name, value in (("a", _rising(a[one])), ("b", _pack(b[one])), ("n", _pack(total[often])), ("words", int((total > 0).sum()))):
+            rows[name].append(value)
+        return pa.table(rows, schema)
+
+    schema = pa.schema([(c, pa.int64()) for c in ("shard", "block")] + [(c, pa.binary()) for c in ("a", "b", "n")] + [("words", pa.int64())])
+    asked = "shard bigint, block bigint, a binary, b binary, n binary"
+    if before:
+        replies = reduce(DataFrame.union, [_replies(c, k + 1, False) for k, c in enumerate(before)])
+        asks = state.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(later, asked)
+    else:
+        asks = state.mapInArrow(first, asked)
+    return tables.write(asks.groupBy("shard").applyInArrow(count, asked + ", words bigint"), f"grams-{length}")
+
+
+def frequent(counted: DataFrame) -> DataFrame:
+    """`key, prefix, suffix, n` of the frequent grams of one length; of single words prefix and suffix mean nothing."""
     ship(__name__)
-    lowest = min(least(LEAST_CONTEXT, tokens), least(LEAST_ENTRY, tokens))
-    shards = max(1, math.ceil(tokens * (DEPTH + 1) / SHARD_GRAMS))
 
     def run(batches):
         for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            learn = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-            bodies = batch.column("body").to_pylist()
-            part_of = np.cumsum([len(b) for b in bodies]) // PART_BYTES
-            for block, part in sorted(set(zip(blocks.tolist(), part_of.tolist()))):
-                mine = np.flatnonzero((blocks == block) & (part_of == part))
-                hashes, place, offsets = _words([bodies[i] for i in mine])
-                row = Row.of(hashes[place], offsets)
-                keys, weight, parts = row.grams(), learn[mine][row.text], []
-                for back, key in enumerate(keys):
-                    at = np.flatnonzero(row.at >= back)
-                    unique, first, of = np.unique(key[at], return_index=True, return_inverse=True)
-                    part = np.zeros(len(unique), _GRAM)
-                    part["key"], part["length"] = unique.view(np.int64), back + 1
-                    part["n"] = np.bincount(of, weight[at], len(unique))
-                    if back:
-                        part["prefix"] = keys[back - 1][at[first] - 1].view(np.int64)
-                        part["suffix"] = keys[back - 1][at[first]].view(np.int64)
-                    parts.append(part)
-                found = np.concatenate(parts)
-                shard = _shard(found["key"], shards)
-                order = np.argsort(shard, kind="stable")
-                found, shard = found[order], shard[order]
-                cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
-                packs = [p.tobytes() for p in np.split(found, cuts[1:])]
-                columns = [pa.array(shard[cuts]), pa.array(np.full(len(cuts), block)), pa.array(packs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "pack"])
+            for row in batch.to_pylist():
+                prefix = _risen(row["a"], np.uint64).view(np.int64)
+                key = (row["shard"] << RANK_BITS) + np.arange(len(prefix))
+                columns = [key, prefix, _unpack(row["b"], np.int64), _unpack(row["n"], np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "prefix", "suffix", "n"])
 
-    def count(table):
-        packs = [np.frombuffer(p, _GRAM) for p in table.column("pack").to_pylist()]
-        block = np.repeat(table.column("block").to_numpy(), [len(p) for p in packs])
-        found = np.concatenate(packs)
-        order = np.lexsort((block, np.ascontiguousarray(found["key"])))
-        found, block = found[order], block[order]
-        new = np.concatenate(([True], found["key"][1:] != found["key"][:-1]))
-        once = new | np.concatenate(([True], block[1:] != block[:-1]))  # a block comes in several parts
-        first = np.flatnonzero(new)
-        n = np.add.reduceat(found["n"].astype(np.int64), first)
-        size = np.add.reduceat(once.astype(np.int64), first)
-        often = n >= lowest
-        lists = np.concatenate(([0], np.cumsum(size[often])))
-        stay = once & often[np.cumsum(new) - 1]
-        one = found[first[often]]
-        columns = [pa.array(np.ascontiguousarray(one[c])) for c in ("key", "prefix", "suffix")]
-        columns += [pa.array(one["length"].astype(np.int32)), pa.array(n[often])]
-        columns.append(pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(block[stay])))
-        return pa.Table.from_arrays(columns, ["key", "prefix", "suffix", "length", "n", "blocks"])
-
-    asked = texts.select("block", "held_out", "body").mapInArrow(run, "shard bigint, block bigint, pack binary")
-    schema = "key bigint, prefix bigint, suffix bigint, length int, n bigint, blocks array<bigint>"
-    return stored(asked.groupBy("shard").applyInArrow(count, schema), "grams")
-
-
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((np.ascontiguousarray(keys).view(np.uint64) >> np.uint64(11)) % np.uint64(shards)).astype(np.int64)
-
-
-def tree(counted: DataFrame, tokens: int, distinct: int) -> DataFrame:
-    """`key, rest` of the retained contexts, with the occurrences `seen`: tested by joins with the table of their suffixes, from short to long.
-
-    A context's own share of a token is its discounted count; the rest goes to its suffix, so the chances of all tokens sum to one. Its divergence is what it saves
-    against the suffix on the tokens counted after it. That is negative for contexts that say nothing new. What passes stays, with all its suffixes.
+    return counted.where("block is null").drop("block", "words").mapInArrow(run, "key bigint, prefix bigint, suffix bigint, n bigint")
+
+
+def tree(counted: list[DataFrame], tokens: int, distinct: int, tables: Passing) -> list[DataFrame]:
+    """For each length of contexts `key, total, entries` of the retained ones: tested by joins with the table of their suffixes, from short to long.
+
+    `entries` is the number of tokens counted after a context, `total` the sum of their counts. A context's own share of a token is its discounted count; the rest goes to its
+    suffix, so the chances of all tokens sum to one. Its divergence is what it saves against the suffix on the tokens counted after it. That is negative for contexts that say
+    nothing new. What passes stays, with all its suffixes.
     """
-    rows = counted.select("key", "prefix", "suffix", "length", "n")
-    below = rows.where("length = 1").select("key", ((F.col("n") + 0.5) / (tokens + 0.5 * (distinct + 1))).alias("chance"))
-    tested = []
+    n, seen = F.col("n"), F.col("seen")
+    below = frequent(counted[0]).select("key", ((n + 0.5) / (tokens + 0.5 * (distinct + 1))).alias("chance"))
+    tested, passed = [], []
     for depth in range(1, DEPTH + 1):
-        contexts = rows.where((F.col("length") == depth) & (F.col("n") >= least(LEAST_CONTEXT, tokens)))
-        contexts = contexts.select(F.col("key").alias("prefix"), F.col("n").alias("seen"), F.col("suffix").alias("shorter"))
-        entries = rows.where((F.col("length") == depth + 1) & (F.col("n") >= least(LEAST_ENTRY, tokens))).drop("length")
-        entries = entries.join(contexts, "prefix").withColumn("share", F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("seen"))
-        entries = stored(entries.join(below.select(F.col("key").alias("suffix"), F.col("chance").alias("old")), "suffix"), f"entries-{depth}")
-        rests = entries.groupBy("prefix").agg((1 - F.sum("share")).alias("rest"))
-        chances = entries.join(rests, "prefix").withColumn("chance", F.col("share") + F.col("rest") * F.col("old"))
-        own = F.col("n") / F.col("seen")
-        sums = chances.groupBy("prefix").agg(
-            F.first("rest").alias("rest"),
-            F.first("seen").alias("seen"),
-            F.first("shorter").alias("shorter"),
-            F.sum(own * F.log(F.col("chance") / F.col("old"))).alias("saved"),
-            F.greatest(1 - F.sum(own), F.lit(0.0)).alias("other"),
-        )
-        gain = F.col("saved") + F.col("other") * F.log("rest")
-        tested.append(stored(sums.select(F.col("prefix").alias("key"), "shorter", "rest", "seen", (gain >= LEAST_DIVERGENCE).alias("good")), f"contexts-{depth}"))
-        if depth < DEPTH:
-            below = stored(chances.select("key", "chance"), f"chances-{depth}")
+        entries = frequent(counted[depth]).where(n >= least(LEAST_ENTRY, tokens))
+        old = below.select(F.col("key").alias("suffix"), F.col("chance").alias("old"))
+        entries = tables.write(entries.join(old.hint("shuffle_hash"), "suffix").select("key", "prefix", "n", "old"), f"entries-{depth}")
+        contexts = frequent(counted[depth - 1]).where(n >= least(LEAST_CONTEXT, tokens))
+        contexts = contexts.select(F.col("key").alias("prefix"), n.alias("seen"), F.col("suffix").alias("shorter"))
+        sums = entries.groupBy("prefix").agg(F.sum("n").alias("total"), F.count("*").alias("entries"))
+        sums = tables.write(contexts.join(sums.hint("shuffle_hash"), "prefix"), f"sums-{depth}")
+        rest = (seen - F.col("total") + DISCOUNT * F.col("entries")) / seen
+        found = entries.join(sums.select("prefix", "seen", "total", "entries").hint("shuffle_hash"), "prefix").withColumn("chance", (n - DISCOUNT) / seen + rest * F.col("old"))
+        found = tables.write(found.select("key", "prefix", "chance", (n * F.log(F.col("chance") / F.col("old"))).alias("saved")), f"chances-{depth}")
+        saved = found.groupBy("prefix").agg(F.sum("saved").alias("saved"))
+        other = F.greatest(1 - F.col("total") / seen, F.lit(0.0))
+        gain = F.col("saved") / seen + other * F.log(rest)
+        good = sums.join(saved.hint("shuffle_hash"), "prefix").select(F.col("prefix").alias("key"), "shorter", "total", "entries", (gain >= LEAST_DIVERGENCE).alias("good"))
+        tested.append(tables.write(good, f"contexts-{depth}"))
+        below = found.select("key", "chance")
+        tables.drop(entries, sums, *passed)
+        passed = [found]
+    tables.drop(*passed)
     kept, longer = [], None
-    for table in reversed(tested):
+    for depth in range(DEPTH, 0, -1):
+        table = tested[depth - 1]
         if longer is not None:
             needed = longer.select(F.col("shorter").alias("key")).distinct().withColumn("needed", F.lit(True))
-            table = table.join(needed, "key", "left").withColumn("good", F.col("good") | F.coalesce("needed", F.lit(False)))
-        longer = table.where("good").select("key", "shorter", "rest", "seen")
-        kept.append(longer)
-    return stored(reduce(DataFrame.union, kept).select("key", "rest", "seen"), "tree")
-
-
-def replies(counted: DataFrame, kept: DataFrame, tokens: int) -> DataFrame:
-    """`block, key, share, rest`: what each block needs of the tree. The share is that of the gram's last word after the others, the rest that of the gram as a context."""
-    above = kept.select(F.col("key").alias("prefix"), F.col("seen"))
-    found = counted.join(kept.select("key", "rest"), "key", "left").join(above, "prefix", "left")
-    share = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("seen")
-    found = found.withColumn("share", F.when((F.col("length") > 1) & (F.col("n") >= least(LEAST_ENTRY, tokens)), share))
-    found = found.where("rest is not null or share is not null")
-    return found.select(F.explode("blocks").alias("block"), "key", "share", "rest")
-
+            table = table.join(needed.hint("shuffle_hash"), "key", "left").withColumn("good", F.col("good") | F.coalesce("needed", F.lit(False)))
+        longer = tables.write(table.where("good").select("key", "shorter", "total", "entries"), f"tree-{depth}")
+        kept.insert(0, longer)
+    tables.drop(*tested)
+    return kept
 
-def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each wanted key is, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
 
+def rests(counted: DataFrame, kept: DataFrame, length: int) -> DataFrame:
+    """To every block that asked for grams of a length, `total` and `entries` of those that are retained contexts (0: not retained), in the order in which it asked."""
+    ship(__name__)
 
-def chances(row: Row, places: np.ndarray, base: np.ndarray, keys: np.ndarray, share: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Chance of the token at each place after its longest retained context; `base` has it without context. Shares and rests that are not there are NaN."""
-    chance, open_, codes = base.copy(), np.arange(len(places)), [k.view(np.int64) for k in row.grams()]
-    for depth in range(1, DEPTH + 1):
-        open_ = open_[row.at[places[open_]] >= depth]
-        at, there = _place(keys, codes[depth - 1][places[open_] - 1])
-        there[there] = ~np.isnan(rest[at[there]])
-        open_, at = open_[there], at[there]
-        where, own = _place(keys, codes[depth][places[open_]])
-        own[own] = ~np.isnan(share[where[own]])
-        chance[open_] *= rest[at]
-        chance[open_[own]] += share[where[own]]
-    return chance
+    def run(asked, given):
+        rank = given.column("key").to_numpy() & ((1 << RANK_BITS) - 1)
+        found = []
+        for shard, block, pack in zip(*(asked.column(c).to_pylist() for c in ("shard", "block", "a"))):
+            steps = _unpack(pack, np.uint32)
+            there = steps > 0
+            mine = np.cumsum(steps, dtype=np.int64)[there] - 1
+            row = [length, shard, block, None, None]
+            for column in ("total", "entries"):
+                of = np.zeros(1 + max(mine.max(initial=0), rank.max(initial=0)), np.int64)
+                of[rank] = given.column(column).to_numpy()
+                told = np.zeros(len(steps), np.int64)
+                told[there] = of[mine]
+                row.append(_pack(told))
+            found.append(row)
+        names = [c.split()[0] for c in _REPLY.split(", ")]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.Table.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names)
+
+    asked = counted.where("block is not null").select("shard", "block", "a")
+    given = kept.select(F.shiftright("key", RANK_BITS).alias("shard"), "key", "total", "entries")
+    return asked.groupBy("shard").cogroup(given.groupBy("shard")).applyInArrow(run, _REPLY)
+
+
+def chances(block: Block, replies: pa.Table, of_words: Callable[[np.ndarray], np.ndarray], lowest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place of a block the learned count of its word, its chance without context (by counts, given), and that after its longest retained context."""
+    depth, context = 0, None
+    for grams in block.answered(replies, DEPTH + 1):
+        own, n = grams.of, _numbers(replies, "n", depth + 1, np.int64)
+        if not depth:
+            seen = n[own]
+            base = of_words(seen)
+            chance, open_ = base.copy(), np.flatnonzero(block.at > 0).astype(np.int32)
+        else:
+            total, entries = (_numbers(replies, c, depth, np.int64) for c in ("total", "entries"))
+            before = context[open_ - 1]
+            kept = (block.at[open_] >= depth) & (before >= 0)
+            kept[kept] = entries[before[kept]] > 0
+            open_, before = open_[kept], before[kept]
+            chance[open_] *= ((times - total + DISCOUNT * entries) / np.maximum(times, 1))[before]
+            now = own[open_]
+            there = now >= 0
+            there[there] = n[now[there]] >= lowest
+            chance[open_[there]] += (n[now[there]] - DISCOUNT) / times[before[there]]
+        depth, context, times = depth + 1, own, n
+    return seen, base, chance
 
 
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -295,50 +399,37 @@ def score(docs: DataFrame) -> DataFrame:
     `base_score` is the log10 probability of a text's words and its end by smoothed counts of the learned documents alone, `score` that by the
     tree, whose root they are. Repeated rows are scored, and learned from, each. Without learned documents all tokens are unknown.
     """
-    texts = prepared(docs)
-    counts = stored(word_counts(texts), "word-counts")
-    known = counts.where("first and c > 0").agg(F.count("*").alias("words"), F.coalesce(F.sum("c"), F.lit(0)).alias("all")).first()
-    ends = texts.where("not held_out").count()
-    tokens, distinct = known["all"] + ends, known["words"] + int(ends > 0)
-    counted = grams(texts, tokens)
-    model = replies(counted, tree(counted, tokens, distinct), tokens)
-
-    def run(rows, given):
-        bodies = rows.column("body").to_pylist()
-        hashes, place, offsets = _words(bodies)
-        of_tree = given.column("c").is_null().to_numpy()
-        key, c = given.column("key").to_numpy(), given.column("c").fill_null(0).to_numpy()
-        word, c = key[~of_tree], c[~of_tree]
-        if len(hashes):
-            order = np.argsort(word)
-            at = order[np.minimum(np.searchsorted(word, hashes, sorter=order), len(word) - 1)]
-            if (word[at] != hashes).any():
-                raise ValueError("a word of a block has no count")
-            c = c[at]
-        row = Row.of(hashes[place], offsets)
-        places = np.flatnonzero(row.at > 0)
-        lengths = np.diff(offsets) + 1
-        starts = np.cumsum(lengths) - lengths
-        seen = np.full(len(places), ends, np.int64)
-        word_here = np.ones(len(places), bool)
-        word_here[starts + lengths - 1] = False
-        seen[word_here] = c[place] if len(place) else 0
-        base = (seen + 0.5) / (tokens + 0.5 * (distinct + 1))
-        key, first = np.unique(key[of_tree], return_index=True)
-        share, rest = (given.column(n).to_numpy()[of_tree][first].astype(np.float64) for n in ("share", "rest"))
-        chance = chances(row, places, base, key, share, rest)
+    tables = Passing(docs.sparkSession)
+    state = prepared(docs, tables)
+    sums = state.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "learned", "ends"))).first()
+    ends, tokens = sums["ends"], sums["learned"] + sums["ends"]
+    shards = max(1, math.ceil(sums["total"] / SHARD_WORDS))
+    counted = []
+    for _ in range(DEPTH + 1):
+        counted.append(grams(state, counted, shards, tokens, tables))
+    distinct = (counted[0].agg(F.sum("words")).first()[0] or 0) - int(ends > 0)  # the start is no token
+    kept = tree(counted, tokens, distinct, tables)
+    told = [tables.write(rests(counted[k], kept[k], k + 1), f"rests-{k + 1}") for k in range(DEPTH)]
+    tables.drop(*kept)
+    lowest = least(LEAST_ENTRY, tokens)
+
+    def run(rows, replies):
+        block = Block(rows.to_pylist()[0], shards)
+        seen, base, chance = chances(block, replies, lambda c: (c + 0.5) / (tokens + 0.5 * (distinct + 1)), lowest)
+        starts = np.flatnonzero(block.at == 0)
+        base[starts] = chance[starts] = 1.0
+        seen[starts] = 0
+        size = np.array(block.state["size"], np.int64)
         columns = [
-            rows.column("doc_id"),
-            rows.column("held_out"),
-            pa.array(lengths.astype(np.int64)),
+            pa.array(block.state["doc_id"], pa.int64()),
+            pa.array(block.state["held_out"], pa.bool_()),
+            pa.array(size + 1),
             pa.array(np.add.reduceat((seen > 0).astype(np.int64), starts)),
             pa.array(np.add.reduceat(np.log10(base), starts)),
             pa.array(np.add.reduceat(np.log10(chance), starts)),
         ]
         return pa.Table.from_arrays(columns, [c.split()[0] for c in _SCORED.split(", ")])
 
-    nothing = F.lit(None).cast("double")
-    given = counts.select("block", F.col("word").alias("key"), "c", nothing.alias("share"), nothing.alias("rest"))
-    given = given.union(model.select("block", "key", F.lit(None).cast("bigint").alias("c"), "share", "rest"))
-    together = texts.groupBy("block").cogroup(given.groupBy("block"))
+    replies = reduce(DataFrame.union, [*(_replies(c, k + 1, True) for k, c in enumerate(counted)), *told])
+    together = state.groupBy("block").cogroup(replies.groupBy("block"))
     return together.applyInArrow(run, _SCORED).withColumn("train_tokens", F.lit(tokens).cast("bigint"))

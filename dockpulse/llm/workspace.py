@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockpulse.session import shared_dir
+from dockpulse.streaming import store
 
 # The white space that separates words, as the inside of a character class.
 SPACE = r"\x20\x09-\x0D"
@@ -33,6 +34,35 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+class Passing:
+    """Tables of one run whose operator says itself when it has read them for the last time.
+
+    The shuffle files of a table go once it is written, the table when it is dropped, so what a run of many steps has on disk at once is what its steps still read.
+    """
+
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, frame: DataFrame, name: str) -> DataFrame:
+        """As `stored`. The frame is evaluated here alone."""
+        path, before = folder(self.spark, name), self.spark.conf.get(self.CLEAN, "false")
+        self.spark.conf.set(self.CLEAN, "true")
+        try:
+            frame.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEAN, before)
+        table = self.spark.read.schema(frame.schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more, results that are still to be computed included."""
+        for table in tables:
+            store.remove(self.spark, self.paths.pop(id(table))[1])
+
+
 def numbered(docs: DataFrame, name: str, **more: Column) -> DataFrame:
     """Stored rows `uid`, `row` (all columns of `docs`, whatever their names) and further columns.
 

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from dockpulse.llm import suffix_tree
+from dockpulse.llm import suffix_tree, workspace
 
 START, END = "<start>", "<end>"
 
@@ -160,3 +160,27 @@ def test_counts_needed_do_not_rise_with_the_corpus(spark):
     docs = spark.createDataFrame([*rows, (held, "alpha beta gamma")], "doc_id bigint, text string")
     (found,) = [r for r in suffix_tree.score(docs).collect() if r.held_out]
     assert found.score > found.base_score + 5
+
+
+def test_what_a_run_keeps_on_disk(spark, monkeypatch, tmp_path):
+    """Only what the result is still to be computed from is left; tables and shuffle files of steps that are over are gone."""
+    monkeypatch.setattr(workspace, "shared_dir", lambda _: str(tmp_path))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = suffix_tree.score(docs)
+    left = {re.sub(r"-[0-9a-f]{32}$", "", p.name) for p in tmp_path.glob("llm/*")}
+    assert left == {"blocks", *(f"grams-{k}" for k in range(1, suffix_tree.DEPTH + 2)), *(f"rests-{k}" for k in range(1, suffix_tree.DEPTH + 1))}
+    assert found.count() == docs.count()
+
+
+def test_a_gram_is_asked_for_in_a_few_bytes():
+    """Pairs of a block of random words, most of them different, take less than 8 bytes each; with key, prefix, suffix and count they took 29."""
+    rng = np.random.default_rng(1)
+    words = np.sort(rng.integers(0, 1 << 62, 2000).astype(np.uint64))
+    place = rng.integers(0, 2000, 100_000).astype(np.uint32)
+    row = {"block": 0, "size": [50_000, 50_000], "held_out": [False, True], "words": suffix_tree._pack(words), "place": suffix_tree._pack(place)}
+    block = suffix_tree.Block(row, 4)
+    single = block.single()
+    pairs = block.longer(2, single, np.arange(len(single.a)) + (3 << suffix_tree.RANK_BITS))
+    assert len(pairs.a) > 90_000
+    assert block.asks(pairs).nbytes < 8 * len(pairs.a)
+    assert block.asks(pairs).column("shard").to_pylist() == [0, 1, 2, 3]
