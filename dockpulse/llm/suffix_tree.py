@@ -31,9 +31,13 @@ DISCOUNT = 0.75
 # A block ends after this many rows, or once its texts have this many bytes: what one task holds of texts and replies does not grow with the length of texts.
 BLOCK_ROWS = 4096
 BLOCK_BYTES = 16 << 20
+# Places of a block that are scored at once, about.
+PLACES = 1 << 17
 
 # Words of the corpus for one shard of the grams of one length, about; the number of shards grows with the corpus.
 SHARD_WORDS = 2_000_000
+# Shards in a part. A task of the divergence test has the frequent grams of a part at once; parts ask each other, so with fewer shards in each there is more to send.
+PART_SHARDS = 4
 # The id of a frequent gram: its shard, then from this bit on its rank among the shard's frequent grams.
 RANK_BITS = 32
 
@@ -52,15 +56,19 @@ def normalised(text: str | None) -> bytes:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers as compressed planes of bytes, with their number; small or rising ones (as differences) take little."""
+    """Numbers as compressed planes of bytes, with their number; small or rising whole ones (as differences) take few planes."""
+    if values.dtype.kind != "f":
+        values = values.view(f"u{values.itemsize}")
+        values = values.astype(np.min_scalar_type(values.max(initial=0)), copy=False)
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
-    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return len(values).to_bytes(7, "little") + bytes([values.itemsize]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(pack: bytes, kind: type) -> np.ndarray:
-    n, width = int.from_bytes(pack[:8], "little"), np.dtype(kind).itemsize
-    planes = pa.decompress(pack[8:], decompressed_size=n * width, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).reshape(-1).view(kind)
+    n, width = int.from_bytes(pack[:7], "little"), pack[7]
+    planes = np.frombuffer(pa.decompress(pack[8:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(width, n).T).reshape(-1)
+    return values.view(kind) if width == np.dtype(kind).itemsize else values.view(f"u{width}").astype(kind)
 
 
 def _rising(values: np.ndarray) -> bytes:
@@ -76,7 +84,7 @@ def _words(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lists = pc.split_pattern(pa.array([b or None for b in bodies], pa.large_string()), " ")
     coded = lists.values.dictionary_encode()
     of = xxhash.xxh64_intdigest
-    hashes = np.array([of(w) for w in coded.dictionary.to_pylist()], np.uint64).view(np.int64)
+    hashes = np.fromiter(map(of, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(coded.dictionary)).view(np.int64)
     return hashes, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy()
 
 
@@ -125,7 +133,7 @@ def least(value: float, tokens: int) -> float:
 
 @dataclass
 class Grams:
-    """The grams of one length in a block: the one that ends at each place (-1: none), and of each its two parts, shard and learned count, by shard and parts.
+    """The grams of one length in a block: the one that ends at each place (-1: none), and of each its two parts and shard, by shard and parts.
 
     A gram of one word is its hash; a longer one the ids of the grams without its last and without its first word. Only if both are frequent can it be.
     """
@@ -134,7 +142,27 @@ class Grams:
     a: np.ndarray
     b: np.ndarray
     shard: np.ndarray
-    n: np.ndarray
+
+
+def _alike(number: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Equal pairs among those of the numbers at some places and the ones before: first and second of the distinct pairs, rising; all places, by pair; where each pair's places begin."""
+    bits, places = int(number.max(initial=0)).bit_length(), len(number).bit_length()
+    pair = number[at - 1].astype(np.int64)
+    pair <<= bits
+    pair |= number[at]
+    if 2 * bits + places < 64:  # pair and place in one number: sorted as it is, which takes a fifth of the time of an order
+        pair <<= places
+        pair |= at
+        del at
+        pair.sort()
+        at = (pair & ((1 << places) - 1)).astype(np.int32)
+        pair >>= places
+    else:
+        order = np.argsort(pair)
+        pair, at = pair[order], at[order]
+    begins = np.append(np.zeros(min(len(pair), 1), np.int64), np.flatnonzero(pair[1:] != pair[:-1]) + 1)
+    distinct = pair[begins]
+    return distinct >> bits, distinct & ((1 << bits) - 1), at, begins
 
 
 class Block:
@@ -158,31 +186,39 @@ class Block:
 
     def single(self) -> Grams:
         shard = ((self.words >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
-        n = np.bincount(self.tokens, self.learn, len(self.words)).astype(np.int64)
-        return Grams(self.tokens, self.words.view(np.int64), np.zeros(len(self.words), np.int64), shard, n)
+        return Grams(self.tokens, self.words.view(np.int64), np.zeros(len(self.words), np.int64), shard)
 
     def longer(self, length: int, shorter: Grams, ids: np.ndarray) -> Grams:
         """The grams of a length both of whose parts are frequent; `ids` are those of the shorter ones, -1 for rare ones."""
-        frequent = (shorter.of >= 0) & np.append(ids >= 0, False)[shorter.of]
-        at = np.flatnonzero(frequent[1:] & frequent[:-1] & (self.at[1:] >= length - 1)) + 1
-        code, inverse = np.unique(shorter.of[at - 1] * np.int64(len(ids)) + shorter.of[at], return_inverse=True)
-        n = np.bincount(inverse, self.learn[at], len(code)).astype(np.int64)
-        a, b = ids[code // len(ids)], ids[code % len(ids)]
+        often = ids >= 0
+        number = np.append(np.where(often, np.cumsum(often) - 1, -1), -1).astype(np.int32)[shorter.of]
+        known = number >= 0
+        known[1:] &= known[:-1] & (self.at[1:] >= length - 1)
+        known[:1] = False
+        first, second, at, begins = _alike(number, np.flatnonzero(known).astype(np.int32))
+        del number, known
+        a, b = ids[often][first], ids[often][second]
+        del first, second
         mixed = (a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
         shard = ((mixed >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
+        del mixed
         order = np.argsort(shard.astype(np.uint16) if self.shards < 1 << 16 else shard, kind="stable")  # ids rise with the places of their grams, so grams rise within a shard
-        number = np.empty(len(order), np.int32)
-        number[order] = np.arange(len(order), dtype=np.int32)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         of = np.full(len(self.tokens), -1, np.int32)
-        of[at] = number[inverse]
-        return Grams(of, a[order], b[order], shard[order], n[order])
+        of[at] = np.repeat(rank, np.diff(begins, append=len(at)))
+        del at, begins, rank
+        a = a[order]
+        b = b[order]
+        return Grams(of, a, b, shard[order])
 
     def asks(self, grams: Grams) -> pa.RecordBatch:
-        """A row per shard with what the block asks of it."""
+        """A row per shard with what the block asks of it: parts of grams, and how often the block has learned them."""
+        n = np.bincount(grams.of[self.learn & (grams.of >= 0)], minlength=len(grams.a)).astype(np.uint32)
         cuts = np.flatnonzero(np.concatenate((grams.shard[:1] >= 0, grams.shard[1:] != grams.shard[:-1])))
         ends = [*cuts[1:], len(grams.shard)]
         columns = [pa.array(grams.shard[cuts], pa.int64()), pa.array(np.full(len(cuts), self.state["block"]), pa.int64())]
-        for pack, values in ((_rising, grams.a), (_pack, grams.b), (_pack, grams.n.astype(np.uint32))):
+        for pack, values in ((_rising, grams.a), (_pack, grams.b), (_pack, n)):
             columns.append(pa.array([pack(values[i:j]) for i, j in zip(cuts, ends)], pa.binary()))
         return pa.RecordBatch.from_arrays(columns, ["shard", "block", "a", "b", "n"])
 
@@ -199,6 +235,7 @@ class Block:
             ids = np.concatenate(ids)
             if len(ids) != len(grams.a):
                 raise ValueError("a gram of a block has no reply")
+            grams.a = grams.b = grams.shard = None  # only the places of shorter grams are still needed
             if length <= DEPTH:
                 grams = self.longer(length + 1, grams, ids)
         if lengths <= DEPTH:
@@ -224,6 +261,22 @@ def _replies(counted: DataFrame, length: int, n: bool) -> DataFrame:
     return found.select(F.lit(length).alias("length"), "shard", "block", "a", F.col("n") if n else none.alias("n"), none.alias("total"), none.alias("entries"))
 
 
+def _by_parts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of grams by their parts, and where in it another gram begins."""
+    low = np.uint64((1 << RANK_BITS) - 1)
+    ranks, shards = (int((b & low).max(initial=0)).bit_length(), int((b >> np.uint64(RANK_BITS)).max(initial=0)).bit_length())
+    short = ranks + shards
+    if int(a.max(initial=0)) >> RANK_BITS << RANK_BITS and short:
+        most = int((a & low).max(initial=0)).bit_length()
+        a = a >> np.uint64(RANK_BITS) << np.uint64(most) | a & np.uint64((1 << most) - 1)
+    if int(a.max(initial=0)).bit_length() + short <= 64:
+        one = a << np.uint64(short) | b >> np.uint64(RANK_BITS) << np.uint64(ranks) | b & low if short else a
+        order = np.argsort(one)
+        return order, np.append(True, np.diff(one[order]) != 0)
+    order = np.lexsort((b, a))
+    return order, np.append(True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0))
+
+
 def grams(state: DataFrame, before: list[DataFrame], shards: int, tokens: int, tables: Passing) -> DataFrame:
     """The grams of the length after those in `before`, counted over all learned texts; stored.
 
@@ -250,9 +303,7 @@ def grams(state: DataFrame, before: list[DataFrame], shards: int, tokens: int, t
         a = np.concatenate(a)
         b = np.concatenate([_unpack(p, np.int64) for p in table.column("b").to_pylist()])
         n = np.concatenate([_unpack(p, np.uint32) for p in table.column("n").to_pylist()]).astype(np.int64)
-        order = np.lexsort((b, a))
-        new = np.ones(len(a), bool)
-        new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+        order, new = _by_parts(a, b.view(np.uint64))
         total = np.add.reduceat(n[order], np.flatnonzero(new))
         often = total >= lowest
         rank = np.where(often, np.cumsum(often), 0).astype(np.uint32)
@@ -281,60 +332,148 @@ def grams(state: DataFrame, before: list[DataFrame], shards: int, tokens: int, t
     return tables.write(asks.groupBy("shard").applyInArrow(count, asked + ", words bigint"), f"grams-{length}")
 
 
-def frequent(counted: DataFrame) -> DataFrame:
-    """`key, prefix, suffix, n` of the frequent grams of one length; of single words prefix and suffix mean nothing."""
-    ship(__name__)
+class Part:
+    """The frequent grams of one length in the shards of a part, in the order of their ids, and what else is known of each."""
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                prefix = _risen(row["a"], np.uint64).view(np.int64)
-                key = (row["shard"] << RANK_BITS) + np.arange(len(prefix))
-                columns = [key, prefix, _unpack(row["b"], np.int64), _unpack(row["n"], np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "prefix", "suffix", "n"])
+    def __init__(self, own: pa.Table):
+        own = own.sort_by("shard")
+        shards = own.column("shard").to_numpy()
+        rows = [[_risen(a, np.uint64).view(np.int64) for a in own.column("a").to_pylist()], [_unpack(b, np.int64) for b in own.column("b").to_pylist()]]
+        self.a, self.b, self.n = (np.concatenate(r) for r in [*rows, [_unpack(n, np.int64) for n in own.column("n").to_pylist()]])
+        self.part, self.shards, self.starts = own.column("part")[0].as_py(), shards.tolist(), np.zeros(PART_SHARDS, np.int64)
+        self.ends = np.cumsum([len(a) for a in rows[0]]).tolist()
+        self.starts[shards - self.part * PART_SHARDS] = [0, *self.ends[:-1]]
+
+    def at(self, ids: np.ndarray) -> np.ndarray:
+        """The places of grams of this part."""
+        return self.starts[(ids >> RANK_BITS) - self.part * PART_SHARDS] + (ids & ((1 << RANK_BITS) - 1))
+
+    def entries(self, lowest: float) -> tuple[np.ndarray, ...]:
+        """The places of grams that count as a token after a context; the distinct contexts and suffixes of these, by id, and which of them each has."""
+        of = np.flatnonzero(self.n >= lowest)
+        return of, *np.unique(self.a[of], return_inverse=True), *np.unique(self.b[of], return_inverse=True)
+
+    def sums(self, told: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each gram, as a context, the sum of the counts after it and their number, from what the parts of its entries tell."""
+        total, entries = np.zeros(len(self.n), np.int64), np.zeros(len(self.n), np.int64)
+        for row in told:
+            at = self.at(_risen(row["prefix"], np.int64))
+            total[at] += _unpack(row["total"], np.int64)
+            entries[at] += _unpack(row["entries"], np.int64)
+        return total, entries
 
-    return counted.where("block is null").drop("block", "words").mapInArrow(run, "key bigint, prefix bigint, suffix bigint, n bigint")
+
+_TOLD = "kind string, part bigint, other bigint, prefix binary, suffix binary, seen binary, total binary, entries binary, value binary"
+
+
+def _told(rows: list[dict]) -> pa.Table:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+    return pa.Table.from_pylist(rows, pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _TOLD.split(", ")]))
+
+
+def _kind(told: pa.Table, kind: str) -> list[dict]:
+    """What is told of one kind, by the part that tells it."""
+    return told.filter(pc.equal(told.column("kind"), kind)).sort_by("other").to_pylist()
+
+
+def _by_owner(*ids: np.ndarray) -> Iterator[tuple[int, list[slice]]]:
+    """Each part that has any of some rising ids, with which of them it has."""
+    parts = [(i >> RANK_BITS) // PART_SHARDS for i in ids]
+    for owner in np.unique(np.concatenate([p[np.flatnonzero(np.diff(p, prepend=-1))] for p in parts])).tolist():
+        yield owner, [slice(*np.searchsorted(p, (owner, owner + 1)).tolist()) for p in parts]
+
+
+def _rest(seen: np.ndarray, total: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """The share that contexts leave to their suffixes; `seen` is 0 for what is no candidate."""
+    return np.where(seen > 0, (seen - total + DISCOUNT * entries) / np.maximum(seen, 1), 1.0)
 
 
 def tree(counted: list[DataFrame], tokens: int, distinct: int, tables: Passing) -> list[DataFrame]:
-    """For each length of contexts `key, total, entries` of the retained ones: tested by joins with the table of their suffixes, from short to long.
+    """For each length of contexts `kind, other, total, entries`; those of kind `kept` have the shard as `other` and say of each of its frequent grams, by rank, 0 if it is not retained.
 
     `entries` is the number of tokens counted after a context, `total` the sum of their counts. A context's own share of a token is its discounted count; the rest goes to its
     suffix, so the chances of all tokens sum to one. Its divergence is what it saves against the suffix on the tokens counted after it. That is negative for contexts that say
     nothing new. What passes stays, with all its suffixes.
+
+    From short to long, the part that has the entries asks the parts that have their contexts and suffixes, once for each of these; and tells what its entries save.
     """
-    n, seen = F.col("n"), F.col("seen")
-    below = frequent(counted[0]).select("key", ((n + 0.5) / (tokens + 0.5 * (distinct + 1))).alias("chance"))
-    tested, passed = [], []
+    ship(__name__)
+    least_context, least_entry = least(LEAST_CONTEXT, tokens), least(LEAST_ENTRY, tokens)
+
+    def ask(own):
+        part = Part(own)
+        of, prefix, after, suffix, _ = part.entries(least_entry)
+        entries = np.bincount(after, minlength=len(prefix))
+        total = np.bincount(after, part.n[of], len(prefix)).astype(np.int64)
+        rows = []
+        for owner, (p, s) in _by_owner(prefix, suffix):
+            row = {"kind": "ask", "part": owner, "other": part.part, "prefix": _rising(prefix[p]), "suffix": _rising(suffix[s])}
+            rows.append(row | {"total": _pack(total[p]), "entries": _pack(entries[p])})
+        return _told(rows)
+
+    def answer(own, told):
+        part, asks, chance = Part(own), _kind(told, "ask"), _kind(told, "chance")
+        chance = _unpack(chance[0]["value"], np.float64) if chance else (part.n + 0.5) / (tokens + 0.5 * (distinct + 1))
+        total, entries = part.sums(asks)
+        seen = np.where((part.n >= least_context) & (entries > 0), part.n, 0)
+        rows = []
+        for row in asks:
+            at, value = part.at(_risen(row["prefix"], np.int64)), chance[part.at(_risen(row["suffix"], np.int64))]
+            row = {"kind": "answer", "part": row["other"], "other": part.part, "seen": _pack(seen[at]), "total": _pack(total[at])}
+            rows.append(row | {"entries": _pack(entries[at]), "value": _pack(value)})
+        return _told(rows)
+
+    def learn(own, told):
+        part, told = Part(own), _kind(told, "answer")
+        of, prefix, after, suffix, shorter = part.entries(least_entry)
+        seen, total, entries = (np.concatenate([np.zeros(0, np.int64), *(_unpack(r[c], np.int64) for r in told)]) for c in ("seen", "total", "entries"))
+        old = np.concatenate([np.zeros(0), *(_unpack(r["value"], np.float64) for r in told)])
+        if (len(seen), len(old)) != (len(prefix), len(suffix)):
+            raise ValueError("an entry has no answer on its context or suffix")
+        n, old, candidate = part.n[of], old[shorter], seen[after] > 0
+        own_chance = np.where(candidate, (n - DISCOUNT) / np.maximum(seen, 1)[after] + _rest(seen, total, entries)[after] * old, np.nan)
+        saved = np.bincount(after, np.where(candidate, n * np.log(own_chance / old), 0), len(prefix))
+        chance = np.full(len(part.n), np.nan)
+        chance[of] = own_chance
+        total, entries = np.bincount(after, n, len(prefix)).astype(np.int64), np.bincount(after, minlength=len(prefix))
+        rows = [{"kind": "chance", "part": part.part, "value": _pack(chance)}]
+        for owner, (p,) in _by_owner(prefix):
+            row = {"kind": "saved", "part": owner, "other": part.part, "prefix": _rising(prefix[p]), "value": _pack(saved[p])}
+            rows.append(row | {"total": _pack(total[p]), "entries": _pack(entries[p])})
+        return _told(rows)
+
+    def keep(own, told):
+        part, saves = Part(own), _kind(told, "saved")
+        total, entries = part.sums(saves)
+        seen, saved = np.where((part.n >= least_context) & (entries > 0), part.n, 0), np.zeros(len(part.n))
+        for row in saves:
+            saved[part.at(_risen(row["prefix"], np.int64))] += _unpack(row["value"], np.float64)
+        other = np.maximum(1 - total / np.maximum(seen, 1), 0)
+        good = saved / np.maximum(seen, 1) + other * np.log(_rest(seen, total, entries)) >= LEAST_DIVERGENCE
+        for row in _kind(told, "needed"):
+            good[part.at(_risen(row["prefix"], np.int64))] = True
+        total[(seen == 0) | ~good] = entries[(seen == 0) | ~good] = 0
+        rows = []
+        for shard, i, j in zip(part.shards, [0, *part.ends], part.ends):
+            rows.append({"kind": "kept", "part": part.part, "other": shard, "total": _pack(total[i:j]), "entries": _pack(entries[i:j])})
+        suffix = np.unique(part.b[entries > 0])
+        rows += [{"kind": "needed", "part": owner, "other": part.part, "prefix": _rising(suffix[s])} for owner, (s,) in _by_owner(suffix)]
+        return _told(rows)
+
+    def together(length, told, run, name):
+        return tables.write(own[length - 1].groupBy("part").cogroup(told.groupBy("part")).applyInArrow(run, _TOLD), name)
+
+    own = [c.where("block is null").select(F.floor(F.col("shard") / PART_SHARDS).alias("part"), "shard", "a", "b", "n") for c in counted]
+    chances, kept = [], []
     for depth in range(1, DEPTH + 1):
-        entries = frequent(counted[depth]).where(n >= least(LEAST_ENTRY, tokens))
-        old = below.select(F.col("key").alias("suffix"), F.col("chance").alias("old"))
-        entries = tables.write(entries.join(old.hint("shuffle_hash"), "suffix").select("key", "prefix", "n", "old"), f"entries-{depth}")
-        contexts = frequent(counted[depth - 1]).where(n >= least(LEAST_CONTEXT, tokens))
-        contexts = contexts.select(F.col("key").alias("prefix"), n.alias("seen"), F.col("suffix").alias("shorter"))
-        sums = entries.groupBy("prefix").agg(F.sum("n").alias("total"), F.count("*").alias("entries"))
-        sums = tables.write(contexts.join(sums.hint("shuffle_hash"), "prefix"), f"sums-{depth}")
-        rest = (seen - F.col("total") + DISCOUNT * F.col("entries")) / seen
-        found = entries.join(sums.select("prefix", "seen", "total", "entries").hint("shuffle_hash"), "prefix").withColumn("chance", (n - DISCOUNT) / seen + rest * F.col("old"))
-        found = tables.write(found.select("key", "prefix", "chance", (n * F.log(F.col("chance") / F.col("old"))).alias("saved")), f"chances-{depth}")
-        saved = found.groupBy("prefix").agg(F.sum("saved").alias("saved"))
-        other = F.greatest(1 - F.col("total") / seen, F.lit(0.0))
-        gain = F.col("saved") / seen + other * F.log(rest)
-        good = sums.join(saved.hint("shuffle_hash"), "prefix").select(F.col("prefix").alias("key"), "shorter", "total", "entries", (gain >= LEAST_DIVERGENCE).alias("good"))
-        tested.append(tables.write(good, f"contexts-{depth}"))
-        below = found.select("key", "chance")
-        tables.drop(entries, sums, *passed)
-        passed = [found]
-    tables.drop(*passed)
-    kept, longer = [], None
+        asks = own[depth].groupBy("part").applyInArrow(ask, _TOLD)
+        answers = together(depth, asks.union(chances[-1].where("kind = 'chance'")) if chances else asks, answer, f"answers-{depth}")
+        chances.append(together(depth + 1, answers, learn, f"chances-{depth}"))
+        tables.drop(answers)
     for depth in range(DEPTH, 0, -1):
-        table = tested[depth - 1]
-        if longer is not None:
-            needed = longer.select(F.col("shorter").alias("key")).distinct().withColumn("needed", F.lit(True))
-            table = table.join(needed.hint("shuffle_hash"), "key", "left").withColumn("good", F.col("good") | F.coalesce("needed", F.lit(False)))
-        longer = tables.write(table.where("good").select("key", "shorter", "total", "entries"), f"tree-{depth}")
-        kept.insert(0, longer)
-    tables.drop(*tested)
+        told = chances[depth - 1].where("kind = 'saved'")
+        kept.insert(0, together(depth, told.union(kept[0].where("kind = 'needed'")) if kept else told, keep, f"tree-{depth}"))
+    tables.drop(*chances)
     return kept
 
 
@@ -343,16 +482,14 @@ def rests(counted: DataFrame, kept: DataFrame, length: int) -> DataFrame:
     ship(__name__)
 
     def run(asked, given):
-        rank = given.column("key").to_numpy() & ((1 << RANK_BITS) - 1)
+        known = [np.concatenate([np.zeros(0, np.int64), *(_unpack(p, np.int64) for p in given.column(c).to_pylist())]) for c in ("total", "entries")]
         found = []
         for shard, block, pack in zip(*(asked.column(c).to_pylist() for c in ("shard", "block", "a"))):
             steps = _unpack(pack, np.uint32)
             there = steps > 0
             mine = np.cumsum(steps, dtype=np.int64)[there] - 1
             row = [length, shard, block, None, None]
-            for column in ("total", "entries"):
-                of = np.zeros(1 + max(mine.max(initial=0), rank.max(initial=0)), np.int64)
-                of[rank] = given.column(column).to_numpy()
+            for of in known:
                 told = np.zeros(len(steps), np.int64)
                 told[there] = of[mine]
                 row.append(_pack(told))
@@ -362,31 +499,32 @@ def rests(counted: DataFrame, kept: DataFrame, length: int) -> DataFrame:
         return pa.Table.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names)
 
     asked = counted.where("block is not null").select("shard", "block", "a")
-    given = kept.select(F.shiftright("key", RANK_BITS).alias("shard"), "key", "total", "entries")
+    given = kept.where("kind = 'kept'").select(F.col("other").alias("shard"), "total", "entries")
     return asked.groupBy("shard").cogroup(given.groupBy("shard")).applyInArrow(run, _REPLY)
 
 
 def chances(block: Block, replies: pa.Table, of_words: Callable[[np.ndarray], np.ndarray], lowest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each place of a block the learned count of its word, its chance without context (by counts, given), and that after its longest retained context."""
+    """Of each word of a block the learned count and the chance without context (by counts, given); for each place the chance after its longest retained context."""
     depth, context = 0, None
     for grams in block.answered(replies, DEPTH + 1):
         own, n = grams.of, _numbers(replies, "n", depth + 1, np.int64)
         if not depth:
-            seen = n[own]
-            base = of_words(seen)
-            chance, open_ = base.copy(), np.flatnonzero(block.at > 0).astype(np.int32)
+            seen, base = n, of_words(n)
+            chance, open_ = base[own], np.flatnonzero(block.at > 0).astype(np.int32)
         else:
             total, entries = (_numbers(replies, c, depth, np.int64) for c in ("total", "entries"))
-            before = context[open_ - 1]
-            kept = (block.at[open_] >= depth) & (before >= 0)
-            kept[kept] = entries[before[kept]] > 0
-            open_, before = open_[kept], before[kept]
-            chance[open_] *= ((times - total + DISCOUNT * entries) / np.maximum(times, 1))[before]
-            now = own[open_]
-            there = now >= 0
-            there[there] = n[now[there]] >= lowest
-            chance[open_[there]] += (n[now[there]] - DISCOUNT) / times[before[there]]
+            retained, left = np.append(entries > 0, False), (times - total + DISCOUNT * entries) / np.maximum(times, 1)
+            counted, still = np.append(np.where(n >= lowest, n - DISCOUNT, 0), 0), []
+            for some in np.array_split(open_, max(1, len(open_) // PLACES)):
+                before = context[some - 1]
+                kept = np.flatnonzero(retained[before])
+                some, before = some[kept], before[kept]
+                chance[some] = chance[some] * left[before] + counted[own[some]] / times[before]
+                still.append(some)
+            open_ = np.concatenate(still)
+            del total, entries, retained, left, counted, still
         depth, context, times = depth + 1, own, n
+        del grams, own, n
     return seen, base, chance
 
 
@@ -417,15 +555,14 @@ def score(docs: DataFrame) -> DataFrame:
         block = Block(rows.to_pylist()[0], shards)
         seen, base, chance = chances(block, replies, lambda c: (c + 0.5) / (tokens + 0.5 * (distinct + 1)), lowest)
         starts = np.flatnonzero(block.at == 0)
-        base[starts] = chance[starts] = 1.0
-        seen[starts] = 0
+        seen[block.tokens[starts]], base[block.tokens[starts]], chance[starts] = 0, 1.0, 1.0  # the start is no token
         size = np.array(block.state["size"], np.int64)
         columns = [
             pa.array(block.state["doc_id"], pa.int64()),
             pa.array(block.state["held_out"], pa.bool_()),
             pa.array(size + 1),
-            pa.array(np.add.reduceat((seen > 0).astype(np.int64), starts)),
-            pa.array(np.add.reduceat(np.log10(base), starts)),
+            pa.array(np.add.reduceat((seen > 0)[block.tokens], starts, dtype=np.int64)),
+            pa.array(np.add.reduceat(np.log10(base)[block.tokens], starts)),
             pa.array(np.add.reduceat(np.log10(chance), starts)),
         ]
         return pa.Table.from_arrays(columns, [c.split()[0] for c in _SCORED.split(", ")])
