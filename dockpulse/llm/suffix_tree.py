@@ -238,6 +238,7 @@ class Block:
             grams.a = grams.b = grams.shard = None  # only the places of shorter grams are still needed
             if length <= DEPTH:
                 grams = self.longer(length + 1, grams, ids)
+            del ids
         if lengths <= DEPTH:
             yield grams
 
@@ -514,6 +515,7 @@ def chances(block: Block, replies: pa.Table, of_words: Callable[[np.ndarray], np
         else:
             total, entries = (_numbers(replies, c, depth, np.int64) for c in ("total", "entries"))
             retained, left = np.append(entries > 0, False), (times - total + DISCOUNT * entries) / np.maximum(times, 1)
+            del total, entries
             counted, still = np.append(np.where(n >= lowest, n - DISCOUNT, 0), 0), []
             for some in np.array_split(open_, max(1, len(open_) // PLACES)):
                 before = context[some - 1]
@@ -522,7 +524,7 @@ def chances(block: Block, replies: pa.Table, of_words: Callable[[np.ndarray], np
                 chance[some] = chance[some] * left[before] + counted[own[some]] / times[before]
                 still.append(some)
             open_ = np.concatenate(still)
-            del total, entries, retained, left, counted, still
+            del retained, left, counted, still
         depth, context, times = depth + 1, own, n
         del grams, own, n
     return seen, base, chance
